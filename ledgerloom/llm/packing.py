@@ -34,7 +34,7 @@ REMEMBERED = 250_000
 LONGEST_REMEMBERED = 48
 #: The tokenizer's pre-tokenisation, and the white space of the tokenizer's normaliser. str.split() takes the same and \x1c-\x1f.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
 _ONLY_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
