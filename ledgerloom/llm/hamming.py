@@ -15,7 +15,7 @@ rows every query returns all of them. Rows that repeat a whole row (same id and
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,6 @@ from .common import stage
 
 #: Fixed by the stored vectors: a bit for each of their components.
 BITS = 64
-SEGMENTS = 4
 K = 10
 QUERY_STEP = 20
 SALTS = 64
@@ -39,9 +38,26 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
     return F.when(F.coalesce(whole, F.lit(False)), code)
 
 
-def _segment(code: Column, s: int, bits: int, segments: int) -> Column:
-    width = bits // segments
-    return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+def _widths(n: int, bits: int = BITS) -> list[int]:
+    """Bits of each segment: about log2(n), at which a bucket holds about one of n codes."""
+    segments = max(2, min(bits // 4, round(bits / math.log2(max(n, 16)))))
+    return [bits // segments + (i < bits % segments) for i in range(segments)]
+
+
+def _keys(code: Column, widths: list[int]) -> Column:
+    """The segments of a code, lowest bits first."""
+    starts = [sum(widths[:i]) for i in range(len(widths))]
+    return F.array(*(F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in zip(starts, widths)))
+
+
+def _ring(asked: DataFrame, widths: list[int], radius: int) -> DataFrame:
+    """q, s, v: every value that differs in exactly ``radius`` bits from segment s of the code q, each once."""
+    out = asked.select(F.col("code").alias("q"), F.posexplode(_keys(F.col("code"), widths)).alias("s", "v")).withColumn("last", F.lit(-1))
+    width = F.element_at(F.array(*map(F.lit, widths)), F.col("s") + 1)
+    for _ in range(radius):  # flip one more bit, above the last one flipped
+        above = out.filter(F.col("last") < width - 1).select("*", F.explode(F.sequence(F.col("last") + 1, width - 1)).alias("bit"))
+        out = above.select("q", "s", F.col("v").bitwiseXOR(F.expr("shiftleft(1L, bit)")).alias("v"), F.col("bit").alias("last"))
+    return out.drop("last")
 
 
 def _entries(rows: DataFrame, k: int) -> DataFrame:
@@ -53,30 +69,24 @@ def _entries(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
+def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
     """rows and queries: (id, code). Returns query_id, rank, id, distance: the k nearest rows of every query."""
     rows, queries = rows.filter("code IS NOT NULL"), queries.filter("code IS NOT NULL")
-    width = bits // segments
     entries = stage(_entries(rows, k))
+    widths = _widths(entries.count(), bits)
     wanted = stage(queries.select("code").distinct())
-    index = stage(
-        entries.select("code", F.size("ids").alias("n"), F.posexplode(F.array(*(_segment(F.col("code"), s, bits, segments) for s in range(segments)))).alias("s", "v"))
-    )
+    index = stage(entries.select("code", F.size("ids").alias("n"), F.posexplode(_keys(F.col("code"), widths)).alias("s", "v")))
     found = entries.select(F.col("code").alias("q"), "code", F.size("ids").alias("n"), F.lit(0).alias("d")).limit(0)
     done, open_q = None, wanted
-    for radius in range(width + 1):
-        masks = [sum(1 << b for b in c) for c in combinations(range(width), radius)]
-        ring = F.array(*(F.lit(m) for m in masks)) if len(masks) < 4000 else F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda x: F.bit_count(x) == radius)
-        probes = open_q.select(
-            F.col("code").alias("q"),
-            F.posexplode(F.array(*(_segment(F.col("code"), s, bits, segments) for s in range(segments)))).alias("s", "base"),
-        ).select("q", "s", F.explode(F.transform(ring, lambda m: F.col("base").bitwiseXOR(m))).alias("v"))
-        met = probes.join(index, ["s", "v"]).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d"))
+    for radius in range(max(widths) + 1):
+        probes = _ring(open_q, widths, radius)
+        # Ring sizes are not in Spark's estimates, so that it must not choose to broadcast the probes.
+        met = probes.join(index.hint("merge"), ["s", "v"]).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d"))
         reached = found.unionByName(met).dropDuplicates(["q", "code"])
         # Codes whose nearer codes already hold k ids are beyond the answer; equal distances stay until ids decide.
         nearer = Window.partitionBy("q").orderBy("d").rangeBetween(Window.unboundedPreceding, -1)
         kept = stage(reached.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).filter(F.col("before") < k).drop("before"))
-        bound = segments * (radius + 1) - 1
+        bound = len(widths) * (radius + 1) - 1
         covered = kept.filter(F.col("d") <= bound).groupBy("q").agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
         part = kept.join(covered.select("q"), "q", "left_semi")
         done = part if done is None else done.unionByName(part)
