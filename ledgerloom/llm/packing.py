@@ -6,8 +6,8 @@ plan is made on the histogram of lengths (at most ``capacity`` rows, whatever th
 multiplicities; it is one plan over the whole corpus, not one for each task. Every piece then finds its place by its
 rank among the pieces of its length, which is the sum of two counts: within its task and over the tasks before it.
 
-Tokenising goes word by word behind a bounded memory of encoded words: the tokenizer's pre-tokenisation never joins
-what white space parts, so the ids are those of the whole text.
+Tokenising goes run by run behind a bounded memory of encoded runs: the tokenizer never joins what its pre-tokenisation
+parts, so the ids are those of the whole text.
 
 Defined cases: a null text counts as empty and becomes the end id alone. Documents of any length are cut, none is
 dropped. Rows that repeat are packed each on its own. An empty table gives no sequences.
@@ -29,13 +29,15 @@ from .common import documents, stage, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
-#: Encoded words a worker remembers; beyond it the memory starts anew. A bound on memory, not on the result.
-REMEMBERED = 250_000
+#: Encoded runs a worker remembers; beyond it the memory starts anew. A bound on memory, not on the result.
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 48
-#: The tokenizer's pre-tokenisation, and the white space of the tokenizer's normaliser. str.split() takes the same and \x1c-\x1f.
-RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-_SPACE = re.compile("[\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
-_ONLY_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
+#: The tokenizer's white space, and its letters and numbers below U+0250.
+_WHITE = "\t-\r \x85\xa0"
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_RUNS = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^{_WHITE}{_LETTERS}{_NUMBERS}]+")
+_FAR = re.compile("[\u0250-\U0010ffff]")
+_SPACE = re.compile("[" + _WHITE + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 
@@ -43,21 +45,19 @@ PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 l
 class WordEncoder:
     """text -> little-endian 32-bit ids, exactly those of the tokenizer for the whole text.
 
-    Two memories: white-space words, and the lower-cased runs that the tokenizer's pre-tokenisation cuts them into,
-    which repeat far more often. Only runs in neither reach the tokenizer.
+    The lower-cased runs that the tokenizer's pre-tokenisation cuts a text into repeat often, and only those that
+    are not remembered reach the tokenizer. Below U+0250 nothing composes, so that runs can be cut here; words with
+    other characters are encoded whole.
     """
 
     _loaded: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
-        self.cut = regex.compile(RUNS).findall
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -66,27 +66,20 @@ class WordEncoder:
         return cls._loaded[path]
 
     def __call__(self, text: str) -> bytes:
-        words = _SPACE.split(text) if any(c in text for c in _ONLY_PYTHON_SPACE) else text.split()
-        known = self.words
+        if text.isascii() or not _FAR.search(text):
+            runs = _RUNS.findall(text.lower())
+        else:
+            runs = [r for w in _SPACE.split(text) if w for r in ([w] if _FAR.search(w) else _RUNS.findall(w.lower()))]
+        known = self.runs
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join(map(known.__getitem__, runs))
         except KeyError:
-            found = self._encoded([w for w in set(words) if w not in known])
-        out = b"".join([found[w] if w in found else known[w] for w in words])
+            missing = [r for r in set(runs) if r not in known]
+        new = {r: np.asarray(e.ids, "<u4").tobytes() for r, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))}
+        out = b"".join([new[r] if r in new else known[r] for r in runs])
         if len(known) > REMEMBERED:
             known.clear()
-        known.update((w, b) for w, b in found.items() if len(w) <= LONGEST_REMEMBERED)
-        return out
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        # Below U+0250 nothing composes, so that a word's runs can be cut here; other words go whole.
-        runs, whole = self.runs, {w: self.cut(w.lower()) if max(w, default="") < "\u0250" else [w] for w in words}
-        missing = [r for r in {r for rs in whole.values() for r in rs} if r not in runs]
-        new = {r: np.asarray(e.ids, "<u4").tobytes() for r, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))}
-        out = {w: b"".join([new[r] if r in new else runs[r] for r in rs]) for w, rs in whole.items()}
-        if len(runs) > REMEMBERED:
-            runs.clear()
-        runs.update((r, b) for r, b in new.items() if len(r) <= LONGEST_REMEMBERED)
+        known.update((r, b) for r, b in new.items() if len(r) <= LONGEST_REMEMBERED)
         return out
 
 
