@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,15 +72,17 @@ class WordEncoder:
         else:
             runs = [r for w in _SPACE.split(text) if w for r in ([w] if _FAR.search(w) else _RUNS.findall(w.lower()))]
         known = self.runs
-        try:
-            return b"".join(map(known.__getitem__, runs))
-        except KeyError:
-            missing = [r for r in set(runs) if r not in known]
-        new = {r: np.asarray(e.ids, "<u4").tobytes() for r, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))}
-        out = b"".join([new[r] if r in new else known[r] for r in runs])
-        if len(known) > REMEMBERED:
-            known.clear()
-        known.update((r, b) for r, b in new.items() if len(r) <= LONGEST_REMEMBERED)
+        missing = list(set(runs).difference(known))
+        if missing:
+            if len(known) + len(missing) > REMEMBERED:
+                known.clear()
+                missing = list(set(runs))
+            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+            known.update((r, array("I", e.ids).tobytes()) for r, e in zip(missing, encoded))
+        out = b"".join(map(known.__getitem__, runs))
+        for r in missing:
+            if len(r) > LONGEST_REMEMBERED:
+                del known[r]
         return out
 
 
