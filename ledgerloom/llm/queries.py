@@ -5,10 +5,11 @@ from .hamming import OP10_SQL, op10_hamming_topk
 from .license_scan import OP9_SQL, op9_license_scan
 from .ngram_join import op7_ngram_jaccard_join
 from .packing import op6_best_fit_packing
+from .piece_scan import op4_sentencepiece_scan
 from .pii import op2_pii_crf
 from .quality import op5_quality_classifier
 from .toxicity import op8_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii_crf, op3_url_filter, op5_quality_classifier, op6_best_fit_packing, op7_ngram_jaccard_join, op8_toxicity, op9_license_scan, op10_hamming_topk)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii_crf, op3_url_filter, op4_sentencepiece_scan, op5_quality_classifier, op6_best_fit_packing, op7_ngram_jaccard_join, op8_toxicity, op9_license_scan, op10_hamming_topk)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_license_scan": OP9_SQL, "op10_hamming_topk": OP10_SQL}
