@@ -4,9 +4,10 @@
 2. A class is sent to one tile for each shingle of its prefix: in any fixed order of the shingles, two sets that are
    similar enough share one of their first ``size - ceil(t * size) + 1``. The order puts shingles first that few
    documents have, by counts over all documents in a table of fixed size.
-3. A tile is the classes of one such shingle and one band of sizes. First each tile offers its members with the
-   smallest class only; verified, these links join most copies. Then tiles that still hold several components
-   offer all pairs between components whose sizes and places in the order allow the overlap.
+3. A tile is the classes of one such shingle and one band of sizes. First each class is offered the first class of
+   its tiles, and of those the one that it meets most often; verified, these links join most copies. Then shingles
+   whose classes are still in several components offer all pairs between components whose sizes and places in the
+   order allow the overlap.
 4. Offered pairs are held against each other by hashed bitmaps, as wide as their size band needs, whose differing
    bits bound the overlap from above; what is left is decided by the exact intersection of the sorted sets.
 
@@ -121,45 +122,46 @@ def _classes(n: int, percent: int, counts: np.ndarray):
     return run
 
 
-TILE = "kind int, key long, salt int, salts int, a long, sa int, pa int, b long, sb int"
+TILE = "key long, salt int, salts int, a long, sa int, pa int"
 
 
-def _first_pairs(percent: int, keep_rows: bool):
-    """Each tile's members paired with its smallest class (kind 0); that class of salted tiles (1); rows of shared keys (2)."""
-    step = math.log(100 / percent)
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of keys that several classes have, each class once; of salted keys all rows."""
+    key, salt, salts, cls, size, pos = _columns(batches, ["key", "salt", "salts", "cls", "size", "pos"])
+    order = np.lexsort((cls, key))
+    key, salt, salts, cls, size, pos = (x[order] for x in (key, salt, salts, cls, size, pos))
+    if not len(key):
+        return
+    again = np.append(False, (key[1:] == key[:-1]) & (cls[1:] == cls[:-1]) & (size[1:] == size[:-1]))
+    key, salt, salts, cls, size, pos = (x[~again] for x in (key, salt, salts, cls, size, pos))
+    run_of = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+    shared = (np.bincount(run_of)[run_of] > 1) | (salts > 1)
+    columns = {"key": key, "salt": salt, "salts": salts, "a": cls, "sa": size, "pa": pos}
+    yield from _batches({c: x[shared] for c, x in columns.items()})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, salt, salts, cls, size, pos = _columns(batches, ["key", "salt", "salts", "cls", "size", "pos"])
-        band = np.floor(np.log(np.maximum(size, 1)) / step + 1e-9).astype(np.int64)
-        order = np.lexsort((cls, band, salt, key))
-        key, salt, salts, cls, size, pos, band = (x[order] for x in (key, salt, salts, cls, size, pos, band))
-        if len(key):
-            again = np.append(False, (key[1:] == key[:-1]) & (cls[1:] == cls[:-1]) & (size[1:] == size[:-1]))
-            key, salt, salts, cls, size, pos, band = (x[~again] for x in (key, salt, salts, cls, size, pos, band))
-            new_key = np.append(True, key[1:] != key[:-1])
-            run_of = np.cumsum(new_key) - 1
-            shared = (np.bincount(run_of)[run_of] > 1) | (salts > 1)
-            key, salt, salts, cls, size, pos, band = (x[shared] for x in (key, salt, salts, cls, size, pos, band))
-        if not len(key):
-            return
-        new = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (band[1:] != band[:-1]))
-        hub = np.flatnonzero(new)[np.cumsum(new) - 1]
-        need = _needed(size[hub], size, percent)
-        pair = ~new & (pos[hub] <= size[hub] - need) & (pos <= size - need)
-        both = np.unique(np.stack([cls[hub][pair], cls[pair], size[hub][pair], size[pair]]), axis=1)
-        zero = np.zeros(both.shape[1], np.int64)
-        kinds = [(0, zero, zero, zero, both[0], both[2], zero, both[1], both[3])]
-        if keep_rows:
-            for kind, at in ((1, np.flatnonzero(new & (salts > 1))), (2, np.arange(len(key)))):
-                none = np.zeros(len(at), np.int64)
-                kinds.append((kind, key[at], salt[at], salts[at], cls[at], size[at], pos[at], none, none))
-        types = [np.int32, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, np.int64, np.int32]
-        names = ["kind", "key", "salt", "salts", "a", "sa", "pa", "b", "sb"]
-        for kind, *values in kinds:
-            if len(values[0]):
-                yield from _batches({c: np.asarray(v, t) for c, v, t in zip(names, [np.full(len(values[0]), kind), *values], types)})
 
-    return run
+def _first_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Two partners for each class at most: of the tiles' first classes, the one that it meets in most tiles.
+
+    Once with bands of sizes and first meaning the smallest class, and once with the bands moved by half and first by
+    a hash. The partner stands for its tile, so that a group of copies offers as many pairs as it has members.
+    """
+    band = F.log(F.col("sa").cast("double")) / math.log(100 / percent)
+    plans = F.array(
+        F.struct(F.lit(0).alias("plan"), F.floor(band).alias("band"), F.col("a").alias("prio")),
+        F.struct(F.lit(1).alias("plan"), F.floor(band + 0.5).alias("band"), F.xxhash64("a").alias("prio")),
+    )
+    placed = rows.select("key", "a", "sa", "pa", F.explode(plans).alias("p")).select("key", "a", "sa", "pa", "p.*")
+    first = placed.groupBy("key", "plan", "band").agg(F.min(F.struct("prio", F.col("a").alias("h"), F.col("sa").alias("sh"), F.col("pa").alias("ph"))).alias("f"), F.count(F.lit(1)).alias("n"))
+    met = placed.join(first.filter("n > 1").select("key", "plan", "band", "f.h", "f.sh", "f.ph"), ["key", "plan", "band"])
+    need = F.ceil((F.col("sa") + F.col("sh")) * percent / (100 + percent))
+    fit = met.filter((F.col("a") != F.col("h")) & (F.col("pa") <= F.col("sa") - need) & (F.col("ph") <= F.col("sh") - need))
+    votes = fit.groupBy("plan", "a", "sa", "h", "sh").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("plan", "a", "sa").agg(F.max(F.struct("n", "h", "sh")).alias("v")).select("a", "sa", F.col("v.h").alias("b"), F.col("v.sh").alias("sb"))
+    return best.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(F.col("a") < F.col("b"), F.col("sa")).otherwise(F.col("sb")).alias("sa"), F.when(F.col("a") < F.col("b"), F.col("sb")).otherwise(F.col("sa")).alias("sb"),
+    ).dropDuplicates(["a", "b"])
 
 
 def _cross_pairs(percent: int):
@@ -270,14 +272,10 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     rows = every.filter("keys IS NOT NULL").select("cls", "size", F.posexplode(F.arrays_zip("keys", "salts")).alias("pos", "k"))
     rows = rows.select("cls", "size", "pos", F.col("k.keys").alias("key"), F.col("k.salts").alias("salts"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
-    tiles = stage(rows.repartition("key", "salt").mapInArrow(_first_pairs(percent, True), TILE))
-    heads = tiles.filter("kind = 1").select("key", F.lit(0).alias("salt"), F.lit(1).alias("salts"), F.col("a").alias("cls"), F.col("sa").alias("size"), F.col("pa").alias("pos"))
-    more = heads.repartition("key").mapInArrow(_first_pairs(percent, False), TILE)
-    pairs = tiles.filter("kind = 0").unionByName(more).select("a", "b", "sa", "sb").dropDuplicates(["a", "b"])
-    links = _verified(pairs, classes, docs, n, percent)
+    shared = stage(rows.repartition("key", "salt").mapInArrow(_shared_rows, TILE))
+    links = _verified(_first_pairs(shared, percent), classes, docs, n, percent)
     labels = stage(connected_components(links))
 
-    shared = tiles.filter("kind = 2").select("key", "salt", "salts", "a", "sa", "pa")
     labelled = shared.join(labels.toDF("a", "component"), "a", "left").withColumn("comp", F.coalesce("component", "a"))
     labelled = stage(labelled.select("key", "salt", "salts", "a", "sa", "pa", "comp"))
     mixed_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
@@ -286,16 +284,12 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     own = F.transform(among, lambda t: F.when(t == F.col("salt") * F.col("salts").cast("long") + F.col("salt"), -1 - F.col("salt")).otherwise(t))
     open_rows = labelled.join(mixed_keys, "key", "left_semi").select("key", "salt", "a", "sa", "pa", "comp", F.explode(own).alias("tile"))
     offered = open_rows.repartition("key", "tile").mapInArrow(_cross_pairs(percent), "a long, b long, sa int, sb int").dropDuplicates(["a", "b"])
-    rest = _verified(offered.join(pairs_seen(links), ["a", "b"], "left_anti"), classes, docs, n, percent)
+    rest = _verified(offered, classes, docs, n, percent)
     if not rest.isEmpty():
         labels = stage(connected_components(links.unionByName(rest)))
     return every.select("doc_id", "size", "cls"), labels
 
 
-def pairs_seen(links: DataFrame) -> DataFrame:
-    return links.select("a", "b").distinct()
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of every document."""
     members, labels = link_components(docs, n, percent)
@@ -312,7 +306,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80
     """The documents, whole rows, with one of each component: that with the smallest doc_id. A null doc_id stays."""
     found = near_duplicates(spark, docs, n, percent)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(broadcast_if_small(stage(gone)), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
