@@ -14,8 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, stage, text_or_empty, work_dir
+from .common import broadcast_if_small, documents, stage, text_or_empty, work_dir
 
 #: The characters that do not count, as a regular expression.
 IGNORED = "[\\x20\\x09-\\x0D]+"
@@ -86,15 +87,21 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents, whole rows, that exact deduplication keeps. Rows that repeat completely stay once."""
-    kept = exact_dedup(spark, docs).filter("kept").select("doc_id", "text_sha256")
-    marked = docs.withColumn("__digest", F.sha2(F.regexp_replace(text_or_empty(), IGNORED, "").cast("binary"), 256))
-    joined = marked.join(
-        kept.withColumnsRenamed({"doc_id": "__keep", "text_sha256": "__kept_digest"}),
-        F.expr("doc_id <=> __keep AND __digest = __kept_digest"),
-        "left_semi",
-    )
-    return joined.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+    """The documents, whole rows, that exact deduplication keeps. Rows that repeat an id and its text stay once."""
+    found = stage(exact_dedup(spark, docs).select("doc_id", "kept"))
+    stay = found.filter("kept").select(F.col("doc_id").alias("id"))
+    gone = found.filter("NOT kept").select("doc_id").distinct()
+    twice = stage(gone.join(stay, F.expr("doc_id <=> id"), "left_semi"))
+    gone = gone.join(twice.withColumnRenamed("doc_id", "id"), F.expr("doc_id <=> id"), "left_anti")
+    left = docs.join(broadcast_if_small(gone.withColumnRenamed("doc_id", "__gone")), F.expr("doc_id <=> __gone"), "left_anti")
+    if twice.isEmpty():
+        return left
+    # Ids that are both kept and dropped stand on several rows: of those rows each text stays once.
+    named = twice.withColumnRenamed("doc_id", "__twice")
+    same = F.sha2(F.regexp_replace(text_or_empty(), IGNORED, "").cast("binary"), 256)
+    repeated = left.join(named, F.expr("doc_id <=> __twice"), "left_semi").withColumn("__digest", same)
+    first = repeated.withColumn("__n", F.row_number().over(Window.partitionBy("__digest").orderBy(F.char_length(text_or_empty()).desc(), F.col("doc_id").asc_nulls_last())))
+    return left.join(named, F.expr("doc_id <=> __twice"), "left_anti").unionByName(first.filter("__n = 1").select(*docs.columns))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

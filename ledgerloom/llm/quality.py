@@ -14,9 +14,11 @@ is the share of label 1, or 0.5 without any. Rows that repeat are scored alike,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,30 +75,34 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _pooled(vectors: np.ndarray):
+def pooled(texts: pa.StringArray, vectors: np.ndarray) -> np.ndarray:
+    """The features of each text, a row each."""
+    n = len(texts)
+    sums, count = np.zeros((n, FEATURES)), np.zeros(n)
+    for block in runs(texts):
+        if not len(block.doc):
+            continue
+        own, at = np.unique(block.doc, return_index=True)
+        v = vectors[_word(block.hash)]
+        sums[own, :WIDTH] += np.add.reduceat(v, at, axis=0)
+        product = np.zeros_like(v)
+        np.multiply(v[1:], v[:-1], out=product[1:])
+        product[at] = 0
+        sums[own, WIDTH : 2 * WIDTH] += np.add.reduceat(product, at, axis=0)
+        shapes = np.bincount(block.doc * SHAPES + block.shape, minlength=n * SHAPES).reshape(n, SHAPES)
+        sums[:, 2 * WIDTH : 2 * WIDTH + SHAPES] += shapes
+        count += np.bincount(block.doc, minlength=n)
+    sums /= np.maximum(count, 1)[:, None]
+    sums[:, -1] = np.log1p(count) / 10
+    return sums
+
+
+def _features(vectors: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            sums = np.zeros((n, FEATURES), np.float64)
-            count = np.zeros(n)
-            for block in runs(batch.column("text")):
-                if not len(block.doc):
-                    continue
-                own, at = np.unique(block.doc, return_index=True)
-                v = vectors[_word(block.hash)]
-                sums[own, :WIDTH] += np.add.reduceat(v, at, axis=0)
-                product = np.zeros_like(v)
-                np.multiply(v[1:], v[:-1], out=product[1:])
-                product[at] = 0
-                sums[own, WIDTH : 2 * WIDTH] += np.add.reduceat(product, at, axis=0)
-                shapes = np.bincount(block.doc * SHAPES + block.shape, minlength=n * SHAPES).reshape(n, SHAPES)
-                sums[:, 2 * WIDTH : 2 * WIDTH + SHAPES] += shapes
-                count += np.bincount(block.doc, minlength=n)
-            sums /= np.maximum(count, 1)[:, None]
-            sums[:, -1] = np.log1p(count) / 10
-            flat = pa.array(sums.astype(np.float32).ravel())
-            features = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * FEATURES), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), features], ["doc_id", "features"])
+            x = pooled(batch.column("text"), vectors).astype(np.float32)
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["doc_id", "label", "features"])
 
     return run
 
@@ -140,16 +146,6 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def _scores(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy().reshape(-1, FEATURES)
-            score = model.probability(x) if isinstance(model, Network) else np.full(len(x), model)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
-
-    return run
-
-
 def fold(column: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
@@ -162,20 +158,53 @@ def sampled(labels: DataFrame, kind: str, learn, limit: int) -> DataFrame:
     return one.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(part * 1_000_000))
 
 
-def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document. Ids divisible by the fold rule are never learned from."""
+class Scorer(NamedTuple):
+    vectors: np.ndarray
+    model: Network | float
+
+    def __call__(self, texts: pa.StringArray) -> np.ndarray:
+        if not isinstance(self.model, Network):
+            return np.full(len(texts), self.model)
+        return self.model.probability(pooled(texts, self.vectors).astype(np.float32))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """Word vectors from all documents, and the network from the labelled sample. Ids that the fold rule holds out are not learned from."""
     vectors = word_vectors(docs)
+    chosen = F.broadcast(stage(sampled(labels, "quality", fold("doc_id", 5) != 0, SAMPLE)))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    features = stage(given.mapInArrow(_pooled(vectors), "doc_id long, features array<float>"))
-    chosen = sampled(labels, "quality", fold("doc_id", 5) != 0, SAMPLE)
-    learned = features.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).orderBy("doc_id").select("features", "label").toArrow()
+    rows = given.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")
+    learned = rows.mapInArrow(_features(vectors), "doc_id long, label int, features array<float>").orderBy("doc_id").toArrow()
     y = learned.column("label").to_numpy()
     x = np.concatenate([c.flatten().to_numpy() for c in learned.column("features").chunks] or [np.zeros(0)]).reshape(-1, FEATURES)
-    model = Network(x, y) if len(set(y.tolist())) == 2 else float(y.mean()) if len(y) else 0.5
+    return Scorer(vectors, Network(x, y) if len(set(y.tolist())) == 2 else float(y.mean()) if len(y) else 0.5)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    scorer = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text")))], ["doc_id", "score"])
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
-    scored = features.mapInArrow(_scores(model), "doc_id long, score double")
+    scored = given.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, whole rows, that the classifier accepts; nothing is joined or shuffled for it."""
+    scorer = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(pc.fill_null(batch.column(at), "")) >= ACCEPT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
