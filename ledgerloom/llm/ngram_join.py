@@ -4,10 +4,10 @@
 2. A class is sent to one tile for each shingle of its prefix: in any fixed order of the shingles, two sets that are
    similar enough share one of their first ``size - ceil(t * size) + 1``. The order puts shingles first that few
    documents have, by counts over all documents in a table of fixed size.
-3. A tile is the classes of one such shingle and one band of sizes. First each class is offered the first class of
-   its tiles, and of those the one that it meets most often; verified, these links join most copies. Then shingles
-   whose classes are still in several components offer all pairs between components whose sizes and places in the
-   order allow the overlap.
+3. A tile is the classes of one such shingle and one band of sizes. Each class is offered the class that stands for
+   most of its tiles; verified, these links join most copies. Where many classes of a tile are still in several
+   components, this goes on a few turns with other, more central classes. Then all pairs between components are
+   offered whose sizes and places in the order allow the overlap.
 4. Offered pairs are held against each other by hashed bitmaps, as wide as their size band needs, whose differing
    bits bound the overlap from above; what is left is decided by the exact intersection of the sorted sets.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, documents, stage, text_or_empty
@@ -39,6 +39,8 @@ from .shingles import mixed, shingle_set
 #: Counters of shingle frequency, and the documents of one shingle from which its tile is dealt by a salt.
 COUNTERS = 1 << 18
 SALTED_FROM = 4000
+#: Classes from which a tile is a crowd, turns in which crowds are joined, and partners of a class in each.
+CROWD, TURNS, PLANS = 16, 3, 8
 #: Pairs that a task looks at together.
 BLOCK = 2_000_000
 
@@ -140,22 +142,19 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches({c: x[shared] for c, x in columns.items()})
 
 
-def _first_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Two partners for each class at most: of the tiles' first classes, the one that it meets in most tiles.
+def _partners(rows: DataFrame, percent: int, plans: Column) -> DataFrame:
+    """Partners of another component, one for each class and plan at most.
 
-    Once with bands of sizes and first meaning the smallest class, and once with the bands moved by half and first by
-    a hash. The partner stands for its tile, so that a group of copies offers as many pairs as it has members.
+    A plan says in which band of sizes a row counts, and which row of a tile (a shingle and a band) stands for it; of the
+    rows that stand for a class's tiles the one that it meets in most tiles is its partner. So a group of copies offers
+    as many pairs as it has members, whatever its size.
     """
-    band = F.log(F.col("sa").cast("double")) / math.log(100 / percent)
-    plans = F.array(
-        F.struct(F.lit(0).alias("plan"), F.floor(band).alias("band"), F.col("a").alias("prio")),
-        F.struct(F.lit(1).alias("plan"), F.floor(band + 0.5).alias("band"), F.xxhash64("a").alias("prio")),
-    )
-    placed = rows.select("key", "a", "sa", "pa", F.explode(plans).alias("p")).select("key", "a", "sa", "pa", "p.*")
-    first = placed.groupBy("key", "plan", "band").agg(F.min(F.struct("prio", F.col("a").alias("h"), F.col("sa").alias("sh"), F.col("pa").alias("ph"))).alias("f"), F.count(F.lit(1)).alias("n"))
-    met = placed.join(first.filter("n > 1").select("key", "plan", "band", "f.h", "f.sh", "f.ph"), ["key", "plan", "band"])
+    placed = rows.select("key", "a", "sa", "pa", "comp", F.explode(plans).alias("p")).select("key", "a", "sa", "pa", "comp", "p.*")
+    one = F.struct("prio", F.col("a").alias("h"), F.col("sa").alias("sh"), F.col("pa").alias("ph"), F.col("comp").alias("ch"))
+    first = placed.groupBy("key", "plan", "band").agg(F.min(one).alias("f"), F.count(F.lit(1)).alias("n"))
+    met = placed.join(first.filter("n > 1").select("key", "plan", "band", "f.h", "f.sh", "f.ph", "f.ch"), ["key", "plan", "band"])
     need = F.ceil((F.col("sa") + F.col("sh")) * percent / (100 + percent))
-    fit = met.filter((F.col("a") != F.col("h")) & (F.col("pa") <= F.col("sa") - need) & (F.col("ph") <= F.col("sh") - need))
+    fit = met.filter((F.col("comp") != F.col("ch")) & (F.col("pa") <= F.col("sa") - need) & (F.col("ph") <= F.col("sh") - need))
     votes = fit.groupBy("plan", "a", "sa", "h", "sh").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("plan", "a", "sa").agg(F.max(F.struct("n", "h", "sh")).alias("v")).select("a", "sa", F.col("v.h").alias("b"), F.col("v.sh").alias("sb"))
     return best.select(
@@ -164,6 +163,25 @@ def _first_pairs(rows: DataFrame, percent: int) -> DataFrame:
     ).dropDuplicates(["a", "b"])
 
 
+def _plan(i: int, band: Column, prio: Column) -> Column:
+    return F.struct(F.lit(i).alias("plan"), F.floor(band).alias("band"), prio.alias("prio"))
+
+
+def _merged(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with each component taken into the smallest one that its links lead to, twice over."""
+    of = rows.select("a", "comp").distinct()
+    ends = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").filter("ca <> cb")
+    into = stage(ends.select(F.greatest("ca", "cb").alias("c"), F.least("ca", "cb").alias("t")).groupBy("c").agg(F.min("t").alias("t")))
+    far = into.join(into.toDF("t", "u"), "t", "left").select("c", F.coalesce("u", "t").alias("t"))
+    return rows.join(far, rows["comp"] == far["c"], "left").withColumn("comp", F.coalesce("t", "comp")).drop("c", "t")
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that many classes of several components have."""
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return rows.join(keys.filter(f"lo <> hi AND n >= {CROWD}").select("key"), "key", "left_semi")
+
+
 def _cross_pairs(percent: int):
     """All pairs of one tile between different components whose sizes and places allow the overlap, each once in the task."""
 
@@ -273,11 +291,29 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     rows = rows.select("cls", "size", "pos", F.col("k.keys").alias("key"), F.col("k.salts").alias("salts"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
     shared = stage(rows.repartition("key", "salt").mapInArrow(_shared_rows, TILE))
-    links = _verified(_first_pairs(shared, percent), classes, docs, n, percent)
-    labels = stage(connected_components(links))
-
-    labelled = shared.join(labels.toDF("a", "component"), "a", "left").withColumn("comp", F.coalesce("component", "a"))
-    labelled = stage(labelled.select("key", "salt", "salts", "a", "sa", "pa", "comp"))
+    band = F.log(F.col("sa").cast("double")) / math.log(100 / percent)
+    alone = shared.withColumn("comp", F.col("a"))
+    plans = F.array(_plan(0, band, F.col("a").cast("double")), _plan(1, band + 0.5, F.xxhash64("a").cast("double")))
+    links = _verified(_partners(alone, percent, plans), classes, docs, n, percent)
+    labelled = stage(_merged(alone, links))
+
+    # Crowds of near copies whose members are not all alike: those in most tiles stand for the crowd's middle.
+    crowd = stage(_crowded(labelled))
+    for turn in range(TURNS):
+        if crowd.isEmpty():
+            break
+        central = crowd.join(crowd.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "a")
+        noise = lambda i: 0.8 + 0.4 * F.pmod(F.xxhash64("a", F.lit(turn * 100 + i)), F.lit(1000)) / 1000  # noqa: B023, E731
+        plans = F.array(*(_plan(i, band + i % 2 * 0.5, -F.col("degree") * noise(i)) for i in range(PLANS)))
+        found = _verified(_partners(central, percent, plans), classes, docs, n, percent)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        merged = stage(_merged(crowd, found))
+        known = merged.select("a", F.col("comp").alias("new")).distinct()
+        labelled = labelled.join(known, "a", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+        crowd = stage(_crowded(merged))
+    labelled = stage(labelled)
     mixed_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     among = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.least(t, "salt") * F.col("salts").cast("long") + F.greatest(t, "salt"))
     # The tile of a salt with itself is 0, which needs no other salt; s * salts + t > 0 names the pair s < t.
@@ -285,9 +321,7 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     open_rows = labelled.join(mixed_keys, "key", "left_semi").select("key", "salt", "a", "sa", "pa", "comp", F.explode(own).alias("tile"))
     offered = open_rows.repartition("key", "tile").mapInArrow(_cross_pairs(percent), "a long, b long, sa int, sb int").dropDuplicates(["a", "b"])
     rest = _verified(offered, classes, docs, n, percent)
-    if not rest.isEmpty():
-        labels = stage(connected_components(links.unionByName(rest)))
-    return every.select("doc_id", "size", "cls"), labels
+    return every.select("doc_id", "size", "cls"), stage(connected_components(links.unionByName(rest)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
