@@ -15,6 +15,7 @@ dropped. Rows that repeat are packed each on its own. An empty table gives no se
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -31,7 +32,7 @@ from .common import documents, stage, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 #: Encoded runs a worker remembers; beyond it the memory starts anew. A bound on memory, not on the result.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 LONGEST_REMEMBERED = 48
 #: The tokenizer's white space, and its letters and numbers below U+0250.
 _WHITE = "\t-\r \x85\xa0"
@@ -54,6 +55,7 @@ class WordEncoder:
     _loaded: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; small batches cost more over threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
