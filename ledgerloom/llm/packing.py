@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, stage, text_or_empty
+from .common import documents, slices, stage, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
 #: Encoded runs a worker remembers; beyond it the memory starts anew. A bound on memory, not on the result.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 48
 #: The tokenizer's white space, and its letters and numbers below U+0250.
 _WHITE = "\t-\r \x85\xa0"
@@ -96,7 +96,7 @@ def _tokenised(path: str, capacity: int, end_id: int, with_ids: bool):
 
         task, encode = TaskContext.get().partitionId(), WordEncoder.of(path)
         ranks = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(9)]
             ids, texts, rows = (batch.column(i) for i in range(3))
             for doc, text, row in zip(ids.to_pylist(), texts, rows.to_pylist()):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage, text_or_empty
+from .common import documents, slices, stage, text_or_empty
 
 MARK = "▁"
 #: Characters of a chunk; documents of at most one chunk are not cut.
@@ -308,7 +308,7 @@ def _chunk_ids(path: str):
 def _short(path: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, crc, same, kept = [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py()

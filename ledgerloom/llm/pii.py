@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, slices, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("none", "email", "ip", "card", "phone", "secret")
@@ -308,7 +308,7 @@ def _written(spans: list[Span]) -> str:
 
 def _found(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = all_spans(batch.column("text").to_pylist(), field)
             counts = [[sum(s[0] == k for s in base) for base, _ in rows] for k in BASE]
             digest = [hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in rows]
@@ -330,7 +330,7 @@ def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Data
     field = Field(labelled_table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
             out = []

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage, text_or_empty
+from .common import documents, slices, stage, text_or_empty
 from .runs import SHAPES, runs
 
 WORDS, WIDTH, NONZERO = 8192, 32, 4
@@ -47,7 +47,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, sign = index_vectors()
     total = np.zeros(WORDS * WIDTH)
     seen = np.zeros(WORDS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for block in runs(batch.column(0)):
             word = _word(block.hash)
             seen += np.bincount(word, minlength=WORDS)
@@ -99,7 +99,7 @@ def pooled(texts: pa.StringArray, vectors: np.ndarray) -> np.ndarray:
 
 def _features(vectors: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = pooled(batch.column("text"), vectors).astype(np.float32)
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["doc_id", "label", "features"])
@@ -185,7 +185,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scorer = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text")))], ["doc_id", "score"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -200,7 +200,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(scorer(pc.fill_null(batch.column(at), "")) >= ACCEPT))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
 SHAPES = 6
 #: Bytes looked at together. A longer text is cut at the last white space before each multiple of it.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 class Runs(NamedTuple):
