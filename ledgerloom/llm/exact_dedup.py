@@ -88,7 +88,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents, whole rows, that exact deduplication keeps. Rows that repeat an id and its text stay once."""
-    found = stage(exact_dedup(spark, docs).select("doc_id", "kept"))
+    found = stage(exact_dedup(spark, docs).select("doc_id", "kept", "text_sha256"))
     stay = found.filter("kept").select(F.col("doc_id").alias("id"))
     gone = found.filter("NOT kept").select("doc_id").distinct()
     twice = stage(gone.join(stay, F.expr("doc_id <=> id"), "left_semi"))
@@ -96,11 +96,13 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     left = docs.join(broadcast_if_small(gone.withColumnRenamed("doc_id", "__gone")), F.expr("doc_id <=> __gone"), "left_anti")
     if twice.isEmpty():
         return left
-    # Ids that are both kept and dropped stand on several rows: of those rows each text stays once.
+    # Ids that are both kept and dropped stand on several rows: of those rows each text that is kept by the id stays once.
     named = twice.withColumnRenamed("doc_id", "__twice")
     same = F.sha2(F.regexp_replace(text_or_empty(), IGNORED, "").cast("binary"), 256)
     repeated = left.join(named, F.expr("doc_id <=> __twice"), "left_semi").withColumn("__digest", same)
-    first = repeated.withColumn("__n", F.row_number().over(Window.partitionBy("__digest").orderBy(F.char_length(text_or_empty()).desc(), F.col("doc_id").asc_nulls_last())))
+    own = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
+    repeated = repeated.join(own, F.expr("doc_id <=> __id AND __digest = __kept"), "left_semi")
+    first = repeated.withColumn("__n", F.row_number().over(Window.partitionBy("__digest").orderBy(F.char_length(text_or_empty()).desc())))
     return left.join(named, F.expr("doc_id <=> __twice"), "left_anti").unionByName(first.filter("__n = 1").select(*docs.columns))
 
 

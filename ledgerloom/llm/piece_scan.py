@@ -282,9 +282,10 @@ def _read(states: int, data: bytes) -> np.ndarray:
 
 
 def _combined(table: pa.Table) -> pa.Table:
+    """The product of one block's matrices, under the block's number."""
     rows = sorted(table.to_pylist(), key=lambda r: r["at"])
     m = product([_read(r["states"], r["matrix"]) for r in rows])
-    return pa.table({"row": pa.array([rows[0]["row"]], pa.int64()), "at": pa.array([rows[0]["at"] // TOGETHER], pa.int64()), "states": pa.array([m.shape[0]], pa.int32()), "matrix": pa.array([m.tobytes()], pa.binary())})
+    return pa.table({"row": pa.array([rows[0]["row"]], pa.int64()), "at": pa.array([rows[0]["block"]], pa.int64()), "states": pa.array([m.shape[0]], pa.int32()), "matrix": pa.array([m.tobytes()], pa.binary())})
 
 
 def _fixed(table: pa.Table) -> pa.Table:
@@ -336,12 +337,12 @@ def _long(rows: DataFrame, path: str, chunk: int) -> DataFrame:
     levels = [stage(dealt.mapInArrow(_matrices(path), LEVEL))]
     while most > 1:
         up = levels[-1].withColumn("block", F.expr(f"at div {TOGETHER}"))
-        levels.append(stage(up.groupBy("row", "block").applyInArrow(lambda t: _combined(t.drop_columns(["block"])), LEVEL)))
+        levels.append(stage(up.groupBy("row", "block").applyInArrow(_combined, LEVEL)))
         most = -(-most // TOGETHER)
     states = levels[-1].select("row", "at", F.lit(0).alias("entry"), F.lit(0).alias("exit"))
     for below in levels[-2::-1]:
         inner = below.withColumn("block", F.expr(f"at div {TOGETHER}")).join(states.withColumnRenamed("at", "block"), ["row", "block"])
-        states = stage(inner.groupBy("row", "block").applyInArrow(lambda t: _fixed(t.drop_columns(["block"])), "row long, at long, entry int, exit int"))
+        states = stage(inner.groupBy("row", "block").applyInArrow(_fixed, "row long, at long, entry int, exit int"))
     known = chunks.join(states.withColumnRenamed("at", "chunk"), ["row", "chunk"])
     parts = known.mapInArrow(_chunk_ids(path), "row long, chunk long, ids binary, decoded string")
     ordered = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids", "decoded"))).alias("p"))
