@@ -35,8 +35,11 @@ MARK = "▁"
 CHUNK = 32_768
 #: Matrices combined in one step.
 TOGETHER = 32
-REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Where no piece has a letter next to another sign, words end there too, which makes them fewer.
+_LETTER, _OTHER = r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]", rf"(?:[^\w{MARK}]|[\d_\xb2\xb3\xb9\xbc-\xbe])"
+_RUNS = re.compile(f"{MARK}*{_LETTER}+|{MARK}*{_OTHER}+|{MARK}+")
 NO_PATH = -np.inf
 
 
@@ -57,6 +60,10 @@ class Pieces:
         self.ids = {self.texts[i]: i for i in own}
         self.score = {self.texts[i]: model.get_score(i) for i in own}
         self.longest = max(map(len, self.ids))
+        letters = re.compile(_LETTER)
+        apart = all(bool(letters.match(a)) == bool(letters.match(b)) for p in self.ids for a, b in zip(p, p[1:]) if MARK not in (a, b))
+        self.cut = (_RUNS if apart else _WORDS).findall
+        self.written = [bytes((self.byte_of[i],)) if i in self.byte_of else self.texts[i].encode() for i in ids]
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         # A piece that its own text does not encode to is never in an encoding.
@@ -131,7 +138,7 @@ class Pieces:
 
     def encode(self, marked: str) -> bytes:
         """Ids of a text whose spaces are marks, as little-endian 32-bit numbers."""
-        words, known = _WORDS.findall(marked), self.words
+        words, known = self.cut(marked), self.words
         missing = list(set(words).difference(known))
         if missing:
             if len(known) + len(missing) > REMEMBERED:
@@ -147,11 +154,7 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """The marked text of ids."""
-        parts: list[bytes] = []
-        for i in np.frombuffer(ids, "<u4").tolist():
-            b = self.byte_of.get(i)
-            parts.append(self.texts[i].encode() if b is None else bytes((b,)))
-        return b"".join(parts).decode("utf-8", "replace")
+        return b"".join(map(self.written.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
     def states(self, text: str, cut: int) -> list[tuple[int, int]]:
         """Pieces (start, end) that begin before the cut and reach it; the same seen from either side."""
