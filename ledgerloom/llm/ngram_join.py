@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -298,7 +299,7 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     labelled = stage(_merged(alone, links))
 
     # Crowds of near copies whose members are not all alike: those in most tiles stand for the crowd's middle.
-    crowd = stage(_crowded(labelled))
+    crowd, turns = stage(_crowded(labelled)), []
     for turn in range(TURNS):
         if crowd.isEmpty():
             break
@@ -310,10 +311,11 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
             break
         links = links.unionByName(found)
         merged = stage(_merged(crowd, found))
-        known = merged.select("a", F.col("comp").alias("new")).distinct()
-        labelled = labelled.join(known, "a", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+        turns.append(merged.select("a", F.struct(F.lit(turn).alias("turn"), "comp").alias("new")).distinct())
         crowd = stage(_crowded(merged))
-    labelled = stage(labelled)
+    if turns:
+        last = reduce(DataFrame.unionByName, turns).groupBy("a").agg(F.max("new").alias("new"))
+        labelled = stage(labelled.join(last, "a", "left").withColumn("comp", F.coalesce("new.comp", "comp")).drop("new"))
     mixed_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     among = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.least(t, "salt") * F.col("salts").cast("long") + F.greatest(t, "salt"))
     # The tile of a salt with itself is 0, which needs no other salt; s * salts + t > 0 names the pair s < t.
