@@ -68,7 +68,6 @@ class Pieces:
         self.pairs: dict[tuple[str, str], bool] = {}
         # A piece that its own text does not encode to is never in an encoding.
         self.standing = {p for p in self.ids if self.merged(p) == [p]}
-        self.lengths = sorted({len(p) for p in self.standing} | {1}, reverse=True)
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -106,10 +105,8 @@ class Pieces:
         last[start] = first if first is not None else ""
         standing, check = self.standing, self.side_by_side
         for i in range(start + 1, end + 1):
-            for n in self.lengths:
+            for n in range(min(self.longest, i - start), 0, -1):
                 at = i - n
-                if at < start:
-                    continue
                 before = last[at]
                 if before is None:
                     continue
