@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, stage, text_or_empty
+from .common import broadcast_if_small, documents, release, slices, stage, text_or_empty
 from .components import connected_components
 from .shingles import mixed, shingle_set
 
@@ -65,7 +65,7 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 def _count_shingles(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0):
                 at = (shingle_set(text.as_py().encode(), n) & np.uint64(COUNTERS - 1)).astype(np.int64)
                 counts += np.bincount(at, minlength=COUNTERS) if len(at) > COUNTERS // 8 else 0
@@ -102,7 +102,7 @@ def _classes(n: int, percent: int, counts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, classes, keys, dealt, bitmaps = [], [], [], [], []
             for text in batch.column("text"):
                 values = shingle_set(text.as_py().encode(), n)
@@ -140,17 +140,20 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run_of = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
     shared = (np.bincount(run_of)[run_of] > 1) | (salts > 1)
     columns = {"key": key, "salt": salt, "salts": salts, "a": cls, "sa": size, "pa": pos}
-    yield from _batches({c: x[shared] for c, x in columns.items()})
+    columns = {c: x[shared] for c, x in columns.items()}
+    del key, salt, salts, cls, size, pos, order, again, run_of
+    yield from _batches(columns)
+    release()
 
 
-def _partners(rows: DataFrame, percent: int, plans: Column) -> DataFrame:
+def _partners(rows: DataFrame, percent: int, plan: Column) -> DataFrame:
     """Partners of another component, one for each class and plan at most.
 
-    A plan says in which band of sizes a row counts, and which row of a tile (a shingle and a band) stands for it; of the
-    rows that stand for a class's tiles the one that it meets in most tiles is its partner. So a group of copies offers
+    Each shingle belongs to one plan, which says in which band of sizes a row counts, and which row of a tile (a shingle
+    and a band) stands for it; of the rows that stand for a class's tiles the one that it meets in most tiles is its partner. So a group of copies offers
     as many pairs as it has members, whatever its size.
     """
-    placed = rows.select("key", "a", "sa", "pa", "comp", F.explode(plans).alias("p")).select("key", "a", "sa", "pa", "comp", "p.*")
+    placed = rows.select("key", "a", "sa", "pa", "comp", plan.alias("p")).select("key", "a", "sa", "pa", "comp", "p.*")
     one = F.struct("prio", F.col("a").alias("h"), F.col("sa").alias("sh"), F.col("pa").alias("ph"), F.col("comp").alias("ch"))
     first = placed.groupBy("key", "plan", "band").agg(F.min(one).alias("f"), F.count(F.lit(1)).alias("n"))
     met = placed.join(first.filter("n > 1").select("key", "plan", "band", "f.h", "f.sh", "f.ph", "f.ch"), ["key", "plan", "band"])
@@ -164,8 +167,8 @@ def _partners(rows: DataFrame, percent: int, plans: Column) -> DataFrame:
     ).dropDuplicates(["a", "b"])
 
 
-def _plan(i: int, band: Column, prio: Column) -> Column:
-    return F.struct(F.lit(i).alias("plan"), F.floor(band).alias("band"), prio.alias("prio"))
+def _plan(number: Column, band: Column, prio: Column) -> Column:
+    return F.struct(number.alias("plan"), F.floor(band + number % 2 * 0.5).alias("band"), prio.alias("prio"))
 
 
 def _merged(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -242,7 +245,7 @@ def _may_overlap(percent: int):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values, ok = [], []
             for text, size, own in zip(batch.column("text"), batch.column("size").to_pylist(), batch.column("cls").to_pylist()):
                 v = shingle_set(text.as_py().encode(), n)
@@ -294,8 +297,9 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     shared = stage(rows.repartition("key", "salt").mapInArrow(_shared_rows, TILE))
     band = F.log(F.col("sa").cast("double")) / math.log(100 / percent)
     alone = shared.withColumn("comp", F.col("a"))
-    plans = F.array(_plan(0, band, F.col("a").cast("double")), _plan(1, band + 0.5, F.xxhash64("a").cast("double")))
-    links = _verified(_partners(alone, percent, plans), classes, docs, n, percent)
+    half = F.pmod(F.xxhash64("key"), F.lit(2))
+    plan = _plan(half, band, F.when(half == 0, F.col("a").cast("double")).otherwise(F.xxhash64("a").cast("double")))
+    links = _verified(_partners(alone, percent, plan), classes, docs, n, percent)
     labelled = stage(_merged(alone, links))
 
     # Crowds of near copies whose members are not all alike: those in most tiles stand for the crowd's middle.
@@ -304,9 +308,9 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
         if crowd.isEmpty():
             break
         central = crowd.join(crowd.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "a")
-        noise = lambda i: 0.8 + 0.4 * F.pmod(F.xxhash64("a", F.lit(turn * 100 + i)), F.lit(1000)) / 1000  # noqa: B023, E731
-        plans = F.array(*(_plan(i, band + i % 2 * 0.5, -F.col("degree") * noise(i)) for i in range(PLANS)))
-        found = _verified(_partners(central, percent, plans), classes, docs, n, percent)
+        number = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(PLANS))
+        noise = 0.8 + 0.4 * F.pmod(F.xxhash64("a", number, F.lit(turn)), F.lit(1000)) / 1000
+        found = _verified(_partners(central, percent, _plan(number, band, -F.col("degree") * noise)), classes, docs, n, percent)
         if found.isEmpty():
             break
         links = links.unionByName(found)
