@@ -1,10 +1,14 @@
 """Long texts cut down to what stands near an anchor.
 
 All within a document's own array of lines, so that no line leaves its row: no shuffle, and no window over a text.
+Which lines hit an anchor is a string of marks, a character a line, so that widening the hits and finding the runs
+between them are single passes over a short string.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,68 +18,89 @@ GAP = "[…]"
 CONTEXT, FLOOR, BUDGET = 4, 0.15, 290_000
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def lines(text: Column) -> Column:
     """Lines of a text; all of the line ends count and the last one leaves no empty line."""
-    plain = F.regexp_replace(text, "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]", "\n")
-    parts = F.split(plain, "\n")
-    return F.when(F.endswith(plain, F.lit("\n")) | (plain == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    ends = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
+    return F.split(F.regexp_replace(F.regexp_replace(text, ends, "\n"), r"\n\z", ""), "\n")
 
 
 def _hit(line: Column, anchors: str) -> Column:
     return F.rlike(sharp_s_folded(line), F.lit(f"(?i){anchors}"))
 
 
-def _with_gaps(kept: Column) -> Column:
-    """An array of (line, keep): kept lines, and one gap for each run of others."""
+def _marks(parts: Column, anchors: str) -> Column:
+    """1 for a part with a hit, else 0."""
+    return F.array_join(F.transform(parts, lambda x: F.when(_hit(x, anchors), "1").otherwise("0")), "")
 
-    # Runs are found by the neighbour's mark, in one pass and without growing an array line by line.
-    def mark(x: Column, i: Column) -> Column:
-        before = F.get(kept, i - 1)["keep"]
-        return F.when(x["keep"], x["line"]).when((i == 0) | F.coalesce(before, F.lit(False)), F.lit(GAP))
 
-    return F.array_join(F.filter(F.transform(kept, mark), lambda x: x.isNotNull()), "\n")
+def _wider(marks: Column, context: int) -> Column:
+    """Marks with as many more on either side of each 1."""
+    for _ in range(context):
+        marks = F.regexp_replace(marks, "0(?=1)|(?<=1)0", "1")
+    return marks
 
 
-def window_trim(text_lines: Column, anchors: str, context: int = CONTEXT) -> Column:
-    """Lines within ``context`` of a hit; each run of others is one gap mark, a leading one too."""
-    hits = F.transform(text_lines, lambda x: _hit(x, anchors))
+def _kept(parts: Column, marks: Column) -> Column:
+    """The marked parts, and one gap for each run of others."""
+    shown = F.split(F.regexp_replace(marks, "(?<=0)0", "-"), "(?!^)(?=.)")
+    out = F.zip_with(parts, shown, lambda x, m: F.when(m == "1", x).when(m == "0", F.lit(GAP)))
+    return F.array_join(F.filter(out, lambda x: x.isNotNull()), "\n")
 
-    def near(x: Column, i: Column) -> Column:
-        around = F.slice(hits, F.greatest(i - context, F.lit(0)) + 1, F.least(i, F.lit(context)) + context + 1)
-        return F.struct(x.alias("line"), F.exists(around, lambda h: h).alias("keep"))
 
-    return _with_gaps(F.transform(text_lines, near))
+def window_trim(text_lines: Column, anchors: str, context: int = CONTEXT) -> Column:
+    """Lines within ``context`` of a hit; each run of others is one gap mark, a leading one too."""
+    return _bound(text_lines, lambda ls: _kept(ls, _wider(_marks(ls, anchors), context)))
 
 
 def section_trim(text: Column, anchors: str) -> Column:
     """Sections from header to header that hold a hit; a run of dropped ones is one gap mark."""
-    joined = F.array_join(lines(text), "\n")
-    blocks = F.split(joined, r"\n(?=[^\S\n]*§[^\S\n]*\d)")
-    return _with_gaps(F.transform(blocks, lambda b: F.struct(b.alias("line"), _hit(b, anchors).alias("keep"))))
+    blocks = F.split(F.array_join(lines(text), "\n"), r"\n(?=[^\S\n]*§[^\S\n]*\d)")
+    return _bound(blocks, lambda bs: _kept(bs, _marks(bs, anchors)))
+
+
+def _prepared(text: Column, anchors: str, then: Callable[[Column], Column]) -> Column:
+    """then() of the de-hyphenated text, its lines, their marks and its trimmed sections, each computed once."""
+    halfway = lambda w: F.struct(w.alias("whole"), lines(w).alias("ls"), section_trim(w, anchors).alias("sections"))
+    marked = lambda s: F.struct(s["whole"].alias("whole"), s["ls"].alias("ls"), s["sections"].alias("sections"), _marks(s["ls"], anchors).alias("marks"))
+    return _bound(dehyphenated(text), lambda w: _bound(halfway(w), lambda s: _bound(marked(s), then)))
+
+
+def _choice(s: Column, context: int, floor: float, anchors: str) -> Column:
+    least = F.length(s["whole"]) * F.lit(floor)
+    both = F.struct(_kept(s["ls"], _wider(s["marks"], context)).alias("a"), s["sections"].alias("b"))
+
+    def pick(c: Column) -> Column:
+        a, b = c["a"], c["b"]
+        shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
+        fits = lambda x: F.length(x) >= least
+        return F.when(fits(a) & fits(b), shorter).when(fits(a), a).when(fits(b), b).when(_hit(s["whole"], anchors), shorter).otherwise(s["whole"])
+
+    return _bound(both, pick)
 
 
 def trim(text: Column, anchors: str, context: int = CONTEXT, floor: float = FLOOR) -> Column:
     """The shorter of both ways that keeps at least ``floor`` of the text; the shortest if neither does but an anchor is there, else the text."""
-    whole = dehyphenated(text)
-    least = F.length(whole) * F.lit(floor)
-    a, b = window_trim(lines(whole), anchors, context), section_trim(whole, anchors)
-    fits = lambda x: F.length(x) >= least
-    shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    return (
-        F.when(fits(a) & fits(b), shorter).when(fits(a), a).when(fits(b), b).when(_hit(whole, anchors), shorter).otherwise(whole)
-    )
+    return _prepared(text, anchors, lambda s: _choice(s, context, floor, anchors))
 
 
-def trim_to_budget(text: Column, anchors: str, budget: int = BUDGET, context: int = CONTEXT) -> Column:
+def trim_to_budget(text: Column, anchors: str, budget: int = BUDGET, context: int = CONTEXT, floor: float = FLOOR) -> Column:
     """The widest context from ``context`` down to 1 whose result fits; the narrowest if none does."""
-    out = trim(text, anchors, 1)
-    for c in range(2, context + 1):
-        wide = trim(text, anchors, c)
-        out = F.when(F.length(wide) <= budget, wide).otherwise(out)
-    return out
+
+    def widest(s: Column) -> Column:
+        tries = F.array(*(_choice(s, c, floor, anchors) for c in range(context, 0, -1)))
+        return _bound(tries, lambda t: F.coalesce(F.get(F.filter(t, lambda x: F.length(x) <= budget), 0), F.element_at(t, -1)))
+
+    return _prepared(text, anchors, widest)
 
 
 def sizes(original: Column, trimmed: Column) -> Column:
     """Characters before and after, percentage kept, and about how many tokens that is."""
-    a, b = F.length(original).cast("long"), F.length(trimmed).cast("long")
-    return F.struct(a.alias("chars"), b.alias("kept"), (b * F.lit(100.0) / F.greatest(a, F.lit(1))).alias("kept_pct"), (b / 4).cast("long").alias("tokens"))
+    return _bound(
+        F.struct(F.length(original).cast("long").alias("a"), F.length(trimmed).cast("long").alias("b")),
+        lambda n: F.struct(n["a"].alias("chars"), n["b"].alias("kept"), (n["b"] * F.lit(100.0) / F.greatest(n["a"], F.lit(1))).alias("kept_pct"), (n["b"] / 4).cast("long").alias("tokens")),
+    )
