@@ -109,16 +109,16 @@ def test_quartiles_are_nearest_rank(spark):
 
 
 def test_resolution_tiers(spark):
-    manifest = spark.createDataFrame([("ARAG SE", "X", "arag__x", 1), ("Allianz", "Y", "allianz__y", 2), ("Allianz Direct", "Y", "direct__y", 3), ("Roland", "Z", "roland__z", 4)], "insurer string, product string, stem string, ordinal int")
-    asked = spark.createDataFrame([("1", "arag se", "x"), ("2", "ARAG", "X"), ("3", "Direct", "Y"), ("4", "All", "Y"), ("5", "HUK", "Z")], "row_id string, insurer string, product string")
-    assert rows(resolve.resolve(asked, manifest)) == [("1", "arag__x", "exact"), ("2", "arag__x", "loose"), ("3", "direct__y", "loose"), ("4", None, "none"), ("5", None, "none")]
+    manifest = spark.createDataFrame([("ALFA SE", "X", "alfa__x", 1), ("Bravo", "Y", "bravo__y", 2), ("Bravo Direct", "Y", "direct__y", 3), ("Romeo", "Z", "romeo__z", 4)], "insurer string, product string, stem string, ordinal int")
+    asked = spark.createDataFrame([("1", "alfa se", "x"), ("2", "ALFA", "X"), ("3", "Direct", "Y"), ("4", "All", "Y"), ("5", "Zulu", "Z")], "row_id string, insurer string, product string")
+    assert rows(resolve.resolve(asked, manifest)) == [("1", "alfa__x", "exact"), ("2", "alfa__x", "loose"), ("3", "direct__y", "loose"), ("4", None, "none"), ("5", None, "none")]
 
 
 def test_ratings_match_whole_words(spark):
-    records = spark.createDataFrame([("oerag__x", "OERAG"), ("arag__x", "ARAG")], "stem string, insurer string")
-    ratings = spark.createDataFrame([("insurer", "arag", "s", "b")], "scope string, subject string, source string, badge string")
+    records = spark.createDataFrame([("oealfa__x", "OEALFA"), ("alfa__x", "ALFA")], "stem string, insurer string")
+    ratings = spark.createDataFrame([("insurer", "alfa", "s", "b")], "scope string, subject string, source string, badge string")
     aliases = spark.createDataFrame([], "stem string, alias_of string")
-    assert rows(resolve.ratings_for(records, ratings, aliases), "stem") == [("arag__x",)]
+    assert rows(resolve.ratings_for(records, ratings, aliases), "stem") == [("alfa__x",)]
 
 
 def test_missing_values_sort_as_stated(spark):
