@@ -13,6 +13,7 @@ from .views import table
 
 #: Anchors that invented prose has here and there.
 ANCHORS = "pathetic|benefit|token|example|license"
+#: Of the SQL alone: the queries read every document, so they equal their SQL on these rows only.
 _SHORT = "n_chars < 3000"
 _DOCS = rf"""docs AS (SELECT doc_id, text AS whole, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM documents WHERE {_SHORT}),
 lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM docs),
@@ -25,13 +26,9 @@ def _trimmed(context: int, name: str) -> str:
 {name} AS (SELECT doc_id, coalesce(string_agg(o, chr(10) ORDER BY i) FILTER (o IS NOT NULL), '') AS {name} FROM {name}_g GROUP BY doc_id)"""
 
 
-def _short(spark, sf):
-    return table(spark, sf, "documents").filter(_SHORT)
-
-
 @query(f"WITH {_DOCS}, {_trimmed(4, 'trimmed')} SELECT doc_id, trimmed FROM trimmed")
 def trim_window(spark, sf):
-    return _short(spark, sf).select("doc_id", trimming.window_trim(trimming.lines(F.col("text")), ANCHORS).alias("trimmed"))
+    return table(spark, sf, "documents").select("doc_id", trimming.window_trim(trimming.lines(F.col("text")), ANCHORS).alias("trimmed"))
 
 
 _SECTIONS = """sec AS (SELECT doc_id, CASE WHEN hit1 THEN whole ELSE '[…]' END AS sec FROM (SELECT doc_id, array_to_string(ls, chr(10)) AS whole, regexp_matches(lower(replace(array_to_string(ls, chr(10)), 'ß', 'ss')), 'A_N_C') AS hit1 FROM docs))""".replace("A_N_C", ANCHORS)
@@ -39,7 +36,7 @@ _SECTIONS = """sec AS (SELECT doc_id, CASE WHEN hit1 THEN whole ELSE '[…]' END
 
 @query(f"WITH {_DOCS}, {_SECTIONS} SELECT doc_id, sec AS trimmed FROM sec")
 def trim_sections(spark, sf):
-    return _short(spark, sf).select("doc_id", trimming.section_trim(F.col("text"), ANCHORS).alias("trimmed"))
+    return table(spark, sf, "documents").select("doc_id", trimming.section_trim(F.col("text"), ANCHORS).alias("trimmed"))
 
 
 _CHOICE = """CASE WHEN length({w}) >= f AND length(sec) >= f THEN CASE WHEN length({w}) <= length(sec) THEN {w} ELSE sec END WHEN length({w}) >= f THEN {w} WHEN length(sec) >= f THEN sec
@@ -48,7 +45,7 @@ WHEN regexp_matches(lower(replace(whole, 'ß', 'ss')), 'A_N_C') THEN CASE WHEN l
 
 @query(f"WITH {_DOCS}, {_trimmed(4, 'w4')}, {_SECTIONS} SELECT doc_id, {_CHOICE.format(w='w4')} AS trimmed FROM (SELECT *, length(whole) * 0.15 AS f FROM docs JOIN w4 USING (doc_id) JOIN sec USING (doc_id))")
 def trim_choice(spark, sf):
-    return _short(spark, sf).select("doc_id", trimming.trim(F.col("text"), ANCHORS).alias("trimmed"))
+    return table(spark, sf, "documents").select("doc_id", trimming.trim(F.col("text"), ANCHORS).alias("trimmed"))
 
 
 _BUDGET = 300
@@ -58,13 +55,13 @@ _BUDGET = 300
 c AS (SELECT doc_id, {", ".join(f"{_CHOICE.format(w=f'w{n}')} AS c{n}" for n in (1, 2, 3, 4))} FROM (SELECT *, length(whole) * 0.15 AS f FROM docs JOIN w1 USING (doc_id) JOIN w2 USING (doc_id) JOIN w3 USING (doc_id) JOIN w4 USING (doc_id) JOIN sec USING (doc_id)))
 SELECT doc_id, CASE WHEN length(c4) <= {_BUDGET} THEN c4 WHEN length(c3) <= {_BUDGET} THEN c3 WHEN length(c2) <= {_BUDGET} THEN c2 ELSE c1 END AS trimmed FROM c""")
 def trim_budget(spark, sf):
-    return _short(spark, sf).select("doc_id", trimming.trim_to_budget(F.col("text"), ANCHORS, _BUDGET).alias("trimmed"))
+    return table(spark, sf, "documents").select("doc_id", trimming.trim_to_budget(F.col("text"), ANCHORS, _BUDGET).alias("trimmed"))
 
 
 @query(f"WITH {_DOCS}, {_trimmed(4, 'w4')} SELECT doc_id, length(whole) AS chars, length(w4) AS kept, length(w4) * 100.0::DOUBLE / greatest(length(whole), 1) AS kept_pct, length(w4) // 4 AS tokens FROM docs JOIN w4 USING (doc_id)")
 def trim_stats(spark, sf):
     cut = trimming.window_trim(trimming.lines(F.col("text")), ANCHORS)
-    return _short(spark, sf).select("doc_id", trimming.sizes(F.col("text"), cut).alias("s")).select("doc_id", "s.*")
+    return table(spark, sf, "documents").select("doc_id", trimming.sizes(F.col("text"), cut).alias("s")).select("doc_id", "s.*")
 
 
 @query("SELECT doc_id, replace(text, 'xx-' || chr(10) || 'yy', 'xxyy') AS joined FROM (SELECT doc_id, left(text, 40) || ' xx-' || chr(10) || 'yy Zz-' || chr(10) || 'Aa' AS text FROM documents WHERE n_chars < 1000)")
