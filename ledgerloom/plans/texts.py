@@ -66,8 +66,8 @@ def trim_stats(spark, sf):
 
 @query("SELECT doc_id, replace(text, 'xx-' || chr(10) || 'yy', 'xxyy') AS joined FROM (SELECT doc_id, left(text, 40) || ' xx-' || chr(10) || 'yy Zz-' || chr(10) || 'Aa' AS text FROM documents WHERE n_chars < 1000)")
 def dehyphenate(spark, sf):
-    split = F.concat(F.substring("text", 1, 40), F.lit(" xx-\nyy Zz-\nAa"))
-    return table(spark, sf, "documents").filter("n_chars < 1000").select("doc_id", text.dehyphenated(split).alias("joined"))
+    split = F.concat(F.col("text"), F.lit(" xx-\nyy Zz-\nAa"))
+    return table(spark, sf, "documents").select("doc_id", text.dehyphenated(split).alias("joined"))
 
 
 @query("""SELECT sha256(t) AS content_sha256, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS places FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE t <> '' GROUP BY t HAVING count(*) > 1""")
@@ -104,5 +104,5 @@ def undercounts(spark, sf):
 
 @query("SELECT conv_id, '# reply' || string_agg(chr(10) || chr(10) || '=== ' || role || ' ===' || chr(10) || t, '' ORDER BY role, t) AS payload FROM (SELECT conv_id, role, left(text, 60) AS t FROM conversations) GROUP BY conv_id")
 def payloads(spark, sf):
-    turns = table(spark, sf, "conversations").select(F.col("conv_id"), F.col("role").alias("doctype"), F.substring("text", 1, 60).alias("text"))
+    turns = table(spark, sf, "conversations").select(F.col("conv_id"), F.col("role").alias("doctype"), "text")
     return built(turns, "# reply", "conv_id")

@@ -10,7 +10,10 @@ from ledgerloom.plans.texts import ANCHORS
 from .test_queries import ORACLE, SF, duck, rows  # noqa: F401
 
 #: The part of each query's SQL that leaves rows or text out, and what stands there for the whole.
-SUBSETS = {name: [(" WHERE n_chars < 3000", "")] for name in ("trim_window", "trim_sections", "trim_choice", "trim_budget", "trim_stats")}
+SUBSETS = {name: [(" WHERE n_chars < 3000", "")] for name in ("trim_window", "trim_sections", "trim_choice", "trim_budget", "trim_stats")} | {
+    "norm_key": [(" WHERE n_chars < 400", "")], "amounts_tokens": [(" WHERE n_chars < 2000", "")], "parse_note": [(" WHERE l_orderkey % 10 = 0", "")], "slug": [("left(text, 80)", "text")],
+    "dehyphenate": [(" WHERE n_chars < 1000", ""), ("left(text, 40)", "text")], "payloads": [("left(text, 60)", "text")],
+}
 
 
 @pytest.mark.parametrize("name", sorted(SUBSETS))
@@ -64,3 +67,16 @@ def test_trims_long_texts(spark, tmp_path, name, by_hand):
     frame = spark.createDataFrame([(i, t, len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long")
     got = run(spark, tmp_path, name, "documents", frame)
     assert dict(zip(got.doc_id, got["kept" if name == "trim_stats" else "trimmed"])) == {i: by_hand(t) for i, t in texts.items()}
+
+
+def test_scalars_read_long_texts(spark, tmp_path):
+    text = "Ein Wort-\nteil, 1.234,56 EUR \u00e4 " + "noch  ein\tSatz. " * 300 + "zuletzt 7.654.321 und Sil-\nbe \u00dc"
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    key = lambda name, column: run(spark, tmp_path / name, name, "documents", docs)[column].tolist()
+    assert key("norm_key", "key") == [" ".join(text.split())]
+    assert key("amounts_tokens", "tokens") == ["1234|7654321"]
+    assert key("dehyphenate", "joined") == [text.replace("-\n", "") + " xxyy Zz-\nAa"]
+    slug = key("slug", "slug")[0]
+    assert slug.startswith("ein-wort-teil-1-234-56-eur-ae-noch") and slug.endswith("-zuletzt-7-654-321-und-sil-be-ue")
+    turns = spark.createDataFrame([(1, "user", text), (1, "assistant", "short")], "conv_id long, role string, text string")
+    assert run(spark, tmp_path / "payloads", "payloads", "conversations", turns).payload.tolist() == ["# reply\n\n=== assistant ===\nshort\n\n=== user ===\n" + text]
