@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,9 @@ SUPPORT = 6
 STRONG, STRONGEST = 2.5, 4.0
 REJECT = 0.7
 REMEMBERED = 200_000
+#: Longest token that is remembered, and the characters that are decoded at a time. Neither changes what is restored.
+REMEMBERED_LENGTH = 64
+BLOCK = 2048
 
 #: Letters of the model: 0 stands for all that is not a letter, 1-26 for a-z, then accented ones, the last for others.
 LETTERS = 61
@@ -89,40 +94,71 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32).reshape(LETTERS, LETTERS, LETTERS)
 
 
+@lru_cache(4096)
+def _letter(char: str) -> int:
+    return int(letters(char)[0])
+
+
+def _units(token: str) -> list[tuple[str, bool]]:
+    """Characters, each with whether it stands for a stretched run of one letter, which is a single step however long."""
+    out: list[tuple[str, bool]] = []
+    for char, same in groupby(token):
+        n = sum(1 for _ in same)
+        out += [(char, True)] if n >= 3 and char.isalpha() else [(char, False)] * n
+    return out
+
+
+def _forward(units: list[tuple[str, bool]], live: dict, model: np.ndarray) -> tuple[dict, list[dict]]:
+    """Scores of the last two letters after the units, and for each unit where its states came from and what they wrote."""
+    layers = []
+    for char, stretched in units:
+        scores: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        if stretched:
+            ways = [(char, STRETCHED), (char + char, STRETCHED)]
+        elif char.isalpha():
+            ways = [(char, 0.0)]
+        elif char in LOOKALIKES:
+            ways = [*((x, LOOKALIKE) for x in LOOKALIKES[char]), ("", IGNORED)]
+        else:
+            ways = [("", 0.0), (" ", WORD_GAP)]
+        for state, score in live.items():
+            for written, cost in ways:
+                if written == " " and not state[1]:  # nothing written yet, or a space just now
+                    continue
+                at, total = state, score + cost
+                for x in written:
+                    i = _letter(x)
+                    total += float(model[at[0], at[1], i])
+                    at = (at[1], i)
+                if scores.get(at, -np.inf) < total:
+                    scores[at], came[at] = total, (state, written)
+        live = scores
+        layers.append(came)
+    return live, layers
+
+
 def restore(token: str, model: np.ndarray) -> str:
-    """The best path through the token's lattice; words that the path parts are separated by a space."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    waiting: list[dict] = [{} for _ in range(len(token) + 1)]
-    waiting[0] = best
-
-    def to(at: int, state: tuple[int, int], score: float, out: str, letter: str) -> None:
-        for x in letter:
-            i = int(letters(x)[0])
-            score += float(model[state[0], state[1], i])
-            state = (state[1], i)
-        out += letter
-        if waiting[at].get(state, (-np.inf,))[0] < score:
-            waiting[at][state] = (score, out)
-
-    for at, char in enumerate(token):
-        run = len(token[at:]) - len(token[at:].lstrip(char))
-        for state, (score, out) in waiting[at].items():
-            if char.isalpha():
-                to(at + 1, state, score, out, char) if run < 3 else None
-                if run >= 3:
-                    to(at + run, state, score + STRETCHED, out, char)
-                    to(at + run, state, score + STRETCHED, out, char + char)
-            elif char in LOOKALIKES:
-                for letter in LOOKALIKES[char]:
-                    to(at + 1, state, score + LOOKALIKE, out, letter)
-                to(at + 1, state, score + IGNORED, out, "")
-            else:
-                to(at + 1, state, score, out, "")
-                if out and not out.endswith(" "):
-                    to(at + 1, state, score + WORD_GAP, out, " ")
-        waiting[at] = {}
-    ends = [(s + float(model[state[0], state[1], 0]), out) for state, (s, out) in waiting[len(token)].items()]
-    return max(ends)[1]
+    """The best path through the token's lattice; words that the path parts are separated by a space.
+
+    Long tokens are decoded in blocks: the scores at each block's beginning are kept, and the blocks are gone through
+    once more from the last to the first, so that the path is that of the whole token and its memory is of one block.
+    """
+    units = _units(token)
+    live: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    begins, layers = [], []
+    for at in range(0, len(units), BLOCK):
+        begins.append(live)
+        live, layers = _forward(units[at : at + BLOCK], live, model)
+    state = max(live, key=lambda s: live[s] + float(model[s[0], s[1], 0]))
+    out: list[str] = []
+    for k in reversed(range(len(begins))):
+        if k < len(begins) - 1:
+            _, layers = _forward(units[k * BLOCK : (k + 1) * BLOCK], begins[k], model)
+        for came in reversed(layers):
+            state, written = came[state]
+            out.append(written)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -150,7 +186,7 @@ class Restorer:
         for k in range(1, len(single) + 1):  # runs of one-character tokens
             if k == len(single) or single[k] != single[k - 1] + 1:
                 if k - begin >= 4:
-                    out.add(" ".join(parts[single[begin] : single[k - 1] + 1][:200]))
+                    out.add(" ".join(parts[single[begin] : single[k - 1] + 1]))
                 begin = k
         return out
 
@@ -161,7 +197,9 @@ class Restorer:
         for t in self.tokens(text):
             words = known.get(t)
             if words is None:
-                known[t] = words = self.token(t)
+                words = self.token(t)
+                if len(t) <= REMEMBERED_LENGTH:
+                    known[t] = words
             found.update(words)
         return found
 
@@ -199,7 +237,9 @@ def _evidence(model: np.ndarray, weights: dict[str, float]):
                 for t in restored.tokens(text.as_py()):
                     e = known.get(t)
                     if e is None:
-                        known[t] = e = max((weights.get(s, 0.0) for w in restored.token(t) for s in signs(w)), default=0.0)
+                        e = max((weights.get(s, 0.0) for w in restored.token(t) for s in signs(w)), default=0.0)
+                        if len(t) <= REMEMBERED_LENGTH:
+                            known[t] = e
                     if e:
                         found.append(e)
                 found.sort(reverse=True)
