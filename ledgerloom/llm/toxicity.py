@@ -52,7 +52,11 @@ _INDEX[0xDF:0x100] = np.where(_INDEX[0xDF:0x100] > 0, np.arange(27, 60), 0)
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
 #: Log costs of the channel.
 LOOKALIKE, IGNORED, STRETCHED, WORD_GAP = -1.5, -4.0, -0.5, -3.0
-_SIGN = re.compile(r"[^\W\d_][0134578@$!|+€]+[^\W\d_]|^[0134578@$!|+€]{1,2}[^\W\d_]{2}|[^\W\d_]{2}[0134578@$]$|([^\W\d_])\1\1")
+_ALIKE = "".join(map(re.escape, LOOKALIKES))
+#: Look-alikes that show obfuscation at a word's end too, where the others are plain marks.
+_ALIKE_LAST = "".join(re.escape(c) for c in LOOKALIKES if c not in "!|+€")
+_SIGN = re.compile(rf"[^\W\d_][{_ALIKE}]+[^\W\d_]|^[{_ALIKE}]{{1,2}}[^\W\d_]{{2}}|[^\W\d_]{{2}}[{_ALIKE_LAST}]$|([^\W\d_])\1\1")
+_GLUE = re.compile(rf"(?:[^\w{_ALIKE}]|_)+")
 _PARTED = re.compile(r"^\W*(?:[^\W_][.\-_*~/]){2,}[^\W_]\W*$")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -174,8 +178,12 @@ class Restorer:
         if not lowered.isalpha() or len(set(lowered)) <= len(lowered) - 2:
             if _PARTED.match(lowered) or " " in lowered:
                 words += restore(lowered.strip(".,;:?\"'()"), self.model).split()
-            elif len(lowered) <= 64 and _SIGN.search(bare := lowered.strip(".,;:?\"'()!")):
-                words += restore(bare, self.model).split()
+            else:
+                bare = lowered.strip(".,;:?\"'()!")
+                glued = _GLUE.split(bare)
+                for part in [bare, *glued] if len(glued) > 1 else [bare]:  # the whole, and what punctuation glues
+                    if _SIGN.search(part):
+                        words += restore(part, self.model).split()
         return tuple(words)
 
     def tokens(self, text: str) -> set[str]:

@@ -31,3 +31,9 @@ def test_blocks_give_the_path_of_the_whole(model, monkeypatch):
     for block in (1, 2, 7, 30):
         monkeypatch.setattr(toxicity, "BLOCK", block)
         assert toxicity.restore(token, model) == whole
+
+
+@pytest.mark.parametrize("token, word", [("i" * 100 + "diot", "idiot"), ("the.and,is/" * 12 + "m0r0n", "moron"), ("m0r0n;" + "clown-" * 20 + "a", "moron"), ("bi9pi9" + "pig" * 30, None), ("pi9", "pig")])
+def test_long_tokens_and_every_lookalike(model, token, word):
+    found = toxicity.Restorer(model)(token)
+    assert word in found if word else any("bigpig" in w for w in found)
