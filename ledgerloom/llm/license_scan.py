@@ -2,7 +2,9 @@
 
 Canonical: lower case, copyright lines gone, equivalent spellings folded, everything but letters and digits one
 space. A text matches if its canonical form equals a known one entirely. The units scanned are each document as a
-whole and each of its lines, as notices stand on lines of their own.
+whole, each of its lines, as notices stand on lines of their own, and for the entire licences in ``licenses/`` every run
+of words, so that lines may be wrapped or marked as comments and other text may stand around. A line that begins with
+copyright, as one of another wrapping may by chance, is dropped on both sides as always.
 
 Defined cases: a null text counts as empty; a unit without letters or digits matches nothing. Lines that repeat in
 a document count each time. Rows that repeat are scanned each on its own. The result has a row for every document.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,22 +72,57 @@ def known_digests(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> D
     return listed.select("x.license", F.sha2(canonical(F.col("x.t")), 256).alias("digest")).dropDuplicates(["digest"])
 
 
+#: What stands above an entire licence, apart from copyright lines.
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"]}
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def entire_licenses(spark: SparkSession) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(license, canonical text) of the terms, and of every form that an entire document may have."""
+    terms, forms = [], []
+    for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        name, text = file.stem, file.read_text(encoding="utf-8")
+        body = text[: text.index(TERMS_END) + len(TERMS_END)] if TERMS_END in text else text
+        terms.append((name, body))
+        forms += [(name, f) for f in dict.fromkeys([body, text, *(f"{t}\n\n{body}" for t in TITLES.get(name, []))])]
+    clean = lambda rows: [tuple(r) for r in spark.createDataFrame(rows, "license string, t string").select("license", canonical(F.col("t"))).collect()]
+    return clean(terms), clean(forms)
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
+def _occurrences(c: Column, words: str) -> Column:
+    """How often the words stand in canonical text; doubled spaces let neighbours touch."""
+    doubled = F.replace(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(" "), F.lit("  "))
+    cut = F.length(doubled) - F.length(F.replace(doubled, F.lit(_spaced(words)), F.lit("")))
+    return F.when(F.contains(c, F.lit(words)), (cut / len(_spaced(words))).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
 def scan_licenses(spark: SparkSession, docs: DataFrame, known: dict[str, list[str]] = KNOWN) -> DataFrame:
-    """doc_id, text_sha256 (canonical whole text), text_license (or null), n_notices, licenses (of lines and the whole, sorted)."""
+    """doc_id, text_sha256 (canonical whole text), text_license (or null), n_notices, licenses (of lines, entire licences and the whole, sorted)."""
     digests = F.broadcast(known_digests(spark, known))  # as many rows as the fixed list has at most
     longest = max(len(re.sub(NOT_WORD, " ", t.lower())) for v in known.values() for t in v) + 64
     base = docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
     # A line several times as long as the longest known text can only match if copyright or punctuation fills it.
-    whole = base.withColumn("whole", F.sha2(canonical(F.col("text")), 256))
-    units = whole.select("doc_id", "row", "whole", F.explode(F.split("text", "\n")).alias("line"))
+    terms, forms = entire_licenses(spark)
+    entire = spark.createDataFrame(forms, "license string, t string").select("license", F.sha2("t", 256).alias("digest"))
+    wholes = F.broadcast(known_digests(spark, known).unionByName(entire).dropDuplicates(["digest"]))
+    counts = F.array(*(F.struct(F.lit(k).alias("license"), _occurrences(F.col("c"), t).alias("n")) for k, t in terms))
+    whole = base.withColumn("c", canonical(F.col("text"))).select("doc_id", "row", "text", F.sha2("c", 256).alias("whole"), F.filter(counts, lambda x: x["n"] > 0).alias("entire"))
+    units = whole.select("doc_id", "row", "whole", "entire", F.explode(F.split("text", "\n")).alias("line"))
     lines = units.withColumn("c", canonical(F.col("line"))).withColumn(
         "digest", F.when((F.col("c") != "") & (F.length("c") <= longest), F.sha2("c", 256))
     )
     hits = lines.join(digests.withColumnRenamed("license", "line_license"), "digest", "left")
-    per_doc = hits.groupBy("row", "doc_id", "whole").agg(
-        F.count("line_license").alias("n_notices"), F.collect_set("line_license").alias("found")
-    )
-    joined = per_doc.join(digests.withColumnsRenamed({"digest": "whole", "license": "text_license"}), "whole", "left")
+    per_doc = hits.groupBy("row", "doc_id", "whole", "entire").agg(
+        F.count("line_license").alias("n_lines"), F.collect_set("line_license").alias("found")
+    ).withColumns({
+        "n_notices": F.col("n_lines") + F.aggregate("entire", F.lit(0).cast("long"), lambda n, x: n + x["n"]),
+        "found": F.array_union("found", F.transform("entire", lambda x: x["license"])),
+    })
+    joined = per_doc.join(wholes.withColumnsRenamed({"digest": "whole", "license": "text_license"}), "whole", "left")
     named = F.array_union("found", F.array_compact(F.array("text_license")))
     return joined.select("doc_id", F.col("whole").alias("text_sha256"), "text_license", "n_notices", F.array_join(F.sort_array(named), ",").alias("licenses"))
 
