@@ -37,10 +37,11 @@ def match_favourites(favourites: DataFrame, market: DataFrame) -> DataFrame:
     return keep(joined, ["insurer", "product", "band"], wanted, F.col("price").asc_nulls_last(), F.col("position").asc_nulls_last())
 
 
-def only_equivalent(rows: DataFrame, key: str = "stem") -> DataFrame:
-    """key, equivalent: the one other insurer's row with the same product; several or none give no row."""
-    a = rows.select(F.col(key).alias("__a"), casefolded(F.col("product")).alias("__p"), casefolded(F.col("insurer")).alias("__i"))
-    b = a.toDF("__b", "__p", "__j")
+def only_equivalent(rows: DataFrame, key: str = "stem", analysed: DataFrame | None = None) -> DataFrame:
+    """key, equivalent: the one other insurer's row of ``analysed`` (else of rows) with the same product; several or none give no row."""
+    keyed = lambda d: d.select(F.col(key).alias("__a"), casefolded(F.col("product")).alias("__p"), casefolded(F.col("insurer")).alias("__i"))
+    a = keyed(rows)
+    b = keyed(rows if analysed is None else analysed).toDF("__b", "__p", "__j")
     met = a.join(b, "__p").filter("__i <> __j").groupBy("__a").agg(F.count(F.lit(1)).alias("n"), F.min("__b").alias("equivalent"))
     return met.filter("n = 1").select(F.col("__a").alias(key), "equivalent")
 

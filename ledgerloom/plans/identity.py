@@ -57,9 +57,13 @@ def reference_delta(spark, sf):
 @query("""WITH t AS (SELECT DISTINCT p_brand AS insurer, p_type AS product, lower(replace(p_brand, '#', '-')) || '__' || lower(p_type) AS stem FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') OR p_size = 50)
 SELECT a.stem, min(b.stem) AS equivalent FROM t a JOIN t b ON a.product = b.product AND a.insurer <> b.insurer GROUP BY a.stem HAVING count(*) = 1""")
 def equivalent_product(spark, sf):
-    few = table(spark, sf, "part").filter("p_brand IN ('Brand#1', 'Brand#2') OR p_size = 50")
-    rows = few.select(F.col("p_brand").alias("insurer"), F.col("p_type").alias("product")).distinct()
-    return resolve.only_equivalent(rows.withColumn("stem", F.concat_ws("__", slug(F.col("insurer")), slug(F.col("product")))))
+    def tariffs_of(parts):
+        rows = parts.select(F.col("p_brand").alias("insurer"), F.col("p_type").alias("product")).distinct()
+        return rows.withColumn("stem", F.concat_ws("__", slug(F.col("insurer")), slug(F.col("product"))))
+
+    every = table(spark, sf, "part")
+    analysed = every.filter("p_brand IN ('Brand#1', 'Brand#2') OR p_size = 50")
+    return resolve.only_equivalent(tariffs_of(every), analysed=tariffs_of(analysed))
 
 
 _RATINGS = """ratings AS (SELECT * FROM (VALUES ('tariff', 'brand-13__promo', 'a', 'good'), ('tariff', 'brand-1__small', 'b', 'fair'), ('insurer', '13', 'c', 'top'), ('insurer', 'brand', 'd', 'any'), ('insurer', '1', 'e', 'whole')) AS r(scope, subject, source, badge)),

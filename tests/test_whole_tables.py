@@ -80,3 +80,16 @@ def test_scalars_read_long_texts(spark, tmp_path):
     assert slug.startswith("ein-wort-teil-1-234-56-eur-ae-noch") and slug.endswith("-zuletzt-7-654-321-und-sil-be-ue")
     turns = spark.createDataFrame([(1, "user", text), (1, "assistant", "short")], "conv_id long, role string, text string")
     assert run(spark, tmp_path / "payloads", "payloads", "conversations", turns).payload.tolist() == ["# reply\n\n=== assistant ===\nshort\n\n=== user ===\n" + text]
+
+
+def test_equivalent_of_every_tariff(spark, tmp_path):
+    parts = [(1, "Brand#1", "A", 1), (2, "Brand#9", "A", 1), (3, "Brand#8", "B", 1), (4, "Brand#7", "B", 50), (5, "Brand#2", "C", 1), (6, "Brand#1", "C", 1), (7, "Brand#6", "C", 1)]
+    frame = spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int")
+    got = run(spark, tmp_path, "equivalent_product", "part", frame)
+    assert dict(zip(got.stem, got.equivalent)) == {"brand-9__a": "brand-1__a", "brand-8__b": "brand-7__b", "brand-2__c": "brand-1__c", "brand-1__c": "brand-2__c"}
+
+
+def test_claims_of_short_documents(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "de", "de", 2), (3, "no", "en", 2)], "doc_id long, text string, lang string, n_chars long")
+    got = run(spark, tmp_path, "grounded_claims", "documents", frame)
+    assert dict(zip(got.doc_id, got.grounded)) == {1: True, 3: False}
