@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Scratch, stage
 
 
 def _star(pointed: DataFrame, keep_all: bool) -> DataFrame:
@@ -24,16 +24,19 @@ def _star(pointed: DataFrame, keep_all: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) of longs. Returns (node, component) for every node of an edge, component its smallest node."""
-    now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = state
-        ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(ways, keep_all=False)
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        now = stage(_star(stage(down), keep_all=True).distinct())
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        before = None
+        while True:
+            state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before or state[0] == 0:
+                return stage(
+                    now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+                    )
+                )
+            before = state
+            ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = _star(ways, keep_all=False)
+            down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+            now = scratch.stage(_star(scratch.stage(down), keep_all=True).distinct())

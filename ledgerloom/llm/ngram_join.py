@@ -8,11 +8,13 @@
    most of its tiles; verified, these links join most copies. Where many classes of a tile are still in several
    components, this goes on a few turns with other, more central classes. Then all pairs between components are
    offered whose sizes and places in the order allow the overlap.
-4. Offered pairs are held against each other by hashed bitmaps, as wide as their size band needs, whose differing
-   bits bound the overlap from above; what is left is decided by the exact intersection of the sorted sets.
+4. Inside its tile a pair is held against a bitmap of fixed width, and only what passes is offered. Offered pairs are
+   held against bitmaps as wide as their sets need; differing bits bound the overlap from above. What is left is decided
+   by the exact intersection of the sorted sets.
 
-Shingles that very many documents have are dealt over several tiles by a salt, and these tiles are paired, so that no
-group of copies meets in one task. Links that step 3 leaves out are between members of one component only.
+Shingles that very many documents have are dealt over several tiles, as many as the shingle's own open rows ask for, and
+these tiles are paired, so that no group of copies meets in one task. Links that step 3 leaves out are between members of
+one component only.
 
 Equality of shingles and sets is that of 64-bit hashes (sets: and of their sizes).
 
@@ -32,24 +34,52 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, documents, release, slices, stage, text_or_empty
+from .common import Scratch, broadcast_if_small, documents, release, slices, stage, text_or_empty
 from .components import connected_components
 from .shingles import mixed, shingle_set
 
-#: Counters of shingle frequency, and the documents of one shingle from which its tile is dealt by a salt.
+#: Counters of shingle frequency, documents by which one exceeds the usual to be dealt by a salt, and rows of a tile.
 COUNTERS = 1 << 18
 SALTED_FROM = 4000
-#: Classes from which a tile is a crowd, turns in which crowds are joined, and partners of a class in each.
-CROWD, TURNS, PLANS = 16, 3, 8
-#: Pairs that a task looks at together.
-BLOCK = 2_000_000
-
-
-def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    """A partition's columns, whole: tiles are dealt so that a partition is bounded."""
-    parts = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
-    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64) for _ in names]
+TILE_ROWS = 4000
+#: Classes from which a tile is a crowd, and partners of a class in each turn.
+CROWD, PLANS = 16, 8
+#: Bits of the bitmap that goes into the tiles; larger sets have a wider one besides.
+SKETCH = 1024
+#: Pairs of a tile that a task looks at together, by places and then by bitmaps.
+BLOCK, BITS_BLOCK = 1 << 19, 1 << 16
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str], by: int) -> Iterator[list[np.ndarray]]:
+    """Columns of a sorted partition in parts that never divide rows with the same values of the first ``by`` columns."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [_array(batch.column(n)) for n in names]
+        alike = np.ones(batch.num_rows, bool)
+        for c in columns[:by]:
+            alike &= c == c[-1]
+        at = batch.num_rows - int(np.argmin(alike[::-1])) if not alike.all() else 0
+        goes_on = bool(held) and all(h[-1] == c[0] for h, c in zip(held[-1][:by], columns[:by]))
+        if at or not goes_on:
+            done = [*held, [c[:at] for c in columns]]
+            held = []
+            if sum(len(d[0]) for d in done):
+                yield [np.concatenate(c) for c in zip(*done)]
+        held.append([c[at:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _array(column: pa.Array) -> np.ndarray:
+    """Numbers as they are; bitmaps of SKETCH bits as rows of 64-bit numbers."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, SKETCH // 64)
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _batches(columns: dict[str, np.ndarray], at_once: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -86,63 +116,77 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _bitmap(values: np.ndarray) -> bytes:
-    """One bit for each value's hash, in as many bits as the size band has: a power of two, 64 at least."""
-    width = max(64, 1 << (len(values) - 1).bit_length())
+def _bitmap(values: np.ndarray) -> np.ndarray:
+    """One bit for each value's hash in four bits a value, a power of two and SKETCH at least."""
+    width = max(SKETCH, 1 << (4 * len(values) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(mixed(values) & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    return np.packbits(bits)
+
+
+def _halved(bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """A narrower bitmap of the same values: the hash's low bits choose the bit, so that halves fold onto each other."""
+    while 8 * len(bitmap) > bits:
+        bitmap = bitmap[: len(bitmap) // 2] | bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+def _salts(counts: np.ndarray) -> np.ndarray:
+    """Tasks over which a counter's shingles are dealt while rare ones go: by what it has beyond the usual counter and its noise."""
+    usual = float(np.median(counts))
+    beyond = np.maximum(counts - usual - 8 * math.sqrt(usual + 1), 0)
+    return np.minimum(1 + beyond // SALTED_FROM, 1 << 20).astype(np.int32)
+
+
+def _class_of(values: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True) if len(values) else None
 
 
 def _classes(n: int, percent: int, counts: np.ndarray):
     mean = counts.mean()
     rank = np.clip((counts - mean) / (4 * math.sqrt(mean) + 8), 0, 255).astype(np.int64)
-    salts = np.minimum(1 + counts // SALTED_FROM, 1 << 20).astype(np.int32) if counts.max() > SALTED_FROM else np.ones(COUNTERS, np.int32)
-    salts[counts < 2 * mean + 100] = 1
+    salts = _salts(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
         for batch in slices(batches):
-            sizes, classes, keys, dealt, bitmaps = [], [], [], [], []
+            sizes, classes, keys, dealt, sketches, bitmaps = [], [], [], [], [], []
             for text in batch.column("text"):
                 values = shingle_set(text.as_py().encode(), n)
                 size = len(values)
-                own = int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True) if size else None
+                own = _class_of(values)
                 sizes.append(size)
                 classes.append(own)
                 if not size or (own, size) in met:
-                    keys.append(None), dealt.append(None), bitmaps.append(None)
+                    keys.append(None), dealt.append(None), sketches.append(None), bitmaps.append(None)
                     continue
                 met.add((own, size))
                 counter = (values & np.uint64(COUNTERS - 1)).astype(np.int64)
                 first = np.argsort(rank[counter], kind="stable")[: size + (-percent * size) // 100 + 1]
-                keys.append(values[first].view(np.int64)), dealt.append(salts[counter[first]]), bitmaps.append(_bitmap(values))
+                keys.append(values[first].view(np.int64)), dealt.append(salts[counter[first]])
+                bitmap = _bitmap(values)
+                sketches.append(_halved(bitmap, SKETCH).tobytes())
+                bitmaps.append(bitmap.tobytes() if 8 * len(bitmap) > SKETCH else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(dealt, pa.list_(pa.int32())), pa.array(bitmaps, pa.binary())],
-                ["doc_id", "size", "cls", "keys", "salts", "bitmap"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(dealt, pa.list_(pa.int32())), pa.array(sketches, pa.binary()), pa.array(bitmaps, pa.binary())],
+                ["doc_id", "size", "cls", "keys", "salts", "sketch", "bitmap"],
             )
 
     return run
 
 
-TILE = "key long, salt int, salts int, a long, sa int, pa int"
+SHARED = "key long, a long, sa int, pa int"
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of keys that several classes have, each class once; of salted keys all rows."""
-    key, salt, salts, cls, size, pos = _columns(batches, ["key", "salt", "salts", "cls", "size", "pos"])
-    order = np.lexsort((cls, key))
-    key, salt, salts, cls, size, pos = (x[order] for x in (key, salt, salts, cls, size, pos))
-    if not len(key):
-        return
-    again = np.append(False, (key[1:] == key[:-1]) & (cls[1:] == cls[:-1]) & (size[1:] == size[:-1]))
-    key, salt, salts, cls, size, pos = (x[~again] for x in (key, salt, salts, cls, size, pos))
-    run_of = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
-    shared = (np.bincount(run_of)[run_of] > 1) | (salts > 1)
-    columns = {"key": key, "salt": salt, "salts": salts, "a": cls, "sa": size, "pa": pos}
-    columns = {c: x[shared] for c, x in columns.items()}
-    del key, salt, salts, cls, size, pos, order, again, run_of
-    yield from _batches(columns)
+    """The rows, sorted by key and class, of keys that several classes have, each class once; of salted keys all rows."""
+    for key, salts, cls, size, pos in _runs(batches, ["key", "salts", "cls", "size", "pos"], 1):
+        new_key = np.append(True, key[1:] != key[:-1])
+        own = new_key | np.append(True, (cls[1:] != cls[:-1]) | (size[1:] != size[:-1]))
+        run_of = np.cumsum(new_key) - 1
+        shared = own & ((np.bincount(run_of, own)[run_of] > 1) | (salts > 1))
+        if shared.any():
+            yield from _batches({"key": key[shared], "a": cls[shared], "sa": size[shared], "pa": pos[shared]})
     release()
 
 
@@ -171,11 +215,11 @@ def _plan(number: Column, band: Column, prio: Column) -> Column:
     return F.struct(number.alias("plan"), F.floor(band + number % 2 * 0.5).alias("band"), prio.alias("prio"))
 
 
-def _merged(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(scratch: Scratch, rows: DataFrame, links: DataFrame) -> DataFrame:
     """rows with each component taken into the smallest one that its links lead to, twice over."""
     of = rows.select("a", "comp").distinct()
     ends = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").filter("ca <> cb")
-    into = stage(ends.select(F.greatest("ca", "cb").alias("c"), F.least("ca", "cb").alias("t")).groupBy("c").agg(F.min("t").alias("t")))
+    into = scratch.stage(ends.select(F.greatest("ca", "cb").alias("c"), F.least("ca", "cb").alias("t")).groupBy("c").agg(F.min("t").alias("t")))
     far = into.join(into.toDF("t", "u"), "t", "left").select("c", F.coalesce("u", "t").alias("t"))
     return rows.join(far, rows["comp"] == far["c"], "left").withColumn("comp", F.coalesce("t", "comp")).drop("c", "t")
 
@@ -186,58 +230,65 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(keys.filter(f"lo <> hi AND n >= {CROWD}").select("key"), "key", "left_semi")
 
 
-def _cross_pairs(percent: int):
-    """All pairs of one tile between different components whose sizes and places allow the overlap, each once in the task."""
+def _bound(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+    """The overlap at most, by bitmaps of one width, a row a pair: a differing bit is a value that the other set lacks."""
+    return np.minimum(sx - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), sy - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tile, salt, cls, size, pos, comp = _columns(batches, ["key", "tile", "salt", "a", "sa", "pa", "comp"])
-        if not len(key):
-            return
-        order = np.lexsort((cls, size, tile, key))
-        key, tile, salt, cls, size, pos, comp = (x[order].astype(np.int64) for x in (key, tile, salt, cls, size, pos, comp))
+
+def _tile_pairs(percent: int):
+    """Pairs of one tile, sorted by size, between different components whose sizes, places and bitmaps allow the overlap."""
+
+    def tiles(key, tile, size, salt, cls, pos, comp, sketch) -> Iterator[pa.RecordBatch]:
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
         run_of = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))) - 1
         scale = int(size.max()) + 1
         last = np.searchsorted(run_of * scale + size, run_of * scale + np.minimum(size * 100 // percent, scale - 1), side="right")
         here = np.arange(len(key))
         many = last - here - 1
         ends = np.cumsum(many)
-        crossed = np.zeros(len(key), bool) if not tile.any() else tile > 0
+        crossed = tile > 0
         at = 0
         while at < len(key):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + BLOCK, side="right")))
             left = np.repeat(here[at:to], many[at:to])
-            right = left + 1 + np.arange(len(left)) - np.repeat(ends[at:to] - many[at:to] - (ends[at - 1] if at else 0), many[at:to])
+            right = left + 1 + np.arange(len(left)) - np.repeat(ends[at:to] - many[at:to] - done, many[at:to])
             need = _needed(size[left], size[right], percent)
             ok = (comp[left] != comp[right]) & (pos[left] <= size[left] - need) & (pos[right] <= size[right] - need)
             ok &= ~(crossed[left] & (salt[left] == salt[right]))
-            left, right = left[ok], right[ok]
-            if len(left):
-                swap = cls[left] > cls[right]
-                a, b = np.where(swap, right, left), np.where(swap, left, right)
-                both = np.unique(np.stack([cls[a], cls[b], size[a], size[b]]), axis=1)
-                yield from _batches({"a": both[0], "b": both[1], "sa": both[2].astype(np.int32), "sb": both[3].astype(np.int32)})
+            left, right, need = left[ok], right[ok], need[ok]
+            for i in range(0, len(left), BITS_BLOCK):
+                x, y = left[i : i + BITS_BLOCK], right[i : i + BITS_BLOCK]
+                near = _bound(sketch[x], sketch[y], size[x], size[y]) >= need[i : i + BITS_BLOCK]
+                x, y = x[near], y[near]
+                if len(x):
+                    swap = cls[x] > cls[y]
+                    a, b = np.where(swap, y, x), np.where(swap, x, y)
+                    both = np.unique(np.stack([cls[a], cls[b], size[a], size[b]]), axis=1)
+                    yield from _batches({"a": both[0], "b": both[1], "sa": both[2].astype(np.int32), "sb": both[3].astype(np.int32)})
             at = to
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, ["key", "tile", "sa", "salt", "a", "pa", "comp", "sketch"], 2):
+            yield from tiles(*part)
+        release()
+
     return run
 
 
 def _may_overlap(percent: int):
-    """Pairs whose bitmaps leave room for the overlap: a differing bit is a value that the other set lacks."""
-
-    def bound(a: bytes, b: bytes, sa: int, sb: int) -> int:
-        x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        while len(x) > len(y):  # the hash's low bits choose the bit, so that halves fold onto each other
-            x = x[: len(x) // 2] | x[len(x) // 2 :]
-        while len(y) > len(x):
-            y = y[: len(y) // 2] | y[len(y) // 2 :]
-        return min(sa - int(np.bitwise_count(x & ~y).sum()), sb - int(np.bitwise_count(y & ~x).sum()))
+    """Pairs whose bitmaps leave room for the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sa, sb = (batch.column(c).to_numpy().astype(np.int64) for c in ("sa", "sb"))
-            need = _needed(sa, sb, percent)
-            maps = zip(batch.column("ma"), batch.column("mb"), sa, sb, need)
-            ok = np.fromiter((bound(x.as_py(), y.as_py(), p, q) >= m for x, y, p, q, m in maps), bool, len(need))
+            ok = _bound(_array(batch.column("ka")), _array(batch.column("kb")), sa, sb) >= _needed(sa, sb, percent)
+            for i in np.flatnonzero(ok):
+                x, y = (batch.column(c)[int(i)].as_py() for c in ("ma", "mb"))
+                if x is not None and y is not None:
+                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                    bits = 8 * min(len(x), len(y))
+                    ok[i] = _bound(_halved(x, bits), _halved(y, bits), sa[i], sb[i]) >= _needed(sa[i], sb[i], percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -249,7 +300,7 @@ def _sets(n: int):
             values, ok = [], []
             for text, size, own in zip(batch.column("text"), batch.column("size").to_pylist(), batch.column("cls").to_pylist()):
                 v = shingle_set(text.as_py().encode(), n)
-                same = len(v) == size and int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) == own
+                same = len(v) == size and _class_of(v) == own
                 ok.append(same)
                 values.append(v.tobytes() if same else b"")
             out = pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(values, pa.binary())], ["cls", "values"])
@@ -272,81 +323,125 @@ def _linked(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b, sa, sb) that are links: first by bitmaps, then by the sets of the documents that are left."""
-    maps = classes.select(F.col("cls").alias("b"), F.col("bitmap").alias("mb"))
-    held = pairs.join(maps, "b").join(maps.toDF("a", "ma"), "a").select("a", "b", "sa", "sb", "ma", "mb")
-    near = stage(held.mapInArrow(_may_overlap(percent), "a long, b long"))
+    maps = classes.select("cls", "sketch", "bitmap")
+    held = pairs.join(maps.toDF("b", "kb", "mb"), "b").join(maps.toDF("a", "ka", "ma"), "a").select("a", "b", "sa", "sb", "ka", "kb", "ma", "mb")
+    near = scratch.stage(held.mapInArrow(_may_overlap(percent), "a long, b long"))
     wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
-    wanted = stage(wanted.join(classes.select("cls", "size", F.col("doc_id").alias("wanted_id")), "cls"))
+    wanted = scratch.stage(wanted.join(classes.select("cls", "size", F.col("doc_id").alias("wanted_id")), "cls"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(broadcast_if_small(wanted), F.expr("doc_id <=> wanted_id"))
-    sets = stage(texts.select("cls", "size", "text").mapInArrow(_sets(n), "cls long, values binary").dropDuplicates(["cls"]))
+    sets = scratch.stage(texts.select("cls", "size", "text").mapInArrow(_sets(n), "cls long, values binary").dropDuplicates(["cls"]))
     both = near.join(sets.toDF("b", "vb").hint("merge"), "b").join(sets.toDF("a", "va").hint("merge"), "a").select("a", "b", "va", "vb")
-    return stage(both.mapInArrow(_linked(percent), "a long, b long"))
+    return scratch.stage(both.mapInArrow(_linked(percent), "a long, b long"))
+
+
+def _offered(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, sa, sb) between components, out of tiles of TILE_ROWS rows of one shingle, or two such parts of it."""
+    keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+    several = keys.filter("lo <> hi").select("key", F.expr(f"(n - 1) div {TILE_ROWS} + 1").alias("salts"))
+    rows = labelled.join(several, "key").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    # The tile of a salt with itself is below 0 and needs no other salt; s * salts + t > 0 names the pair s < t.
+    pair = lambda t: F.least(t, "salt") * F.col("salts") + F.greatest(t, "salt")
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda t: F.when(t == F.col("salt"), -1 - t).otherwise(pair(t)))
+    dealt = rows.select("key", "salt", "a", "sa", "pa", "comp", F.explode(tiles).alias("tile"))
+    drawn = dealt.join(classes.select(F.col("cls").alias("a"), "sketch"), "a").select("key", "tile", "sa", "salt", "a", "pa", "comp", "sketch")
+    tiled = drawn.repartition("key", "tile").sortWithinPartitions("key", "tile", "sa", "a")
+    return tiled.mapInArrow(_tile_pairs(percent), "a long, b long, sa int, sb int").dropDuplicates(["a", "b"])
 
 
 def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, size, cls) of every document, and (node, component) of every class that has links."""
-    counts = frequencies(docs, n)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    every = stage(given.mapInArrow(_classes(n, percent, counts), "doc_id long, size int, cls long, keys array<long>, salts array<int>, bitmap binary"))
-    classes = stage(every.filter("bitmap IS NOT NULL").select("doc_id", "size", "cls", "bitmap").dropDuplicates(["cls"]))
-    rows = every.filter("keys IS NOT NULL").select("cls", "size", F.posexplode(F.arrays_zip("keys", "salts")).alias("pos", "k"))
-    rows = rows.select("cls", "size", "pos", F.col("k.keys").alias("key"), F.col("k.salts").alias("salts"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
-    shared = stage(rows.repartition("key", "salt").mapInArrow(_shared_rows, TILE))
-    band = F.log(F.col("sa").cast("double")) / math.log(100 / percent)
-    alone = shared.withColumn("comp", F.col("a"))
-    half = F.pmod(F.xxhash64("key"), F.lit(2))
-    plan = _plan(half, band, F.when(half == 0, F.col("a").cast("double")).otherwise(F.xxhash64("a").cast("double")))
-    links = _verified(_partners(alone, percent, plan), classes, docs, n, percent)
-    labelled = stage(_merged(alone, links))
-
-    # Crowds of near copies whose members are not all alike: those in most tiles stand for the crowd's middle.
-    crowd, turns = stage(_crowded(labelled)), []
-    for turn in range(TURNS):
-        if crowd.isEmpty():
-            break
-        central = crowd.join(crowd.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "a")
-        number = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(PLANS))
-        noise = 0.8 + 0.4 * F.pmod(F.xxhash64("a", number, F.lit(turn)), F.lit(1000)) / 1000
-        found = _verified(_partners(central, percent, _plan(number, band, -F.col("degree") * noise)), classes, docs, n, percent)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        merged = stage(_merged(crowd, found))
-        turns.append(merged.select("a", F.struct(F.lit(turn).alias("turn"), "comp").alias("new")).distinct())
-        crowd = stage(_crowded(merged))
-    if turns:
-        last = reduce(DataFrame.unionByName, turns).groupBy("a").agg(F.max("new").alias("new"))
-        labelled = stage(labelled.join(last, "a", "left").withColumn("comp", F.coalesce("new.comp", "comp")).drop("new"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    among = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.least(t, "salt") * F.col("salts").cast("long") + F.greatest(t, "salt"))
-    # The tile of a salt with itself is 0, which needs no other salt; s * salts + t > 0 names the pair s < t.
-    own = F.transform(among, lambda t: F.when(t == F.col("salt") * F.col("salts").cast("long") + F.col("salt"), -1 - F.col("salt")).otherwise(t))
-    open_rows = labelled.join(mixed_keys, "key", "left_semi").select("key", "salt", "a", "sa", "pa", "comp", F.explode(own).alias("tile"))
-    offered = open_rows.repartition("key", "tile").mapInArrow(_cross_pairs(percent), "a long, b long, sa int, sb int").dropDuplicates(["a", "b"])
-    rest = _verified(offered, classes, docs, n, percent)
-    return every.select("doc_id", "size", "cls"), stage(connected_components(links.unionByName(rest)))
+    with Scratch(docs.sparkSession) as scratch:
+        counts = frequencies(docs, n)
+        given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+        kinds = "doc_id long, size int, cls long, keys array<long>, salts array<int>, sketch binary, bitmap binary"
+        every = scratch.stage(given.mapInArrow(_classes(n, percent, counts), kinds))
+        members = stage(every.select("doc_id", "size", "cls"))
+        classes = scratch.stage(every.filter("sketch IS NOT NULL").select("doc_id", "size", "cls", "sketch", "bitmap").dropDuplicates(["cls"]))
+        rows = every.filter("keys IS NOT NULL").select("cls", "size", F.posexplode(F.arrays_zip("keys", "salts")).alias("pos", "k"))
+        rows = rows.select("cls", "size", "pos", F.col("k.keys").alias("key"), F.col("k.salts").alias("salts"))
+        dealt = rows.repartition("key", F.pmod(F.xxhash64("cls"), F.col("salts"))).sortWithinPartitions("key", "cls", "size")
+        shared = scratch.stage(dealt.mapInArrow(_shared_rows, SHARED))
+        band = F.log(F.col("sa").cast("double")) / math.log(100 / percent)
+        alone = shared.withColumn("comp", F.col("a"))
+        half = F.pmod(F.xxhash64("key"), F.lit(2))
+        plan = _plan(half, band, F.when(half == 0, F.col("a").cast("double")).otherwise(F.xxhash64("a").cast("double")))
+        links = _verified(scratch, _partners(alone, percent, plan), classes, docs, n, percent)
+        labelled = scratch.stage(_merged(scratch, alone, links))
+
+        # Crowds of near copies whose members are not all alike: those in most tiles stand for the crowd's middle.
+        crowd, turns = scratch.stage(_crowded(labelled)), []
+        left, before = crowd.count(), math.inf
+        while 0 < left <= 0.9 * before:
+            turn = len(turns)
+            central = crowd.join(crowd.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "a")
+            number = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(PLANS))
+            noise = 0.8 + 0.4 * F.pmod(F.xxhash64("a", number, F.lit(turn)), F.lit(1000)) / 1000
+            found = _verified(scratch, _partners(central, percent, _plan(number, band, -F.col("degree") * noise)), classes, docs, n, percent)
+            if found.isEmpty():
+                break
+            links = links.unionByName(found)
+            merged = scratch.stage(_merged(scratch, crowd, found))
+            turns.append(merged.select("a", F.struct(F.lit(turn).alias("turn"), "comp").alias("new")).distinct())
+            crowd = scratch.stage(_crowded(merged))
+            left, before = crowd.count(), left
+        if turns:
+            last = reduce(DataFrame.unionByName, turns).groupBy("a").agg(F.max("new").alias("new"))
+            labelled = scratch.stage(labelled.join(last, "a", "left").withColumn("comp", F.coalesce("new.comp", "comp")).drop("new"))
+        rest = _verified(scratch, _offered(labelled, classes, percent), classes, docs, n, percent)
+        return members, connected_components(links.unionByName(rest))
+
+
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, size, cls and comp, the component's class, of every document."""
+    return stage(members.join(labels, members["cls"] == labels["node"], "left").select("doc_id", "size", "cls", F.coalesce("component", "cls").alias("comp")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of every document."""
-    members, labels = link_components(docs, n, percent)
-    named = stage(
-        members.join(labels, members["cls"] == labels["node"], "left").select(
-            "doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "cls").alias("comp")
-        )
-    )
+    named = _named(*link_components(docs, n, percent))
     least = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return named.join(least, "comp", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
+def _classed(n: int, at: int):
+    """Whole rows with the class of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [_class_of(shingle_set((t or "").encode(), n)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "__cls"])
+
+    return run
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, whole rows, with one of each component: that with the smallest doc_id. A null doc_id stays."""
-    found = near_duplicates(spark, docs, n, percent)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(broadcast_if_small(stage(gone)), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The documents, whole rows, with one of each component: that with the smallest doc_id.
+
+    A null doc_id stays. If an id stands on several rows, each of them is judged by its own text; of the smallest id's
+    rows in one component that of the smallest class stays, once.
+    """
+    found = _named(*link_components(docs, n, percent)).filter("doc_id IS NOT NULL AND comp IS NOT NULL")
+    first = stage(found.groupBy("comp").agg(F.min(F.struct("doc_id", "cls")).alias("f")).select("f.doc_id", "f.cls", "comp"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    several = stage(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__several")))
+    gone = found.join(first.select(F.col("doc_id").alias("id"), F.col("comp").alias("of")), (F.col("comp") == F.col("of")) & (F.col("doc_id") != F.col("id")))
+    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
+    if several.isEmpty():
+        return docs.join(broadcast_if_small(stage(gone)), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = gone.join(several, F.col("__gone") == F.col("__several"), "left_anti").unionByName(several.toDF("__gone"))
+    single = docs.join(broadcast_if_small(stage(gone)), docs["doc_id"] == F.col("__gone"), "left_anti")
+    repeated = docs.join(broadcast_if_small(several), docs["doc_id"] == F.col("__several"), "left_semi")
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField("__cls", LongType())])
+    classed = repeated.mapInArrow(_classed(n, at), schema)
+    blank = classed.filter("__cls IS NULL").drop("__cls")
+    stays = first.select(F.col("doc_id").alias("__id"), F.col("cls").alias("__own"))
+    own = classed.join(stays, (F.col("doc_id") == F.col("__id")) & (F.col("__cls") == F.col("__own"))).drop("__id", "__own")
+    once = own.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__cls").orderBy("text"))).filter("__n = 1")
+    return single.unionByName(blank).unionByName(once.select(*docs.columns))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
