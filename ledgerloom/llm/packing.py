@@ -7,7 +7,8 @@ multiplicities; it is one plan over the whole corpus, not one for each task. Eve
 rank among the pieces of its length, which is the sum of two counts: within its task and over the tasks before it.
 
 Tokenising goes run by run behind a bounded memory of encoded runs: the tokenizer never joins what its pre-tokenisation
-parts, so the ids are those of the whole text.
+parts, so the ids are those of the whole text. Special tokens that stand in a text have their own ids, as the tokenizer
+gives them.
 
 Defined cases: a null text counts as empty and becomes the end id alone. Documents of any length are cut, none is
 dropped. Rows that repeat are packed each on its own. An empty table gives no sequences.
@@ -59,7 +60,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(f"({'|'.join(special) or '(?!)'})")
         self.runs: dict[str, bytes] = {}
 
     @classmethod
@@ -68,11 +70,17 @@ class WordEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        lowered = text.lower()
+        if text.isascii() or not (_FAR.search(text) or _FAR.search(lowered)):
+            return _RUNS.findall(lowered)
+        words = ((w, w.lower()) for w in _SPACE.split(text) if w)
+        return [r for w, low in words for r in ([w] if _FAR.search(w) or _FAR.search(low) else _RUNS.findall(low))]
+
     def __call__(self, text: str) -> bytes:
-        if text.isascii() or not _FAR.search(text):
-            runs = _RUNS.findall(text.lower())
-        else:
-            runs = [r for w in _SPACE.split(text) if w for r in ([w] if _FAR.search(w) else _RUNS.findall(w.lower()))]
+        parts = self.special.split(text)  # special tokens come at odd places
+        runs = self.cut(text) if len(parts) == 1 else [r for i, p in enumerate(parts) for r in ([p] if i % 2 else self.cut(p))]
         known = self.runs
         missing = list(set(runs).difference(known))
         if missing:
@@ -202,7 +210,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("local_rank"))
+    # One row for each task and length: it grows with the input, so that it is merged and not broadcast.
+    ranked = pieces.join(before.hint("merge"), ["task", "length"]).withColumn("rank", F.col("before") + F.col("local_rank"))
     out = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids + "sequence_id long, offset long"
     return ranked.select(*out, "rank").mapInArrow(_placed(plan_bins(counts, capacity), capacity), kinds)

@@ -226,7 +226,6 @@ def test_quality_odd(spark, odd, none, labels):
 
 def packed_by_hand(rows, capacity=4096):
     tokenizer = Tokenizer.from_file(WORD_BPE)
-    tokenizer.encode_special_tokens = True
     out = {}
     for doc, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
@@ -284,10 +283,21 @@ def test_letters_of_the_tokenizer():
     for c in map(chr, range(0x250)):
         assert bool(re.match(f"[{packing._LETTERS}]", c)) == bool(regex.match(r"\p{L}", c)), hex(ord(c))
         assert bool(re.match(f"[{packing._NUMBERS}]", c)) == bool(regex.match(r"\p{N}", c)), hex(ord(c))
+
+
+def test_ids_are_the_tokenizers():
     tokenizer, encode = Tokenizer.from_file(WORD_BPE), packing.WordEncoder(WORD_BPE)
-    tokenizer.encode_special_tokens = True
-    for text in ["<|endoftext|> don't we're 's'x", "İΣΣ œuvre ǅ ½²", "a\x1cb\x85c\xa0d 日本 é é", "", " \n "]:
-        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    same = lambda text: np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode("hello <|endoftext|> world"), "<u4").tolist() == [3306, 49407, 1002]
+    for text in ["<|endoftext|> don't we're 's'x", "İΣΣ œuvre ǅ ½²", "a\x1cb\x85c\xa0d 日本 é é", "", " \n ", "Əli", "Ɔkɔ Ɛdɛ", "<|ENDOFTEXT|>", "x<|startoftext|><|endoftext|>y", "<|endoftext|", "\u212bngstr\u00f6m \u212a"]:
+        assert same(text), text
+    rng = random.Random(12)
+    for _ in range(20_000):
+        text = "".join(chr(rng.choice([rng.randrange(0x180), rng.randrange(0x600), rng.randrange(32, 127)])) for _ in range(rng.randint(0, 14)))
+        assert same(text), text
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "'s", "Ⱥ", "e\u0301", "a", "1", "\n"]
+    for _ in range(5000):
+        assert same(text := "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))), text
 
 
 def test_packing_odd(odd, none):
