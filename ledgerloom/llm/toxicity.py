@@ -2,8 +2,9 @@
 
 A character language model (interpolated trigrams of lower-cased letters, counted over all documents in a table of
 fixed size) is the source. The channel writes letters as look-alike digits and symbols, stretches them, and parts them
-by spaces or marks. A token that shows such signs becomes a lattice of what each character may stand for; the best path
-under model and channel is the restored word. A token without signs has a single path and stays as it is.
+by spaces or marks. A token becomes a lattice of what each character may stand for; the best path under model and channel
+is the restored word. A token in which nothing may stand for anything else has a single path and stays as it is: one
+without look-alikes, stretched letters and marks between single letters. One without any letter is a number.
 
 The score rests on words and word beginnings of the restored text: their log odds in labelled documents, lowered by
 their standard error and capped, so that only well supported ones count. A logistic curve over the two strongest words of
@@ -53,9 +54,7 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Log costs of the channel.
 LOOKALIKE, IGNORED, STRETCHED, WORD_GAP = -1.5, -4.0, -0.5, -3.0
 _ALIKE = "".join(map(re.escape, LOOKALIKES))
-#: Look-alikes that show obfuscation at a word's end too, where the others are plain marks.
-_ALIKE_LAST = "".join(re.escape(c) for c in LOOKALIKES if c not in "!|+€")
-_SIGN = re.compile(rf"[^\W\d_][{_ALIKE}]+[^\W\d_]|^[{_ALIKE}]{{1,2}}[^\W\d_]{{2}}|[^\W\d_]{{2}}[{_ALIKE_LAST}]$|([^\W\d_])\1\1")
+_SIGN = re.compile(rf"[^\W\d_].*[{_ALIKE}]|[{_ALIKE}].*[^\W\d_]|([^\W\d_])\1\1", re.S)
 _GLUE = re.compile(rf"(?:[^\w{_ALIKE}]|_)+")
 _PARTED = re.compile(r"^\W*(?:[^\W_][.\-_*~/]){2,}[^\W_]\W*$")
 _WORD = re.compile(r"[^\W\d_]+")

@@ -37,3 +37,41 @@ def test_blocks_give_the_path_of_the_whole(model, monkeypatch):
 def test_long_tokens_and_every_lookalike(model, token, word):
     found = toxicity.Restorer(model)(token)
     assert word in found if word else any("bigpig" in w for w in found)
+
+
+def all_paths(token, model):
+    """The best of all ways to read a token, each tried."""
+    import itertools
+
+    ways = []
+    for char, stretched in toxicity._units(token):
+        if stretched:
+            ways.append([(char, toxicity.STRETCHED), (char * 2, toxicity.STRETCHED)])
+        elif char.isalpha():
+            ways.append([(char, 0.0)])
+        elif char in toxicity.LOOKALIKES:
+            ways.append([*((x, toxicity.LOOKALIKE) for x in toxicity.LOOKALIKES[char]), ("", toxicity.IGNORED)])
+        else:
+            ways.append([("", 0.0), (" ", toxicity.WORD_GAP)])
+    best = (-np.inf, "")
+    for way in itertools.product(*ways):
+        text = "".join(w for w, _ in way)
+        if "  " in text or text.startswith(" "):  # a space stands behind a letter only
+            continue
+        c = [0, 0, *toxicity.letters(text), 0]
+        best = max(best, (sum(cost for _, cost in way) + sum(float(model[a, b, x]) for a, b, x in zip(c, c[1:], c[2:])), text))
+    return best
+
+
+@pytest.mark.parametrize("token", ["1d10t", "$tup1d", "m.o.r.0.n", "l0$er", "clooown", "4 b1g p1g", "a$$", "9", "7r4$h", "i d i 0 t", "|d!ot", "pa7h37ic"])
+def test_restoring_is_the_best_of_all_paths(model, token):
+    score, _ = all_paths(token, model)
+    text = toxicity.restore(token, model)
+    again = [s for s in [all_paths(token, model)] if s[1] == text]
+    assert again and again[0][0] == pytest.approx(score)
+
+
+@pytest.mark.parametrize("token, word", [("5cum", "scum"), ("$cum", "scum"), ("tr4sh", "trash"), ("p1g", "pig"), ("id10+", "idiot")])
+def test_a_lookalike_at_any_place(model, token, word):
+    assert word in toxicity.Restorer(model)(token)
+    assert toxicity.Restorer(model)("2024 17 plain") == {"plain"}
