@@ -1,13 +1,13 @@
 """Personal data: four kinds by pattern, and more by a linear-chain conditional random field.
 
-The patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers. The field labels the words around
-anything with digits, an ``@`` or an ``=``; its features are word shapes, a few words that it learned from the
-labelled table, and the same of both neighbours. It finds what the patterns leave out: keys, passwords and tokens,
-addresses written with ``[at]``, and numbers in other spellings. Its spans are added where no pattern's span lies.
+The patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers. The field labels every word of the
+text; its features are word shapes, a few words that it learned from the labelled table, and the same of both
+neighbours. It finds what the patterns leave out: keys, passwords and tokens, addresses written with ``[at]``, and
+numbers in other spellings. Its spans are added where no pattern's span lies.
 
-Far from such words every position looks alike, and the best path of the trained field between any two labels goes
-through "none" there (``Field`` makes sure of that), so decoding the surroundings alone gives the path of the whole
-text.
+Every word's features are looked up and its emission formed. Where "none" is best whatever stands on either side, which
+``Field.forced`` proves from the emission and ``Field._parted`` for two words in a row without features, the best path has
+"none", and between such places the path is found by Viterbi. So the labels are those of the best path of the whole text.
 
 Defined cases: null and empty texts have no spans. A matched pattern that fails its check is dropped, without another
 try inside it. Rows that repeat are searched each on its own. Extra columns are ignored.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,15 @@ from .common import documents, slices, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("none", "email", "ip", "card", "phone", "secret")
-#: Words on either side of a sign that are decoded with it.
-AROUND = 4
+#: Words whose features are remembered by a field; beyond it the memory starts anew. Longer words are not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SIGN = re.compile(r"[0-9@=]|[\[(]at[\])]")
+_SPELLED = re.compile(r"[\[(](?:at|dot)[\])]", re.I)
 _TOKEN = re.compile(r"[^\s=\"']+")
 _EDGE = ".,;:!?<>{}"
 
@@ -80,7 +81,7 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def labelled_table(rows: int = 420, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def labelled_table(rows: int = 560, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """A small labelled table made from templates: text and the spans in it."""
     random = np.random.Generator(np.random.PCG64(seed))
     pick = lambda options: options[int(random.integers(len(options)))]
@@ -94,7 +95,7 @@ def labelled_table(rows: int = 420, seed: int = 11) -> list[tuple[str, list[Span
 
     dotted = lambda n: ".".join(n[i : i + 4] for i in range(0, 16, 4))
     made = {
-        "email": [lambda: f"{word()} [at] {word()} [dot] {pick(('org', 'com', 'net'))}", lambda: f"{word()}{digits(2)}@{word()}.example.com", lambda: f"{word()}(at){word()}.org", lambda: f"{word()} (at) {word()}.com", lambda: f"{word()}[at]{word()}.net"],
+        "email": [lambda: f"{word()} [at] {word()} [dot] {pick(('org', 'com', 'net'))}", lambda: f"{word()}{digits(2)}@{word()}.example.com", lambda: f"{word()}(at){word()}.org", lambda: f"{word()} (at) {word()}.com", lambda: f"{word()}[at]{word()}.net", lambda: f"{word()} (AT) {word()}.com", lambda: f"{word()} [AT] {word()} [DOT] {pick(('org', 'com', 'net'))}"],
         "ip": [lambda: ".".join(str(int(i)) for i in random.integers(1, 255, size=4)), lambda: f"{digits(2)}.{digits(3)}.{digits(1)}.{digits(2)}"],
         "card": [lambda: dotted(number(True)), lambda: number(True)],
         "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"0{digits(2)} {digits(3)} {digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"],
@@ -102,9 +103,12 @@ def labelled_table(rows: int = 420, seed: int = 11) -> list[tuple[str, list[Span
     }
     cue = {"secret": ["password={}", "token = \"{}\"", "api_key={}", "key {}", "secret: {}", "{}"], "phone": ["call {}", "phone {}", "tel {}", "{}"], "email": ["{}", "mail {}"], "card": ["card {}", "{}"], "ip": ["host {}", "{}"]}
     plain = [lambda: digits(4), lambda: f"{digits(1)}.{digits(1)}", lambda: f"version {digits(1)}.", lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)},{digits(3)}", lambda: f"{digits(3)}", lambda: f"{digits(6)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"x = {digits(2)}", lambda: f"{word()}={word()}", lambda: f"{word()}{digits(1)}", lambda: f"@{word()}", lambda: f"{digits(2)}%", lambda: number(False), lambda: number(False), lambda: dotted(number(False))]
+    brackets = [lambda: f"({word()})", lambda: f"({word()} {word()})", lambda: f"({word()} {word()} {word()})", lambda: f"[{word()}]", lambda: f"[{word()} {word()}]", lambda: f"({digits(4)})", lambda: f"[{digits(1)}]", lambda: f"{word()} ({word()}, {digits(2)})", lambda: f"{word()}) {word()}", lambda: f"({word()}-{word()})", lambda: f"({word()}). {word()}", lambda: f"{word()} [...] {word()}", lambda: f"({word()} {word()}) {word()} [{word()}]"]
+    named = ["password", "token", "key", "secret", "call", "phone", "tel", "mail", "card", "host", "api_key"]
+    plain += [lambda: pick(brackets)()] * 12 + [lambda: f"{pick(named)} {word()}"] * 3 + [lambda: f"{pick(named)}: {word()}"] * 2
     table = []
     for i in range(rows):
-        kind, out = ("none", *made)[i % (len(made) + 1)], [word() for _ in range(int(random.integers(3, 8)))]
+        kind, out = ("none", *made, "none")[i % (len(made) + 2)], [word() for _ in range(int(random.integers(3, 8)))]
         line = " ".join(out).capitalize() + " "
         spans: list[Span] = []
         if kind == "none":
@@ -129,10 +133,26 @@ def shape_features(token: str) -> list[str]:
     short = re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "9", re.sub("[A-Z]", "A", re.sub("[^\\W\\d_A-Z]", "a", bare))))
     length = min(len(bare) // 4, 10)
     out += [f"shape {short[:12]}", f"length{length}", f"mixed{n > 0}{any(c.isalpha() for c in bare)}{bare.isupper()}"]
-    out += [f"hex{len(bare) >= 12 and n > 1 and not bare.strip('0123456789abcdef')}", f"long{len(bare) >= 14}{n > 0}{bare.isalnum()}", f"dots{bare.count('.')}", f"luhn{13 <= n <= 19}{luhn(re.sub('[^0-9]', '', bare))}", f"at{'@' in bare}{'at' in bare[:4]}{bare[:1] in '(['}"]
+    out += [f"hex{len(bare) >= 12 and n > 1 and not bare.strip('0123456789abcdef')}", f"long{len(bare) >= 14}{n > 0}{bare.isalnum()}", f"dots{bare.count('.')}", f"luhn{13 <= n <= 19}{luhn(re.sub('[^0-9]', '', bare))}", f"at{'@' in bare}{bool(_SPELLED.search(bare))}{bare[:1] in '(['}"]
     return out
 
 
+class Words(dict):
+    """word -> number of its type; words of one type have the same features. Bounded; the types stay."""
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field = field
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self.field.type_of(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            self[word] = found
+        return found
+
+
 class Field:
     """A linear-chain conditional random field, trained by gradient steps on forward-backward sums."""
 
@@ -153,13 +173,35 @@ class Field:
         self._fit(seen, [y for _, y in sentences], steps)
         while not self._parted():  # a stretch of plain words must lead through "none"
             self.emit[self._plain, 1:] -= 0.25
+        # What label "none" gains over another, whatever the labels on either side are, is at least its emission's and this.
+        self._least = (self.move[:, :1] - self.move).min(0) + (self.move[:1] - self.move).min(1)
+        self._types: dict[tuple, int] = {}
+        self._vectors: list[np.ndarray] = []
+        self._edge, self._none = self._type((), (), ()), self.type_of("aa")
+        self.known = Words(self)
+
+    def _type(self, own: tuple, before: tuple, after: tuple) -> int:
+        """The number of a set of features; its emissions at its own place, behind it and before it."""
+        at = self._types.setdefault((own, before, after), len(self._vectors))
+        if at == len(self._vectors):
+            self._vectors.append(np.stack([self.emit[list(ids)].sum(0) for ids in (own, before, after)]))
+        return at
+
+    def type_of(self, word: str) -> int:
+        names = self._names(word)
+        sides = (tuple(self.index[s + f] for f in names if s + f in self.index) for s in ("", "<", ">"))
+        own, before, after = sides
+        return self._type((self.index["bias"], *own), before, after)
+
+    def _names(self, word: str) -> list[str]:
+        w = word.lower()
+        return shape_features(word) + [f"word {w}"] * (w in self.words)
 
     def features(self, words: list[str], i: int) -> list[str]:
         out = ["bias"]
         for at, side in ((i, ""), (i - 1, "<"), (i + 1, ">")):
             if 0 <= at < len(words):
-                w = words[at].lower()
-                out += [side + f for f in shape_features(words[at])] + [f"{side}word {w}"] * (w in self.words)
+                out += [side + f for f in self._names(words[at])]
         return out
 
     def _ids(self, words: list[str], i: int, grow: bool = False) -> list[int]:
@@ -170,21 +212,20 @@ class Field:
 
     def _fit(self, seen: list[list[list[int]]], labels: list[list[int]], steps: int) -> None:
         n, k, longest = len(seen), len(LABELS), max(map(len, seen))
-        width = max(len(f) for s in seen for f in s)
-        pad = len(self.index)
-        ids = np.full((n, longest, width), pad)
         gold = np.zeros((n, longest), np.int64)
+        has = np.zeros((n, longest, len(self.index)))  # small: the labelled table's words by the features that they have
         length = np.array([len(s) for s in seen])
         for a, (s, y) in enumerate(zip(seen, labels)):
             gold[a, : len(y)] = y
             for b, f in enumerate(s):
-                ids[a, b, : len(f)] = f
+                has[a, b, f] = 1
+        flat = has.reshape(n * longest, -1)
         mask = np.arange(longest) < length[:, None]
-        w, t = np.zeros((pad + 1, k)), np.zeros((k, k))
+        w, t = np.zeros((len(self.index), k)), np.zeros((k, k))
         moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
         one = np.eye(k)
         for step in range(1, steps + 1):
-            e = w[ids].sum(2)
+            e = (flat @ w).reshape(n, longest, k)
             # Before the first word and behind the last stands "none".
             f, b = np.zeros((n, longest, k)), np.zeros((n, longest, k))
             f[:, 0] = t[0] + e[:, 0]
@@ -197,13 +238,11 @@ class Field:
                 b[:, i] = np.where(mask[:, i + 1][:, None], new, t[:, 0])
             z = _logsum(f[:, -1] + t[:, 0], 1)
             p = np.exp(f + b - z[:, None, None]) * mask[:, :, None]
-            gw, gt = np.zeros_like(w), np.zeros_like(t)
-            np.add.at(gw, ids.reshape(-1, width), np.repeat(((one[gold] * mask[:, :, None]) - p).reshape(-1, 1, k), width, 1))
+            gw, gt = flat.T @ (one[gold] * mask[:, :, None] - p).reshape(-1, k), np.zeros_like(t)
             for i in range(1, longest):
                 inner = np.exp(f[:, i - 1][:, :, None] + t + (e[:, i] + b[:, i])[:, None, :] - z[:, None, None]) * mask[:, i][:, None, None]
                 gt += (one[gold[:, i - 1]][:, :, None] * one[gold[:, i]][:, None, :] * mask[:, i][:, None, None] - inner).sum(0)
             gw, gt = gw / n - 2e-4 * w, gt / n - 2e-4 * t
-            gw[pad] = 0
             for j, (x, g) in enumerate(((w, gw), (t, gt))):
                 m, s = moments[2 * j], moments[2 * j + 1]
                 m += 0.1 * (g - m)
@@ -213,14 +252,18 @@ class Field:
         self._plain = self._ids(["aa", "aa", "aa"], 1)
 
     def _parted(self) -> bool:
-        """Whether the best path over AROUND // 2 plain words between any two labels has "none" on all of them."""
+        """Whether the best path over two plain words between any two labels has "none" on both."""
         e = self.emit[self._plain].sum(0)
         for first in range(len(LABELS)):
             for last in range(len(LABELS)):
-                if self._path(np.tile(e, (1, AROUND // 2, 1)), self.move[first], self.move[:, last])[0].any():
+                if self._path(np.tile(e, (1, 2, 1)), self.move[first], self.move[:, last])[0].any():
                     return False
         return True
 
+    def forced(self, e: np.ndarray) -> np.ndarray:
+        """Emissions, a row each, with which "none" is best whatever the labels on either side are."""
+        return (e[:, :1] - e[:, 1:] + self._least[1:] > 1e-9).all(1)
+
     def _path(self, e: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Viterbi for a batch of sequences of one length: (batch, words, labels) -> (batch, words)."""
         score, back = e[:, 0] + begin, []
@@ -233,18 +276,47 @@ class Field:
             path.append(b[np.arange(len(b)), path[-1]])
         return np.stack(path[::-1], 1)
 
-    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Labels of each sequence of words; sequences of one length are decoded together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
-        by_length: dict[int, list[int]] = {}
-        for i, words in enumerate(sequences):
-            by_length.setdefault(len(words), []).append(i)
-        for n, at in by_length.items():
-            if n:
-                e = np.array([[self.emit[self._ids(sequences[i], j)].sum(0) for j in range(n)] for i in at])
-                for i, path in zip(at, self._path(e, self.move[0], self.move[:, 0])):
-                    out[i] = path
-        return out
+    def decode(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Of each text the words (number, label) that the best path labels other than "none"."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        waiting: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        for i, text in enumerate(texts):
+            words = _TOKEN.findall(text) if len(text) < 1 << 20 else (m[0] for m in _TOKEN.finditer(text))
+            kinds = np.fromiter(map(self.known.__getitem__, words), np.int32)
+            for first, e in self._open(kinds):
+                waiting.setdefault(len(e), []).append((i, first, e))
+        for parts in waiting.values():  # parts of one length are decoded together
+            paths = self._path(np.stack([e for _, _, e in parts]), self.move[0], self.move[:, 0])
+            for j in np.flatnonzero(paths.any(1)):
+                i, first, _ = parts[j]
+                out[i] += [(first + int(k), int(paths[j, k])) for k in np.flatnonzero(paths[j])]
+        return [sorted(words) for words in out]
+
+    def _open(self, kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """First word and emissions of each stretch on which "none" is not known to be best; outside of them it is."""
+        if not (kinds != self._none).any():
+            kinds = kinds[:4]  # what is left out of the middle is plain as well
+        around = np.concatenate([[self._edge], kinds, [self._edge]])
+        plain = around == self._none
+        middle = plain[:-2] & plain[1:-1] & plain[2:]
+        settled = middle & (np.append(False, middle[:-1]) | np.append(middle[1:], False))
+        at = np.flatnonzero(~settled)
+        if not len(at):
+            return
+        table = np.stack(self._vectors)
+        e = table[around[at + 1], 0] + table[around[at], 1] + table[around[at + 2], 2]
+        free = ~self.forced(e)
+        at, e = at[free], e[free]
+        cuts = np.flatnonzero(np.diff(at) > 1) + 1
+        for part in np.split(np.arange(len(at)), cuts):
+            if len(part):
+                yield int(at[part[0]]), e[part]
+
+
+@lru_cache(1)
+def default_field() -> Field:
+    """The field of the labelled table, trained once in a driver."""
+    return Field(labelled_table())
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -252,41 +324,25 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def surroundings(text: str) -> list[list[tuple[int, int]]]:
-    """Words with signs and AROUND words on either side, as (start, end); what touches is one sequence."""
-    if not _SIGN.search(text):
-        return []
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    signed = [i for i, (a, b) in enumerate(tokens) if _SIGN.search(text, a, b)]
-    signed += [i for i, (a, b) in enumerate(tokens[1:], 1) if "=" in text[tokens[i - 1][1] : a]]
-    out: list[list[tuple[int, int]]] = []
-    reach = 0
-    for i in sorted(set(signed)):
-        first = i - AROUND
-        if not out or first > reach:
-            out.append([])
-            reach = max(first, 0)
-        out[-1] += tokens[reach : i + AROUND + 1]
-        reach = min(i + AROUND + 1, len(tokens))
-    return out
-
-
 def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
     """Spans of each text that the field labels; neighbouring words of one label are one span."""
-    places = [(i, s) for i, text in enumerate(texts) for s in surroundings(text)]
-    paths = field.decode([[texts[i][a:b] for a, b in s] for i, s in places])
     out: list[list[Span]] = [[] for _ in texts]
-    for (i, tokens), path in zip(places, paths):
-        last = 0
-        for (a, b), label in zip(tokens, path):
-            if label:
-                word = texts[i][a:b]
-                a, b = b - len(word.lstrip(_EDGE)), a + len(word.rstrip(_EDGE))
-                if label == last:
-                    out[i][-1] = (LABELS[label], out[i][-1][1], b)
-                elif b > a:
-                    out[i].append((LABELS[label], a, b))
-            last = label if not label or b > a else 0
+    for spans, text, words in zip(out, texts, field.decode(texts)):
+        if not words:
+            continue
+        places = np.fromiter((x for m in _TOKEN.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+        last = (-2, 0)
+        for i, label in words:
+            start, end = map(int, places[i])
+            word = text[start:end]
+            a, b = end - len(word.lstrip(_EDGE)), start + len(word.rstrip(_EDGE))
+            if b <= a:  # nothing but marks
+                continue
+            if last == (i - 1, label):
+                spans[-1] = (LABELS[label], spans[-1][1], b)
+            else:
+                spans.append((LABELS[label], a, b))
+            last = (i, label)
     return out
 
 
@@ -322,12 +378,12 @@ def find_personal_data(docs: DataFrame, table: list[tuple[str, list[Span]]] | No
     """doc_id, counts of the patterns' spans by kind, their digest, and all spans (code points, end exclusive)."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     kinds = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
-    return given.mapInArrow(_found(Field(table or labelled_table())), kinds)
+    return given.mapInArrow(_found(Field(table) if table else default_field()), kinds)
 
 
 def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; other columns stay. A null text stays null."""
-    field = Field(labelled_table())
+    field = default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -116,7 +116,7 @@ def test_patterns_against_plain_regexes():
 
 
 def test_field_finds_more_than_patterns():
-    field = pii.Field(pii.labelled_table())
+    field = pii.default_field()
     texts = [t for t, _ in pii.labelled_table(200, seed=77)]
     truth = [set(s) for _, s in pii.labelled_table(200, seed=77)]
     right = sum(want <= set(got) for want, got in zip(truth, pii.field_spans(texts, field)))
@@ -124,17 +124,46 @@ def test_field_finds_more_than_patterns():
     assert pii.field_spans(["plain words without anything at all, of the kind that books have"], field) == [[]]
 
 
-def test_decoding_surroundings_is_decoding_everything():
-    field = pii.Field(pii.labelled_table())
-    rng = random.Random(5)
-    for text, _ in pii.labelled_table(60, seed=8):
-        filler = " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(40))
-        whole = f"{filler} {text} {filler} {text}"
-        tokens = [m.span() for m in pii._TOKEN.finditer(whole)]
-        path = field.decode([[whole[a:b] for a, b in tokens]])[0]
-        labelled = {t: k for t, k in zip(tokens, path) if k}
-        near = {t: k for seq in pii.surroundings(whole) for t, k in zip(seq, field.decode([[whole[a:b] for a, b in seq]])[0]) if k}
-        assert labelled == near
+def random_sentence(rng):
+    """Words of every kind, with brackets and cues, in any order."""
+    word = lambda: "".join(rng.choice("abcdefgAT") for _ in range(rng.randint(1, 6)))
+    kinds = [word, word, word, lambda: f"({word()})", lambda: f"[{word()}]", lambda: f"({word()}", lambda: f"{word()})", lambda: "[sic]", lambda: "(at)", lambda: "(AT)", lambda: "[at]", lambda: "[dot]", lambda: "password", lambda: "key", lambda: "token:", lambda: "host",
+             lambda: str(rng.randint(0, 10**rng.randint(1, 17))), lambda: f"{word()}@{word()}", lambda: f"x={word()}", lambda: "AKIA" + "A2" * 8, lambda: "0f" * 20, lambda: "...", lambda: "(555) 123-4567"]
+    return " ".join(rng.choice(kinds)() for _ in range(rng.randint(0, 40)))
+
+
+def best_path(field, words):
+    """Labels of the best path over all words, from the weights alone."""
+    e = np.array([field.emit[field._ids(words, i)].sum(0) for i in range(len(words))]).reshape(-1, len(pii.LABELS))
+    return e, field._path(e[None], field.move[0], field.move[:, 0])[0] if len(words) else []
+
+
+def test_every_word_is_decoded():
+    field, rng = pii.default_field(), random.Random(5)
+    texts = [random_sentence(rng) for _ in range(1500)]
+    texts += [f"{' '.join('abcd' for _ in range(40))} {t} {' '.join('efg' for _ in range(40))} {t}" for t, _ in pii.labelled_table(60, seed=8)]
+    for text, got in zip(texts, field.decode(texts)):
+        _, path = best_path(field, pii._TOKEN.findall(text))
+        assert got == [(i, int(k)) for i, k in enumerate(path) if k], text
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    field, rng = pii.default_field(), random.Random(6)
+    for _ in range(60):
+        words = pii._TOKEN.findall(random_sentence(rng))[:5]
+        if not words:
+            continue
+        e, path = best_path(field, words)
+        score = lambda y: sum(field.move[a, b] for a, b in zip((0, *y), (*y, 0))) + sum(e[i, k] for i, k in enumerate(y))
+        assert max(map(score, itertools.product(range(len(pii.LABELS)), repeat=len(words)))) == pytest.approx(score([int(k) for k in path]))
+
+
+def test_brackets_are_no_personal_data():
+    texts = ["he said) the other", "a word (at the end) of it", "as written [sic] there", "(see note) and [note] more", "password manager", "the (great) idea", "in (1999) they"]
+    assert pii.field_spans(texts, pii.default_field()) == [[]] * len(texts)
+    assert [k for k, _, _ in pii.field_spans(["mail lisa (AT) example.com now"], pii.default_field())[0]] == ["email"]
 
 
 def test_pii_rows(spark, small, odd, none):

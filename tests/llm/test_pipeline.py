@@ -35,7 +35,7 @@ def test_stages(spark):
     assert {r.doc_id for r in unlike.collect()} == {c for _, c in groups.values()}
 
     redacted = stage(STAGES["PII"](spark, unlike, SF))
-    field, before = pii.Field(pii.labelled_table()), {r.doc_id: r.text for r in unlike.collect()}
+    field, before = pii.default_field(), {r.doc_id: r.text for r in unlike.collect()}
     for r in redacted.collect():
         text = before[r.doc_id]
         for kind, a, b in sorted(pii.all_spans([text], field)[0][1], key=lambda s: -s[1]):
