@@ -1,7 +1,11 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a Parquet table bucketed and sorted by digest, so that each later batch meets it by a sort-merge
-anti-join without shuffling what is already indexed; only unseen digests are appended.
+anti-join without shuffling what is already indexed; only unseen digests are appended. As long as each bucket is one
+file the join needs no sort of the index either; after several appends it has one until ``compact`` merges the files.
+
+Every digest stands with the batch that brought it. A batch that is added again under its name, as after a failure,
+is held against the other batches only: it gets the same report, and what it had appended is not appended twice.
 
 Defined cases: a null text counts as empty, and all empty texts are one group. A null id sorts after every other
 id. Rows that repeat completely are one group of which exactly one row is kept. Extra columns are ignored, and
@@ -16,21 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, documents, stage, text_or_empty, work_dir
+from .common import broadcast_if_small, documents, remove, stage, text_or_empty, work_dir
 
 #: The characters that do not count, as a regular expression.
 IGNORED = "[\\x20\\x09-\\x0D]+"
 
 
 class DigestIndex:
-    """A digest table that outlives the session's data frames: ``digest -> keep_id`` of the row that was kept."""
+    """A digest table that outlives the session's data frames: ``digest -> keep_id`` of the row that was kept, and its batch."""
 
     def __init__(self, spark: SparkSession, table: str, location: str | None = None, buckets: int | None = None):
         self.spark, self.table = spark, table
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(table):
             spark.sql(
-                f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT, keep_row STRING) USING parquet "
+                f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS "
                 f"LOCATION '{location or work_dir(spark)}'"
             )
@@ -38,20 +42,34 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def _write(self, rows: DataFrame, mode: str, **options: str) -> None:
+        bucketed = rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest").write.mode(mode).format("parquet").options(**options)
+        bucketed.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+
+    def compact(self) -> None:
+        """One sorted file for each bucket again."""
+        self._write(stage(self.read()), "overwrite", path=work_dir(self.spark))
+
+    def drop(self) -> None:
+        """Forget the index, files included."""
+        where = self.spark.sql(f"DESCRIBE FORMATTED {self.table}").filter("col_name = 'Location'").first()["data_type"]
+        self.spark.sql(f"DROP TABLE {self.table}")
+        remove(self.spark, where)
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Deduplicate a batch within itself and against the index, append what is new, and report every row.
 
         Returns doc_id, keep_id, group_size (rows of this batch with the text), kept and text_sha256. A text that
-        an earlier batch brought has that batch's keep_id and no kept row.
+        another batch brought has that batch's keep_id and no kept row.
         """
-        batch = uuid.uuid4().hex
+        again, batch = batch is not None, batch or uuid.uuid4().hex
         text = text_or_empty(text_col)
         rows = stage(
             docs.select(
                 F.col(id_col).cast("long").alias("doc_id"),
                 F.unhex(F.sha2(F.regexp_replace(text, IGNORED, "").cast("binary"), 256)).alias("digest"),
                 F.char_length(text).alias("n"),
-                F.concat(F.lit(f"{batch}:"), F.monotonically_increasing_id().cast("string")).alias("row"),
+                F.monotonically_increasing_id().alias("row"),
             )
         )
         first = F.min(F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
@@ -60,30 +78,30 @@ class DigestIndex:
             .agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
             .select("digest", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
         )
-        fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            fresh.select("digest", "keep_id", "keep_row")
-            .repartition(self.buckets, "digest")
-            .write.mode("append")
-            .format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.table)
-        )
-        known = groups.select("digest", "group_size").join(self.read().hint("merge"), "digest")
+        others = self.read().filter(F.col("batch") != batch)
+        fresh = groups.join(others.select("digest").hint("merge"), "digest", "left_anti")
+        known = groups.select("digest", "group_size").join(others.select("digest", "keep_id").hint("merge"), "digest")
+        report = stage(fresh.unionByName(known, allowMissingColumns=True))
+        new = report.filter("keep_row IS NOT NULL").select("digest", "keep_id", F.lit(batch).alias("batch"))
+        if again:  # what an earlier try of this batch has appended
+            new = new.join(self.read().filter(F.col("batch") == batch).select("digest").hint("merge"), "digest", "left_anti")
+        self._write(new, "append")
         # Unique digests on the right, any number of copies on the left: the adaptive skew join may split a hot one.
-        return rows.join(stage(known), "digest").select(
+        return rows.join(report, "digest").select(
             "doc_id",
             "keep_id",
             "group_size",
-            (F.col("row") == F.col("keep_row")).alias("kept"),
+            F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Deduplicate one table against a new index of its own."""
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").add(docs)
+    """Deduplicate one table against a new index of its own, which goes when the table is done."""
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    found = index.add(docs)
+    index.drop()
+    return found
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
