@@ -8,7 +8,8 @@ each place, so the path is found from left to right, and back from its end.
 A long document is cut into chunks. At a cut the state is the piece that reaches over it. A chunk gives the matrix
 from the states at its left cut to those at its right one; the matrices of a document combine in the (max, +) algebra,
 32 at a time in as many levels as its length needs; the way back down fixes the state at every cut, and each chunk then
-finds its own pieces. No piece reaches over the start of a word, so that inside a chunk words are found one by one,
+finds its own pieces. What the query tells of a document, the count, checksum and whether decoding gives it back, is
+combined from what its chunks tell; their ids are put together only where ids are asked for. No piece reaches over the start of a word, so that inside a chunk words are found one by one,
 behind a bounded memory.
 
 Defined cases: null and empty texts have no ids. Characters that the model lacks become their UTF-8 bytes. Decoding
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, stage, text_or_empty
+from .common import Scratch, documents, slices, stage, text_or_empty
 
 MARK = "▁"
 #: Characters of a chunk; documents of at most one chunk are not cut.
@@ -295,17 +297,50 @@ def _fixed(table: pa.Table) -> pa.Table:
     return pa.table({"row": pa.array([r["row"] for r in rows], pa.int64()), "at": pa.array([r["at"] for r in rows], pa.int64()), "entry": pa.array([entry, *states[:-1]], pa.int32()), "exit": pa.array(states, pa.int32())})
 
 
-def _chunk_ids(path: str):
+def _chunk_facts(path: str, keep: bool):
+    """Of each chunk: the bytes of its ids, their checksum, and whether they decode to the text between its two cuts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
         for batch in batches:
-            ids = [_chunk_of(pieces, r).ids(r["entry"], r["exit"]) for r in batch.to_pylist()]
-            decoded = [pieces.decode(b) for b in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["row", "chunk", "ids", "decoded"])
+            size, crc, same, kept = [], [], [], []
+            for r in batch.to_pylist():
+                chunk = _chunk_of(pieces, r)
+                ids = chunk.ids(r["entry"], r["exit"])
+                size.append(len(ids)), crc.append(zlib.crc32(ids)), kept.append(ids)
+                same.append(pieces.decode(ids) == chunk.text[chunk.entries[r["entry"]][1] : chunk.exits[r["exit"]][1]])
+            columns = [batch.column("row"), batch.column("chunk"), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+            names = ["row", "chunk", "size", "crc", "same"]
+            if keep:
+                columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
+def joined_crc(first: int, then: int, size: int) -> int:
+    """The CRC-32 of two strings of bytes in a row, from theirs and the size of the second (CRCs are linear)."""
+    zeros = bytes(size)
+    return zlib.crc32(zeros, first) ^ zlib.crc32(zeros) ^ then
+
+
+def _document(table: pa.Table) -> pa.Table:
+    """One document's facts from its chunks'."""
+    table = table.sort_by("chunk")
+    crc = 0
+    for then, size in zip(table.column("crc").to_pylist(), table.column("size").to_pylist()):
+        crc = joined_crc(crc, then, size)
+    out = {
+        "row": pa.array([table.column("row")[0].as_py()], pa.int64()),
+        "n_ids": pa.array([pc.sum(table.column("size")).as_py() // 4], pa.int64()),
+        "ids_crc32": pa.array([crc], pa.int64()),
+        "same": pa.array([pc.all(table.column("same")).as_py()], pa.bool_()),
+    }
+    if "ids" in table.column_names:
+        out["ids"] = pa.array([b"".join(table.column("ids").to_pylist())], pa.binary())
+    return pa.table(out)
+
+
 def _short(path: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
@@ -327,30 +362,27 @@ def _short(path: str, keep: bool):
     return run
 
 
-def _long(rows: DataFrame, path: str, chunk: int) -> DataFrame:
-    """row, ids, decoded of each long document, by the scan."""
+def _long(rows: DataFrame, path: str, chunk: int, with_ids: bool) -> DataFrame:
+    """row, n_ids, ids_crc32, same (and ids) of each long document, by the scan."""
     longest = Pieces.of(path).longest
-    chunks = stage(rows.select("row", "text").mapInArrow(_cut_long(longest, chunk), "row long, chunk long, chunks long, text string, left int, right int"))
-    most = chunks.agg(F.max("chunks")).first()[0] or 0
-    # Chunks of one document go to many tasks.
-    dealt = chunks.repartition("row", "chunk")
-    levels = [stage(dealt.mapInArrow(_matrices(path), LEVEL))]
-    while most > 1:
-        up = levels[-1].withColumn("block", F.expr(f"at div {TOGETHER}"))
-        levels.append(stage(up.groupBy("row", "block").applyInArrow(_combined, LEVEL)))
-        most = -(-most // TOGETHER)
-    states = levels[-1].select("row", "at", F.lit(0).alias("entry"), F.lit(0).alias("exit"))
-    for below in levels[-2::-1]:
-        inner = below.withColumn("block", F.expr(f"at div {TOGETHER}")).join(states.withColumnRenamed("at", "block"), ["row", "block"])
-        states = stage(inner.groupBy("row", "block").applyInArrow(_fixed, "row long, at long, entry int, exit int"))
-    known = chunks.join(states.withColumnRenamed("at", "chunk"), ["row", "chunk"])
-    parts = known.mapInArrow(_chunk_ids(path), "row long, chunk long, ids binary, decoded string")
-    ordered = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids", "decoded"))).alias("p"))
-    return ordered.select(
-        "row",
-        F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
-        F.array_join(F.transform("p", lambda x: x["decoded"]), "").alias("decoded"),
-    )
+    with Scratch(rows.sparkSession) as scratch:
+        chunks = scratch.stage(rows.select("row", "text").mapInArrow(_cut_long(longest, chunk), "row long, chunk long, chunks long, text string, left int, right int"))
+        most = chunks.agg(F.max("chunks")).first()[0] or 0
+        # Chunks of one document go to many tasks.
+        dealt = chunks.repartition("row", "chunk")
+        levels = [scratch.stage(dealt.mapInArrow(_matrices(path), LEVEL))]
+        while most > 1:
+            up = levels[-1].withColumn("block", F.expr(f"at div {TOGETHER}"))
+            levels.append(scratch.stage(up.groupBy("row", "block").applyInArrow(_combined, LEVEL)))
+            most = -(-most // TOGETHER)
+        states = levels[-1].select("row", "at", F.lit(0).alias("entry"), F.lit(0).alias("exit"))
+        for below in levels[-2::-1]:
+            inner = below.withColumn("block", F.expr(f"at div {TOGETHER}")).join(states.withColumnRenamed("at", "block"), ["row", "block"])
+            states = scratch.stage(inner.groupBy("row", "block").applyInArrow(_fixed, "row long, at long, entry int, exit int"))
+        known = chunks.join(states.withColumnRenamed("at", "chunk"), ["row", "chunk"])
+        ids = ", ids binary" * with_ids
+        parts = scratch.stage(known.mapInArrow(_chunk_facts(path, with_ids), "row long, chunk long, size long, crc long, same boolean" + ids))
+        return stage(parts.groupBy("row").applyInArrow(_document, "row long, n_ids long, ids_crc32 long, same boolean" + ids))
 
 
 def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
@@ -360,12 +392,9 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, with_ids: bool
     kinds = "row long, doc_id long, n_ids long, ids_crc32 long, round_trip boolean" + ", ids binary" * with_ids
     out = ["doc_id", "n_ids", "ids_crc32", "round_trip", *(["ids"] if with_ids else [])]
     few = short.mapInArrow(_short(model_path, with_ids), kinds).select(out)
-    long = stage(given.filter(F.char_length("text") >= chunk))
-    found = _long(long, model_path, chunk)
-    back = F.substring(F.replace("decoded", F.lit(MARK), F.lit(" ")), 2, 2**31 - 1)
-    many = long.join(found, "row").select(
-        "doc_id", F.expr("octet_length(ids) div 4").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), (back == F.col("text")).alias("round_trip"), "ids"
-    )
+    long = stage(given.filter(F.char_length("text") >= chunk).withColumn("plain", ~F.contains("text", F.lit(MARK))))
+    found = _long(long, model_path, chunk, with_ids)
+    many = long.select("row", "doc_id", "plain").join(found, "row").withColumn("round_trip", F.col("plain") & F.col("same"))
     return few.unionByName(many.select(out))
 
 
