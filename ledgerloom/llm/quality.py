@@ -1,7 +1,7 @@
 """Quality classification: random-indexing word vectors, pooled, and a two-layer network with calibrated probabilities.
 
 Every word has a sparse random index vector; its context vector is the sum of its neighbours' index vectors over all
-documents. Words live in a table of fixed size by their hash, so the table is bounded whatever the corpus. A document
+documents. Words live in a table of ``slots`` by their hash, so the table is bounded whatever the corpus. A document
 is the mean of its words' vectors, the mean product of neighbouring words' vectors (which is large where a text
 repeats itself), the shares of its word shapes and its length. The network learns from a sample of labelled rows of at
 most SAMPLE expected rows, a fifth of which only fits the temperature.
@@ -33,45 +33,48 @@ ACCEPT = 0.3
 FEATURES = 2 * WIDTH + SHAPES + 1
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+def index_vectors(slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of each word's few non-zero components."""
     random = np.random.Generator(np.random.PCG64(5))
-    return random.integers(WIDTH, size=(WORDS, NONZERO)), random.choice([-1.0, 1.0], size=(WORDS, NONZERO))
+    return random.integers(WIDTH, size=(slots, NONZERO)), random.choice([-1.0, 1.0], size=(slots, NONZERO))
 
 
-def _word(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(WORDS - 1)).astype(np.int64)
+def _word(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes % np.uint64(slots)).astype(np.int64)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place, sign = index_vectors()
-    total = np.zeros(WORDS * WIDTH)
-    seen = np.zeros(WORDS, np.int64)
-    for batch in slices(batches):
-        for block in runs(batch.column(0)):
-            word = _word(block.hash)
-            seen += np.bincount(word, minlength=WORDS)
-            next_to = block.doc[1:] == block.doc[:-1]
-            left, right = word[:-1][next_to], word[1:][next_to]
-            for one, other in ((left, right), (right, left)):
-                for k in range(NONZERO):
-                    total += np.bincount(one * WIDTH + place[other, k], weights=sign[other, k], minlength=WORDS * WIDTH)
-    at = np.flatnonzero(seen)
-    rows = total.reshape(WORDS, WIDTH)[at]
-    columns = [pa.array(at.astype(np.int32)), pa.array(seen[at]), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(WIDTH))]
-    yield pa.RecordBatch.from_arrays(columns, ["word", "seen", *(f"v{i}" for i in range(WIDTH))])
+def _contexts(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, sign = index_vectors(slots)
+        total = np.zeros(slots * WIDTH)
+        seen = np.zeros(slots, np.int64)
+        for batch in slices(batches):
+            for block in runs(batch.column(0)):
+                word = _word(block.hash, slots)
+                seen += np.bincount(word, minlength=slots)
+                next_to = block.doc[1:] == block.doc[:-1]
+                left, right = word[:-1][next_to], word[1:][next_to]
+                for one, other in ((left, right), (right, left)):
+                    for k in range(NONZERO):
+                        total += np.bincount(one * WIDTH + place[other, k], weights=sign[other, k], minlength=slots * WIDTH)
+        at = np.flatnonzero(seen)
+        rows = total.reshape(slots, WIDTH)[at]
+        columns = [pa.array(at.astype(np.int32)), pa.array(seen[at]), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(WIDTH))]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "seen", *(f"v{i}" for i in range(WIDTH))])
+
+    return run
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
+def word_vectors(docs: DataFrame, slots: int = WORDS) -> np.ndarray:
     """Unit context vectors of all words, summed over all documents; a table of fixed size."""
     kinds = "word int, seen long, " + ", ".join(f"v{i} double" for i in range(WIDTH))
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(_contexts, kinds)
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(_contexts(slots), kinds)
     table = rows.groupBy("word").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(WIDTH))).toArrow()
-    out = np.zeros((WORDS, WIDTH), np.float32)
+    out = np.zeros((slots, WIDTH), np.float32)
     for i in range(WIDTH):
         out[table.column("word").to_numpy(), i] = table.column(f"v{i}").to_numpy()
-    place, sign = index_vectors()
-    np.add.at(out, (np.arange(WORDS)[:, None], place), sign.astype(np.float32))  # a word is in its own context
+    place, sign = index_vectors(slots)
+    np.add.at(out, (np.arange(slots)[:, None], place), sign.astype(np.float32))  # a word is in its own context
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -83,7 +86,7 @@ def pooled(texts: pa.StringArray, vectors: np.ndarray) -> np.ndarray:
         if not len(block.doc):
             continue
         own, at = np.unique(block.doc, return_index=True)
-        v = vectors[_word(block.hash)]
+        v = vectors[_word(block.hash, len(vectors))]
         sums[own, :WIDTH] += np.add.reduceat(v, at, axis=0)
         product = np.zeros_like(v)
         np.multiply(v[1:], v[:-1], out=product[1:])
@@ -155,7 +158,8 @@ def sampled(labels: DataFrame, kind: str, learn, limit: int) -> DataFrame:
     """(label_id, label), one row an id, of the labelled rows that may be learned from, ``limit`` expected rows at most."""
     one = labels.filter(learn & F.col(kind).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(kind).alias("label"))
     part = min(1.0, limit / max(1, one.count()))
-    return one.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    # The hash as a number from 0 to 1, fine enough for any number of labels.
+    return one.filter(F.shiftrightunsigned(F.xxhash64("label_id"), 11).cast("double") / float(1 << 53) < part)
 
 
 class Scorer(NamedTuple):
@@ -168,9 +172,9 @@ class Scorer(NamedTuple):
         return self.model.probability(pooled(texts, self.vectors).astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, slots: int = WORDS) -> Scorer:
     """Word vectors from all documents, and the network from the labelled sample. Ids that the fold rule holds out are not learned from."""
-    vectors = word_vectors(docs)
+    vectors = word_vectors(docs, slots)
     chosen = F.broadcast(stage(sampled(labels, "quality", fold("doc_id", 5) != 0, SAMPLE)))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = given.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")
@@ -180,9 +184,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     return Scorer(vectors, Network(x, y) if len(set(y.tolist())) == 2 else float(y.mean()) if len(y) else 0.5)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, slots: int = WORDS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    scorer = train(docs, labels)
+    scorer = train(docs, labels, slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -194,9 +198,9 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, slots: int = WORDS) -> DataFrame:
     """The documents, whole rows, that the classifier accepts; nothing is joined or shuffled for it."""
-    scorer = train(docs, labels)
+    scorer = train(docs, labels, slots)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,21 @@ def test_digest_index_persists(spark):
     assert index.read().count() == 3
 
 
+def test_batches_may_be_added_again(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_of_retries", buckets=3)
+    of = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index.add(of((1, "a"), (2, "b")), batch="one").collect()
+    rows = of((3, "a "), (4, "c"), (5, "c"), (6, "d"))
+    once = sorted(map(tuple, index.add(rows, batch="two").collect()))
+    assert sorted(map(tuple, index.add(rows, batch="two").collect())) == once  # as after a failure between append and report
+    assert index.read().count() == 4
+    index.compact()
+    assert index.read().count() == 4
+    assert sorted(map(tuple, index.add(rows, batch="two").collect())) == once and index.read().count() == 4
+    index.drop()
+    assert not spark.catalog.tableExists("digests_of_retries")
+
+
 def test_exact_dedup_odd(spark, odd, none):
     assert exact_dedup.exact_dedup(spark, odd).count() == odd.count()
     assert exact_dedup.exact_dedup(spark, odd).filter("kept").count() == exact_dedup.exact_dedup(spark, odd).select("text_sha256").distinct().count()
@@ -224,6 +239,22 @@ def test_pieces_odd(spark, odd, none):
         assert np.frombuffer(pieces.encode(piece_scan.marked(text)), "<u4").tolist() == model.encode(text), text
 
 
+def test_joined_crc():
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = rng.randbytes(rng.randint(0, 40)), rng.randbytes(rng.randint(0, 40))
+        assert piece_scan.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_long_facts_without_ids(spark):
+    texts = ["word " * 3000, "x▁y " * 2000, "日本" * 3000, "z" * 4000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, model = pairs(piece_scan.encode(docs, PIECES, 500)), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for i, text in enumerate(texts):
+        ids = model.encode(text)
+        assert (got[i].n_ids, got[i].ids_crc32, got[i].round_trip) == (len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()), "▁" not in text)
+
+
 def test_many_levels(spark, monkeypatch):
     monkeypatch.setattr(piece_scan, "TOGETHER", 3)
     text = "ab" * 700 + " then words " * 60
@@ -242,6 +273,12 @@ def test_quality_on_held_out(spark):
     assert all(zlib.crc32(str(d).encode()) % 5 == 0 for d in got.doc_id)
 
 
+def test_a_sample_is_about_as_large_as_asked_for(spark):
+    ids = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.sampled(ids, "quality", F.lit(True), 100).count() in range(50, 151)
+    assert quality.sampled(ids, "quality", F.lit(True), 5000).count() == 1000
+
+
 def test_quality_odd(spark, odd, none, labels):
     assert quality.score_quality(odd, labels).count() == odd.count()
     assert quality.score_quality(odd, labels).filter("score IS NULL OR predicted IS NULL OR held_out IS NULL").count() == 0
