@@ -3,14 +3,15 @@
 Two interpolated Markov models over URL characters, one of the URLs that rules accept and one of those they
 reject, use every history up to ``order - 1`` characters that they have seen (Witten-Bell weights). A URL that no
 rule decides is judged by the difference of its log-likelihoods per character against a threshold that is
-calibrated on the rule-decided URLs.
+calibrated on rule-decided URLs that the models have not seen: those whose digest begins with one of HELD_OUT.
 
 Everything is DataFrame operations. The symbols are folded to an alphabet of at most 42, so the n-gram tables have
 a size bound that does not depend on the number of pages.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged as the
 text that is there (an empty one by the difference 0). Rows that repeat are judged alike, each on its own row.
-If rules decide no page one way, that model is uniform. An empty table gives no rows.
+If rules decide no page one way, that model is uniform, and where none of a side is held out the threshold is 0. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import broadcast_if_small, stage
 #: Verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 ORDER = 4
+#: First digits of a URL's MD5 digest by which a rule-decided page is kept for calibration: three sixteenths of all.
+HELD_OUT = "012"
 ALPHABET = 42
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -51,9 +54,9 @@ def _folded(url: Column) -> Column:
 
 
 def _grams(rows: DataFrame) -> DataFrame:
-    """A row for each character of a URL with its history; ^ stands before the start."""
+    """A row for each character of a URL with its history; ^ stands before the start. What is held out counts as not known."""
     padded = rows.withColumn("p", F.concat(F.lit("^" * (ORDER - 1)), "folded"))
-    at = padded.select("page_row", "known", "p", F.explode(F.sequence(F.lit(1), F.length("folded"))).alias("i"))
+    at = padded.select("page_row", F.when(~F.col("held"), F.col("known")).alias("known"), "p", F.explode(F.sequence(F.lit(1), F.length("folded"))).alias("i"))
     return at.select("page_row", "known", F.substring("p", F.col("i"), F.lit(ORDER)).alias("gram"))
 
 
@@ -87,6 +90,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
         pages.select("page_id", F.col("url").cast("string").alias("url"))
         .select("page_id", "url", host.alias("host"), path.alias("path"), _folded(F.col("url")).alias("folded"))
         .select("*", rule.alias("rule"), verdict.alias("known"), F.monotonically_increasing_id().alias("page_row"))
+        .withColumn("held", F.col("known").isNotNull() & F.substring(F.md5("folded"), 1, 1).isin(*HELD_OUT))
     )
     counts = stage(
         _grams(rows)
@@ -97,7 +101,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
     # A page's characters stay in one task up to here, so that each page sends about one row into the sum.
     scores = _grams(rows).join(model, "gram").groupBy("page_row").agg(F.avg("llr").alias("llr"))
     scored = stage(rows.join(scores, "page_row", "left").withColumn("score", F.coalesce("llr", F.lit(0.0))))
-    at = scored.groupBy().agg(
+    at = scored.filter("held").groupBy().agg(
         *(f(F.when(F.col("known") == s, F.col("score"))).alias(f"{s}_{n}") for s in ("allow", "block") for n, f in (("m", F.avg), ("s", F.stddev_pop)))
     ).first()
     threshold = _threshold(at["allow_m"], at["allow_s"], at["block_m"], at["block_s"])
@@ -120,8 +124,6 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score", "threshold")
 
 
-
-
 def _sql() -> str:
     """The same in SQL: the rules, the two models of every order, the calibrated threshold."""
     best = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
@@ -150,17 +152,18 @@ base AS (
   SELECT row_number() OVER () AS page_row, page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS known,
          regexp_replace(regexp_replace(lower(coalesce(url, '')), '[0-9]', '0', 'g'), '(?s)[^a-z0:/?#.=&_%~+,;@-]', '*', 'g') AS folded
   FROM split),
-places AS (SELECT page_row, known, repeat('^', {ORDER - 1}) || folded AS p, unnest(range(1, length(folded) + 1)) AS i FROM base),
+marked AS (SELECT *, known IS NOT NULL AND left(md5(folded), 1) IN ({", ".join(f"'{c}'" for c in HELD_OUT)}) AS held FROM base),
+places AS (SELECT page_row, CASE WHEN NOT held THEN known END AS known, repeat('^', {ORDER - 1}) || folded AS p, unnest(range(1, length(folded) + 1)) AS i FROM marked),
 grams AS (SELECT page_row, known, substring(p, i, {ORDER}) AS gram FROM places),
 counts AS (SELECT gram, count(*) FILTER (known = 'allow') AS allow, count(*) FILTER (known = 'block') AS block FROM grams GROUP BY gram),
 {", ".join(steps)},
 model AS (SELECT gram, ln({p["allow"]}) - ln({p["block"]}) AS llr FROM counts{joins}),
 scored AS (
-  SELECT base.*, coalesce(score, 0) AS score FROM base
+  SELECT marked.*, coalesce(score, 0) AS score FROM marked
   LEFT JOIN (SELECT page_row, avg(llr) AS score FROM grams JOIN model USING (gram) GROUP BY page_row) USING (page_row)),
 m AS (
   SELECT avg(score) FILTER (known = 'allow') AS am, stddev_pop(score) FILTER (known = 'allow') + 1e-6 AS ad,
-         avg(score) FILTER (known = 'block') AS bm, stddev_pop(score) FILTER (known = 'block') + 1e-6 AS bd FROM scored)
+         avg(score) FILTER (known = 'block') AS bm, stddev_pop(score) FILTER (known = 'block') + 1e-6 AS bd FROM scored WHERE held)
 SELECT page_id, host, path, rule,
        coalesce(known, CASE WHEN score >= coalesce((am * bd + bm * ad) / (ad + bd), 0) THEN 'allow' ELSE 'block' END) AS verdict
 FROM scored CROSS JOIN m
