@@ -12,7 +12,6 @@ a document count each time. Rows that repeat are scanned each on its own. The re
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from pathlib import Path
 
@@ -60,9 +59,10 @@ NOT_WORD = r"[^a-z0-9]+"
 
 def canonical(text: Column) -> Column:
     bare = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, NOT_WORD, " "), F.lit(" "))
+    # Two spaces between words, so that each has its own on either side and neighbours are folded alike.
+    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, NOT_WORD, "  "), F.lit(" "))
     folded = reduce(lambda c, ab: F.replace(c, F.lit(f" {ab[0]} "), F.lit(f" {ab[1]} ")), SPELLINGS, spaced)
-    return F.trim(folded)
+    return F.trim(F.replace(folded, F.lit("  "), F.lit(" ")))
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> DataFrame:
@@ -77,15 +77,21 @@ TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "B
 TERMS_END = "END OF TERMS AND CONDITIONS"
 
 
-def entire_licenses(spark: SparkSession) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """(license, canonical text) of the terms, and of every form that an entire document may have."""
+def license_files() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(license, text) of the terms, and of every form that an entire document may have."""
     terms, forms = [], []
     for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
         name, text = file.stem, file.read_text(encoding="utf-8")
         body = text[: text.index(TERMS_END) + len(TERMS_END)] if TERMS_END in text else text
         terms.append((name, body))
         forms += [(name, f) for f in dict.fromkeys([body, text, *(f"{t}\n\n{body}" for t in TITLES.get(name, []))])]
+    return terms, forms
+
+
+def entire_licenses(spark: SparkSession) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """The same in canonical form."""
     clean = lambda rows: [tuple(r) for r in spark.createDataFrame(rows, "license string, t string").select("license", canonical(F.col("t"))).collect()]
+    terms, forms = license_files()
     return clean(terms), clean(forms)
 
 
@@ -103,9 +109,7 @@ def _occurrences(c: Column, words: str) -> Column:
 def scan_licenses(spark: SparkSession, docs: DataFrame, known: dict[str, list[str]] = KNOWN) -> DataFrame:
     """doc_id, text_sha256 (canonical whole text), text_license (or null), n_notices, licenses (of lines, entire licences and the whole, sorted)."""
     digests = F.broadcast(known_digests(spark, known))  # as many rows as the fixed list has at most
-    longest = max(len(re.sub(NOT_WORD, " ", t.lower())) for v in known.values() for t in v) + 64
     base = docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    # A line several times as long as the longest known text can only match if copyright or punctuation fills it.
     terms, forms = entire_licenses(spark)
     entire = spark.createDataFrame(forms, "license string, t string").select("license", F.sha2("t", 256).alias("digest"))
     wholes = F.broadcast(known_digests(spark, known).unionByName(entire).dropDuplicates(["digest"]))
@@ -113,7 +117,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, known: dict[str, list[st
     whole = base.withColumn("c", canonical(F.col("text"))).select("doc_id", "row", "text", F.sha2("c", 256).alias("whole"), F.filter(counts, lambda x: x["n"] > 0).alias("entire"))
     units = whole.select("doc_id", "row", "whole", "entire", F.explode(F.split("text", "\n")).alias("line"))
     lines = units.withColumn("c", canonical(F.col("line"))).withColumn(
-        "digest", F.when((F.col("c") != "") & (F.length("c") <= longest), F.sha2("c", 256))
+        "digest", F.when(F.col("c") != "", F.sha2("c", 256))
     )
     hits = lines.join(digests.withColumnRenamed("license", "line_license"), "digest", "left")
     per_doc = hits.groupBy("row", "doc_id", "whole", "entire").agg(
@@ -132,20 +136,28 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The same in SQL; spellings are folded word by word, and entire licences counted by cutting texts at them."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = lambda pairs: ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in pairs)
+    spelling = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS) + " ELSE w END"
+
     def canon(x: str) -> str:
-        out = f"' ' || regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', ' ', 'g') || ' '"
-        for a, b in SPELLINGS:
-            out = f"replace({out}, ' {a} ', ' {b} ')"
-        return f"trim({out})"
+        bare = f"trim(regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', ' ', 'g'))"
+        return f"array_to_string([{spelling} FOR w IN string_split({bare}, ' ')], ' ')"
 
-    listed = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, v in KNOWN.items() for t in v)
+    terms, forms = license_files()
+    double = lambda c: f"' ' || replace({c}, ' ', '  ') || ' '"
     return f"""
-WITH known AS (SELECT min(license) AS license, sha256({canon("t")}) AS digest FROM (VALUES {listed}) AS k(license, t) GROUP BY ALL),
+WITH notices AS (SELECT min(license) AS license, sha256({canon("t")}) AS digest FROM (VALUES {rows((k, t) for k, v in KNOWN.items() for t in v)}) AS k(license, t) GROUP BY ALL),
+known AS (SELECT min(license) AS license, digest FROM
+          (SELECT * FROM notices UNION ALL SELECT license, sha256({canon("t")}) FROM (VALUES {rows(forms)}) AS k(license, t)) GROUP BY digest),
+terms AS (SELECT license, {canon("t")} AS t FROM (VALUES {rows(terms)}) AS k(license, t)),
 base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-whole AS (SELECT base.*, sha256({canon("text")}) AS text_sha256 FROM base),
+whole AS (SELECT *, sha256(c) AS text_sha256 FROM (SELECT base.*, {canon("text")} AS c FROM base)),
 units AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM base),
-hits AS (SELECT r, license FROM (SELECT r, {canon("line")} AS c FROM units) JOIN known ON c <> '' AND sha256(c) = digest),
-found AS (SELECT r, license, 1 AS n FROM hits UNION ALL
+hits AS (SELECT r, license FROM (SELECT r, {canon("line")} AS c FROM units) JOIN notices ON c <> '' AND sha256(c) = digest),
+entire AS (SELECT r, license, len(string_split({double("c")}, {double("t")})) - 1 AS n FROM whole JOIN terms ON contains(c, t)),
+found AS (SELECT r, license, 1 AS n FROM hits UNION ALL SELECT * FROM entire WHERE n > 0 UNION ALL
          SELECT r, license, 0 FROM whole JOIN known ON text_sha256 = digest)
 SELECT doc_id, text_sha256, any_value(k.license) AS text_license, coalesce(sum(n), 0)::BIGINT AS n_notices,
        coalesce(string_agg(DISTINCT found.license, ',' ORDER BY found.license), '') AS licenses

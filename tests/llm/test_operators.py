@@ -207,6 +207,24 @@ def test_url_parts_and_rules(spark):
     assert {got[i].verdict for i in range(10)} <= {"allow", "block"} and got[0].verdict == "allow" and got[1].verdict == "block"
 
 
+def test_urls_odd(spark):
+    long = "http://a.net/" + "x" * 50_000
+    kinds = "page_id long, url string, host string, path string, known string, page_row long, gram string, score double, h string"
+    rows = [(i, u, "h", "p", "block", 7, "g", 0.5, "h") for i, u in enumerate([None, "", "no scheme", long, "http://a.org/fr/1", "http://a.org/fr/1", None])] + [(None, "http://b.net/", None, None, None, None, None, None, None)]
+    got = url_filter.judge_urls(spark, spark.createDataFrame([*rows, rows[4]], kinds)).collect()
+    assert len(got) == 9 and {r.verdict for r in got} <= {"allow", "block"}
+    assert sum(r.rule == "org/fr/" for r in got) == 3 and sum(r.host == "" for r in got) == 4
+    assert [r.verdict for r in got if r.page_id == 3] == ["block"] == [r.verdict for r in got if r.page_id is None]
+
+
+def test_calibration_is_of_pages_that_the_models_have_not_seen(spark):
+    rows = [(i, f"http://{'good' if i % 2 else 'evil'}.example.{'net/en/' if i % 2 else 'com/de/'}{'x' * (i % 40)}") for i in range(400)]
+    grams = url_filter._grams(spark.createDataFrame([(1, True, "allow", "abc"), (2, False, "block", "abd")], "page_row long, held boolean, known string, folded string"))
+    assert {(r.page_row, r.known) for r in grams.collect()} == {(1, None), (2, "block")}
+    got = url_filter.judge_urls(spark, spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len({r.threshold for r in got}) == 1
+
+
 def test_url_models_tell_hosts_apart(spark):
     rows = [(i, f"http://{'good' if i % 2 else 'evil'}{i % 7}.example.{'net/en/' if i % 2 else 'com/de/'}{i}") for i in range(200)]
     rows += [(1000 + i, f"http://{'good' if i % 2 else 'evil'}{i % 7}.example.edu/{i}") for i in range(40)]
@@ -475,6 +493,8 @@ def test_toxicity_odd(odd, none, labels):
 
 
 def test_license_forms(spark, odd, none):
+    canonical = lambda text: spark.range(1).select(license_scan.canonical(F.lit(text)).alias("c")).first().c
+    assert canonical("Licence licence LICENCE, v v2 ver. v 3") == "license license license version v2 version version 3"
     rows = [(1, "Released under the  MIT licence!"), (2, "Copyright (c) 2020 A\nreleased UNDER the MIT License"), (3, "Intro\nLicensed under CC BY-NC 4.0.\nmore"), (4, "Released under the MIT License and more"), (5, None)]
     got = pairs(license_scan.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")))
     assert [(got[i].text_license, got[i].n_notices, got[i].licenses) for i in range(1, 6)] == [("MIT", 1, "MIT"), ("MIT", 1, "MIT"), (None, 1, "CC-BY-NC-4.0"), (None, 0, ""), (None, 0, "")]
