@@ -1,30 +1,38 @@
 """Exact k nearest binary codes by multi-index hashing with growing radii.
 
 A code is cut into segments, and every segment value is a key of the index. A query first probes the values that
-equal its segments, then those one bit away, and so on. After radius r any code within ``segments * (r + 1) - 1``
-bits has been met, so a query is finished once its k-th verified distance is at most that; only unfinished queries
-go on. The answer is exact.
+equal its segments, then those one bit away, and so on. Once radius r is done in the first ``a`` of m segments and r - 1
+in the others, every code within ``m * r + a - 1`` bits has been met, so a query is finished when its k-th verified
+distance is at most that; only unfinished queries go on. The answer is exact. While few values are probed, all
+segments of a radius go in one step; larger rings go segment by segment, so that a query stops inside a ring.
+
+A probed value brings the query's k-th distance so far along, and codes beyond it are dropped where they are met. A code
+is taken only at the first segment and radius that lead to it, which its differing bits tell, so that nothing that was
+met before is compared again.
 
 Rows with one code are one entry of the index, which holds the k smallest ids that have it: no query can need more,
 and a code that a third of all rows share stays one row.
 
-Defined cases: a null vector, or one with a null or missing component, has no code and is neither found nor asked
-for. Ties in distance go to the smaller id. A query finds its own row too, at distance 0. With fewer than k coded
+Defined cases: the vectors' width is the largest in the table, 64 at most. A null vector, or one with a null or missing
+component, has no code and is neither found nor asked for. Ties in distance go to the smaller id. A query finds its own row too, at distance 0. With fewer than k coded
 rows every query returns all of them. Rows that repeat a whole row (same id and code) count once.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import Scratch, stage
 
-#: Fixed by the stored vectors: a bit for each of their components.
+#: Bits of a code at most, one for each component of a vector.
 BITS = 64
+#: Values probed in one step, over all queries, up to which a radius is not parted into its segments.
+PROBES = 2_000_000
 K = 10
 QUERY_STEP = 20
 SALTS = 64
@@ -40,26 +48,37 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 def _widths(n: int, bits: int = BITS) -> list[int]:
     """Bits of each segment: about log2(n), at which a bucket holds about one of n codes."""
-    segments = max(2, min(bits // 4, round(bits / math.log2(max(n, 16)))))
+    segments = min(bits, max(2, min(bits // 4, round(bits / math.log2(max(n, 16))))))
     return [bits // segments + (i < bits % segments) for i in range(segments)]
 
 
-def _keys(code: Column, widths: list[int]) -> Column:
+def _segments(code: Column, widths: list[int]) -> list[Column]:
     """The segments of a code, lowest bits first."""
     starts = [sum(widths[:i]) for i in range(len(widths))]
-    return F.array(*(F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in zip(starts, widths)))
+    return [F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in zip(starts, widths)]
+
+
+def _keys(code: Column, widths: list[int]) -> Column:
+    return F.array(*_segments(code, widths))
 
 
-def _ring(asked: DataFrame, widths: list[int], radius: int) -> DataFrame:
-    """q, s, v: every value that differs in exactly ``radius`` bits from segment s of the code q, each once."""
-    out = asked.select(F.col("code").alias("q"), F.posexplode(_keys(F.col("code"), widths)).alias("s", "v")).withColumn("last", F.lit(-1))
+def _ring(asked: DataFrame, widths: list[int], radius: int, segments: list[int]) -> DataFrame:
+    """q, kth, s, v: every value that differs in exactly ``radius`` bits from a segment s of the code q, each once."""
+    keys = F.filter(F.transform(_keys(F.col("q"), widths), lambda v, s: F.struct(s.alias("s"), v.alias("v"))), lambda x: x["s"].isin(segments))
+    out = asked.select("q", "kth", F.inline(keys)).withColumn("last", F.lit(-1))
     width = F.element_at(F.array(*map(F.lit, widths)), F.col("s") + 1)
     for _ in range(radius):  # flip one more bit, above the last one flipped
         above = out.filter(F.col("last") < width - 1).select("*", F.explode(F.sequence(F.col("last") + 1, width - 1)).alias("bit"))
-        out = above.select("q", "s", F.col("v").bitwiseXOR(F.expr("shiftleft(1L, bit)")).alias("v"), F.col("bit").alias("last"))
+        out = above.select("q", "kth", "s", F.col("v").bitwiseXOR(F.expr("shiftleft(1L, bit)")).alias("v"), F.col("bit").alias("last"))
     return out.drop("last")
 
 
+def _first_met(widths: list[int], radius: int) -> Column:
+    """Whether no smaller radius, and no segment before s at this one, leads from q to the code."""
+    bits = [F.bit_count(x) for x in _segments(F.col("q").bitwiseXOR(F.col("code")), widths)]
+    return reduce(lambda a, b: a & b, [(n > radius) | ((n == radius) & (F.col("s") <= t)) for t, n in enumerate(bits)])
+
+
 def _entries(rows: DataFrame, k: int) -> DataFrame:
     """code -> its k smallest ids, in two steps so that a very common code is not sorted in one task."""
     salted = Window.partitionBy("code", (F.abs(F.xxhash64("id")) % SALTS)).orderBy("id")
@@ -69,51 +88,68 @@ def _entries(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
+def _steps(widths: list[int], radius: int, asked: int) -> list[list[int]]:
+    """The segments of each step of a radius."""
+    every = list(range(len(widths)))
+    return [every] if asked * sum(math.comb(w, radius) for w in widths) <= PROBES else [[s] for s in every]
+
+
 def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
     """rows and queries: (id, code). Returns query_id, rank, id, distance: the k nearest rows of every query."""
     rows, queries = rows.filter("code IS NOT NULL"), queries.filter("code IS NOT NULL")
-    entries = stage(_entries(rows, k))
-    widths = _widths(entries.count(), bits)
-    wanted = stage(queries.select("code").distinct())
-    index = stage(entries.select("code", F.size("ids").alias("n"), F.posexplode(_keys(F.col("code"), widths)).alias("s", "v")))
-    found = entries.select(F.col("code").alias("q"), "code", F.size("ids").alias("n"), F.lit(0).alias("d")).limit(0)
-    done, open_q = None, wanted
-    for radius in range(max(widths) + 1):
-        probes = _ring(open_q, widths, radius)
-        # Ring sizes are not in Spark's estimates, so that it must not choose to broadcast the probes.
-        met = probes.join(index.hint("merge"), ["s", "v"]).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d"))
-        reached = found.unionByName(met).dropDuplicates(["q", "code"])
-        # Codes whose nearer codes already hold k ids are beyond the answer; equal distances stay until ids decide.
-        nearer = Window.partitionBy("q").orderBy("d").rangeBetween(Window.unboundedPreceding, -1)
-        kept = stage(reached.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).filter(F.col("before") < k).drop("before"))
-        bound = len(widths) * (radius + 1) - 1
-        covered = kept.filter(F.col("d") <= bound).groupBy("q").agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
-        part = kept.join(covered.select("q"), "q", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        open_q = stage(open_q.join(covered.select(F.col("q").alias("code")), "code", "left_anti"))
-        found = kept.join(open_q.select(F.col("code").alias("q")), "q", "left_semi")
-        if open_q.isEmpty():
-            break
-    else:
-        done = done.unionByName(found)  # fewer than k coded rows: every code has been met
-    best = done.join(entries, "code").select("q", "d", F.explode("ids").alias("id"))
-    order = Window.partitionBy("q").orderBy("d", "id")
-    answers = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct()
-    return asked.join(answers, "q").select("query_id", "rank", "id", F.col("d").alias("distance"))
+    with Scratch(rows.sparkSession) as scratch:
+        entries = scratch.stage(_entries(rows, k))
+        widths = _widths(entries.count(), bits)
+        index = scratch.stage(entries.select("code", F.size("ids").alias("n"), F.posexplode(_keys(F.col("code"), widths)).alias("s", "v")))
+        # Each query has a row of its own, without a code, among what it has found.
+        found = scratch.stage(queries.select(F.col("code").alias("q"), F.lit(None).cast("long").alias("code"), F.lit(0).alias("n"), F.lit(0).alias("d"), F.lit(bits).alias("kth")).distinct())
+        asked, done = found.count(), []
+        nearer, all_of = Window.partitionBy("q").orderBy("d").rangeBetween(Window.unboundedPreceding, -1), Window.partitionBy("q")
+        for radius in range(max(widths) + 1):
+            for segments in _steps(widths, radius, asked):
+                if not asked:
+                    break
+                probes = _ring(found.filter("code IS NULL"), widths, radius, segments)
+                # Ring sizes are not in Spark's estimates, so that it must not choose to broadcast the probes.
+                met = probes.join(index.hint("merge"), ["s", "v"]).withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
+                new = met.filter((F.col("d") <= F.col("kth")) & _first_met(widths, radius)).select("q", "code", "n", "d", "kth")
+                # Codes whose nearer codes already hold k ids are beyond the answer; equal distances stay until ids decide.
+                kept = found.unionByName(new).withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).filter(F.col("before") < k).drop("before")
+                whole = F.sum("n").over(all_of) >= k
+                last = F.when(whole, F.max("d").over(all_of)).otherwise(F.lit(bits))
+                kept = kept.withColumns({"kth": last, "done": whole & (last <= len(widths) * radius + segments[-1])})
+                kept = scratch.stage(kept)
+                done.append(kept.filter("done").drop("done"))
+                found = kept.filter("NOT done").drop("done")
+                asked = found.filter("code IS NULL").count()
+        # Where fewer than k rows have codes, every code has been met by now.
+        near = reduce(DataFrame.unionByName, [*done, found]).filter("code IS NOT NULL")
+        best = near.join(entries, "code").select("q", "d", F.explode("ids").alias("id"))
+        order = Window.partitionBy("q").orderBy("d", "id")
+        answers = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        asked_for = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct()
+        return stage(asked_for.join(answers, "q").select("query_id", "rank", "id", F.col("d").alias("distance")))
+
+
+def coded(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
+    """(id, code) of every row of a table of vectors, and the codes' bits."""
+    bits = table.agg(F.max(F.size(vector_col))).first()[0] or 0
+    if bits > BITS:
+        raise ValueError(f"vectors of {bits} components: codes hold {BITS} bits")
+    bits = bits if bits > 0 else BITS
+    return stage(table.select(F.col(id_col).alias("id"), sign_code(F.col(vector_col), bits).alias("code"))), bits
 
 
 def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows, by the Hamming distance of sign codes, of every vector whose id is divisible by 20."""
-    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = stage(table.select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code")))
-    out = nearest_codes(rows, rows.filter(F.col("id") % QUERY_STEP == 0))
+    rows, bits = coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    out = nearest_codes(rows, rows.filter(F.col("id") % QUERY_STEP == 0), bits=bits)
     return out.select(F.col("query_id").alias("vec_id"), "rank", F.col("id").alias("neighbor_id"), "distance")
 
 
 OP10_SQL = f"""
 WITH t AS (SELECT DISTINCT vec_id, [x > 0 FOR x IN embedding] AS code FROM embeddings
-           WHERE len(embedding) = {BITS} AND NOT list_contains([x IS NULL FOR x IN embedding], true)),
+           WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings) AND NOT list_contains([x IS NULL FOR x IN embedding], true)),
 pairs AS (SELECT q.vec_id, t.vec_id AS neighbor_id,
                  list_sum([CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END FOR z IN list_zip(q.code, t.code)])::INT AS distance
           FROM t q CROSS JOIN t WHERE q.vec_id % {QUERY_STEP} = 0),

@@ -513,8 +513,9 @@ def search_by_hand(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("spread", [3, 12, 64])
-def test_hamming(spark, spread):
+@pytest.mark.parametrize(("spread", "probes"), [(3, hamming.PROBES), (12, 500), (64, 500)])
+def test_hamming(spark, monkeypatch, spread, probes):
+    monkeypatch.setattr(hamming, "PROBES", probes)
     rng = random.Random(spread)
     base = rng.getrandbits(64)
     rows = []
@@ -529,6 +530,14 @@ def test_hamming(spark, spread):
     assert got == search_by_hand(rows, [r for r in rows if r[0] % 20 == 0], 10)
 
 
+def test_hamming_width_is_the_tables(spark):
+    vectors = spark.createDataFrame([(0, [1.0, -1.0, 1.0]), (20, [1.0, 1.0, 1.0]), (3, [1.0]), (40, None)], "vec_id long, embedding array<float>")
+    rows, bits = hamming.coded(vectors)
+    assert bits == 3 and {tuple(r) for r in hamming.nearest_codes(rows, rows.filter("id % 20 = 0"), 2, bits).collect()} == {(0, 1, 0, 0), (0, 2, 20, 1), (20, 1, 20, 0), (20, 2, 0, 1)}
+    with pytest.raises(ValueError):
+        hamming.coded(spark.createDataFrame([(0, [1.0] * 65)], "vec_id long, embedding array<float>"))
+
+
 def test_hamming_odd(spark):
     df = spark.createDataFrame([(20, 5), (1, 4), (2, None), (40, None), (20, 5)], "id long, code long")
     assert {tuple(r) for r in hamming.nearest_codes(df, df.filter("id % 20 = 0"), 10).collect()} == {(20, 1, 20, 0), (20, 2, 1, 1)}
