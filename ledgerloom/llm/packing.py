@@ -45,6 +45,15 @@ _SPACE = re.compile("[" + _WHITE + "".join(map(chr, (0x1680, *range(0x2000, 0x20
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100, which their lower case is then too."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """text -> little-endian 32-bit ids, exactly those of the tokenizer for the whole text.
 
@@ -60,8 +69,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile(f"({'|'.join(special) or '(?!)'})")
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.at_special = re.compile(f"({'|'.join(map(re.escape, self.specials)) or '(?!)'})").split
         self.runs: dict[str, bytes] = {}
 
     @classmethod
@@ -73,14 +82,16 @@ class WordEncoder:
     @staticmethod
     def cut(text: str) -> list[str]:
         lowered = text.lower()
-        if text.isascii() or not (_FAR.search(text) or _FAR.search(lowered)):
+        if _latin(text) or not (_FAR.search(text) or _FAR.search(lowered)):
             return _RUNS.findall(lowered)
         words = ((w, w.lower()) for w in _SPACE.split(text) if w)
         return [r for w, low in words for r in ([w] if _FAR.search(w) or _FAR.search(low) else _RUNS.findall(low))]
 
     def __call__(self, text: str) -> bytes:
-        parts = self.special.split(text)  # special tokens come at odd places
-        runs = self.cut(text) if len(parts) == 1 else [r for i, p in enumerate(parts) for r in ([p] if i % 2 else self.cut(p))]
+        if any(map(text.__contains__, self.specials)):  # they come at odd places
+            runs = [r for i, p in enumerate(self.at_special(text)) for r in ([p] if i % 2 else self.cut(p))]
+        else:
+            runs = self.cut(text)
         known = self.runs
         missing = list(set(runs).difference(known))
         if missing:
