@@ -87,3 +87,9 @@ def scorecard(runs: Column, ok: Column, schema_ok: Column, faithful: Column, uns
     fair = F.greatest(F.lit(0), F.lit(15) - F.lit(5) * unsupported)
     points = F.lit(50.0) * (faithful / runs) + F.lit(20.0) * valid + fair + F.lit(15.0) * (modules / most_modules) * valid
     return F.when(ok == 0, 0.0).otherwise(points)
+
+
+def needs_are_neutral(needs: dict[str, float], keys: list[str], near: float = 1e-9) -> bool:
+    """Whether every module is wanted alike, so that personal and plain breadth agree; negative needs count as none."""
+    wanted = [max(0.0, needs.get(k, 1.0)) for k in keys]
+    return max(wanted) - min(wanted) < near

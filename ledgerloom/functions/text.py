@@ -19,12 +19,17 @@ def casefolded(s: Column) -> Column:
     return F.replace(F.lower(s), F.lit("ß"), F.lit("ss"))
 
 
-def slug(s: Column) -> Column:
-    """Lower case, umlauts as two letters, all else runs of a hyphen."""
+def two_letter_folded(s: Column) -> Column:
+    """Lower case, each umlaut and sharp s as two letters."""
     folded = F.lower(s)
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         folded = F.replace(folded, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return folded
+
+
+def slug(s: Column) -> Column:
+    """Lower case, umlauts as two letters, all else runs of a hyphen."""
+    return F.regexp_replace(F.regexp_replace(two_letter_folded(s), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def stem(insurer: Column, product: Column) -> Column:
@@ -67,10 +72,14 @@ def vowel_folded(s: Column) -> Column:
     return F.replace(F.translate(F.lower(s), "äöü", "aou"), F.lit("ß"), F.lit("ss"))
 
 
+#: What may stand before a list item.
+LEADING_MARKS = "✓✗★•·–— -"
+
+
 def item_key(s: Column) -> Column:
-    """What makes two list items the same: marks gone, folded, bullets gone, spaces squeezed."""
+    """What makes two list items the same: trademarks gone, folded, leading marks gone, spaces of any kind squeezed."""
     bare = casefolded(F.translate(F.coalesce(s, F.lit("")), "®™", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"^[\s•·–—*✓✔-]+", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, f"^[{LEADING_MARKS}]+", ""), r"(?U)\s+", " "))
 
 
 def number_tokens(s: Column) -> Column:
@@ -137,9 +146,9 @@ def identity_tokens(s: Column, generic: tuple[str, ...] = ()) -> Column:
     return F.filter(words, lambda t: (F.length(t) >= 2) & ~F.coalesce(F.array_contains(F.array(*map(F.lit, generic)), t), F.lit(False)) if generic else F.length(t) >= 2)
 
 
-def word_set(*parts: Column) -> Column:
-    """Distinct whole words of all parts, vowels folded."""
-    joined = vowel_folded(F.concat_ws(" ", *parts))
+def word_set(name: Column, *others: Column) -> Column:
+    """Distinct whole words: of a name with umlauts as two letters, as keys are written, and of the others as they are."""
+    joined = F.concat_ws(" ", two_letter_folded(name), *map(casefolded, others))
     return F.array_distinct(F.filter(F.split(joined, "[^a-z0-9]+"), lambda t: t != ""))
 
 

@@ -35,11 +35,11 @@ def representatives(df: DataFrame, key: str = "stem", price: str = "price", ordi
 
 
 def duplicate_contents(df: DataFrame, text: str, place: str) -> DataFrame:
-    """content_sha256, n, places (sorted) of texts that stand in several places; blank texts are left out."""
+    """content_sha256, n, place: a row for each place of the texts that stand in several; blank texts are left out."""
     trimmed = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
     hashed = df.filter(trimmed != "").select(F.sha2(trimmed, 256).alias("content_sha256"), F.col(place).alias("place"))
-    grouped = hashed.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
-    return grouped.filter("n > 1")
+    several = hashed.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return hashed.join(several, "content_sha256").select("content_sha256", "n", "place")
 
 
 def with_suffix(df: DataFrame, base: str, *order: Column, out: str = "unique_key") -> DataFrame:

@@ -35,10 +35,10 @@ def append_changed(history: DataFrame, batch: DataFrame, key: str = "stem", date
     A state dated before the newest version is held against its own predecessor. A state of the same day and content
     appends nothing; one of the same day and another content replaces, which ``replaced`` says.
     """
-    b = batch.select(F.col(key).alias("__k"), F.col(date).alias("__d"))
-    earlier = history.join(b, (F.col(key) == F.col("__k")) & (F.col(date) <= F.col("__d")), "inner")
-    newest = earlier.groupBy("__k", "__d").agg(F.max_by(digest, date).alias("__digest"), F.max(date).alias("__newest"))
-    met = batch.join(newest, (F.col(key) == F.col("__k")) & (F.col(date) == F.col("__d")), "left")
+    asked = batch.select(key, F.col(date).alias("__at")).distinct()
+    before = state_as_of(history.select(key, date, digest), asked, key, date, "__at")
+    newest = before.select(key, F.col("__at").alias(date), F.col(date).alias("__newest"), F.col(digest).alias("__digest"))
+    met = batch.join(newest, [key, date], "left")
     fresh = met.filter(F.col("__digest").isNull() | (F.col("__digest") != F.col(digest)))
     same_day = F.coalesce(F.col("__newest") == F.col(date), F.lit(False))
     return fresh.select(*batch.columns, F.when(~same_day, F.col("__newest")).alias("supersedes"), same_day.alias("replaced"))
@@ -50,12 +50,43 @@ def without_history(records: DataFrame, history: DataFrame, key: str = "stem") -
 
 
 def state_as_of(versions: DataFrame, asked: DataFrame, key: str = "stem", date: str = "date", at: str = "as_of") -> DataFrame:
-    """For each asked (key, as_of) the newest version of that date or before; none is a row of nulls."""
+    """For each asked (key, as_of) the newest version of that date or before; none is a row of nulls.
+
+    Versions and questions stand in one order of time, in which each question takes the last version before it.
+    """
     columns = [c for c in versions.columns if c != key]
-    v = versions.select(F.col(key).alias("__k"), F.struct(*columns).alias("__v"), F.col(date).alias("__d"))
-    met = asked.join(v, (F.col(key) == F.col("__k")) & (F.col("__d") <= F.col(at)), "left")
-    newest = met.groupBy(key, at).agg(F.max_by("__v", "__d").alias("v"))
-    return newest.select(key, at, *(F.col(f"v.{c}").alias(c) for c in columns))
+    everything = F.struct(*columns)
+    told = versions.select(key, F.col(date).alias("__t"), F.lit(0).alias("__asks"), everything.alias("__v"))
+    asks = asked.select(key, F.col(at).alias("__t"), F.lit(1).alias("__asks")).distinct()
+    line = Window.partitionBy(key).orderBy("__t", "__asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = told.unionByName(asks, allowMissingColumns=True).withColumn("__v", F.last("__v", ignorenulls=True).over(line))
+    return last.filter("__asks = 1").select(key, F.col("__t").alias(at), *(F.col(f"__v.{c}").alias(c) for c in columns))
+
+
+def structural_difference(pairs: DataFrame, coverage: list[str], lists: tuple[str, ...] = LISTS, key: str = "stem") -> DataFrame:
+    """key, section, name, old, new: everything in which two states of a record differ, a row each.
+
+    pairs: key, old and new, structs of content_sha256, modules map<string, struct<included, level>>, coverage struct and
+    lists. Equal digests end the comparison. Modules are held by included and level over the keys of both sides, a missing
+    one as neither; coverage field by field; list items, as sets, are ``added`` or ``removed``.
+    """
+    differs = pairs.filter(~F.coalesce(F.col("old.content_sha256") == F.col("new.content_sha256"), F.lit(False)))
+    none = F.create_map().cast("map<string,struct<included:boolean,level:string>>")
+    old, new = F.coalesce("old.modules", none), F.coalesce("new.modules", none)
+    said = lambda m, k: F.struct(F.try_element_at(m, k)["included"].alias("included"), F.try_element_at(m, k)["level"].alias("level"))
+    row = lambda section, name, a, b: F.struct(F.lit(section).alias("section"), name.alias("name"), a.alias("old"), b.alias("new"))
+    keys = F.filter(F.array_union(F.map_keys(old), F.map_keys(new)), lambda k: ~said(old, k).eqNullSafe(said(new, k)))
+    parts = [F.transform(keys, lambda k: row("modules", k, F.to_json(said(old, k)), F.to_json(said(new, k))))]
+    text = lambda side, c: F.col(f"{side}.coverage.{c}").cast("string")
+    parts += [F.when(~text("old", c).eqNullSafe(text("new", c)), F.array(row("coverage", F.lit(c), text("old", c), text("new", c)))) for c in coverage]
+    nothing = F.lit(None).cast("string")
+    came = lambda c, items: F.transform(items, lambda x: row(c, F.lit("added"), nothing, x))
+    went = lambda c, items: F.transform(items, lambda x: row(c, F.lit("removed"), x, nothing))
+    for c in lists:
+        added, removed = list_difference(F.col(f"old.{c}"), F.col(f"new.{c}"))
+        parts += [came(c, added), went(c, removed)]
+    found = F.flatten(F.array_compact(F.array(*parts)))
+    return differs.select(key, F.explode(found).alias("d")).select(key, "d.*")
 
 
 def list_difference(old: Column, new: Column) -> tuple[Column, Column]:

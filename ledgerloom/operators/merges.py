@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField
 
+from ..functions.scores import included_count
 from ..functions.text import item_key
 from .dedup import keep
 
@@ -100,27 +102,47 @@ def merge_runs(runs: DataFrame, by: str = "stem", run: str = "run", size: str =
     return base.join(merged, by, "left").withColumn(items, F.coalesce("__items", items)).drop("__items")
 
 
-def reconcile(prior: DataFrame, fresh: DataFrame, lists: list[str], by: str = "stem") -> DataFrame:
-    """Fresh records that never fall behind prior ones.
+def filled_count(df: DataFrame, column: str) -> Column:
+    """How many fields of a struct, or keys of a map, hold anything: null, empty text, lists and maps do not count."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, MapType):
+        return F.coalesce(F.size(F.map_filter(column, lambda k, v: v.isNotNull() & (v.cast("string") != ""))), F.lit(0))
 
-    The modules with more included, the coverage with more fields, lists united with fresh first, other fields fresh
-    where set; the premium goes. ``changed`` names what the prior record gave.
+    def there(f: StructField) -> Column:
+        c = F.col(f"{column}.{f.name}")
+        has = F.size(c) > 0 if isinstance(f.dataType, ArrayType | MapType) else c != "" if isinstance(f.dataType, StringType) else c.isNotNull()
+        return F.coalesce(has, F.lit(False)).cast("int")
+
+    return sum((there(f) for f in kind.fields), F.lit(0))
+
+
+def reconcile(prior: DataFrame, fresh: DataFrame, lists: list[str], by: str = "stem", scalars: tuple[str, ...] = ("insurer", "tariff", "stand")) -> DataFrame:
+    """Fresh records that never fall behind prior ones, whole rows.
+
+    The modules (a map) with more included, the coverage (a struct or map) with more fields, lists united with fresh
+    first, the scalars fresh where set; every other column is fresh, and the premium goes. ``changed`` names what the
+    prior record gave, ``reconciled`` says whether it gave anything.
     """
-    p = prior.select(by, *(F.col(c).alias(f"p_{c}") for c in prior.columns if c != by))
-    j = fresh.join(p, by, "left")
-    more = lambda c: F.coalesce(F.col(f"p_n_{c}") > F.col(f"n_{c}"), F.lit(False))
-    note = lambda test, text: F.when(test, text)
+    counted = lambda d: d.withColumns({"__n_modules": F.coalesce(included_count(F.col("modules")), F.lit(0)), "__n_coverage": filled_count(d, "coverage")})
+    p = counted(prior).select(by, *(F.col(c).alias(f"p_{c}") for c in ("modules", "coverage", "__n_modules", "__n_coverage", *lists, *scalars)))
+    j = counted(fresh).join(p, by, "left")
     out, notes = {}, []
     for c in ("modules", "coverage"):
-        out[c] = F.when(more(c), F.col(f"p_{c}")).otherwise(F.col(c))
-        notes.append(note(more(c), F.concat(F.lit(f"{c} "), F.col(f"n_{c}").cast("string"), F.lit("->"), F.col(f"p_n_{c}").cast("string"))))
+        more = F.coalesce(F.col(f"p___n_{c}") > F.col(f"__n_{c}"), F.lit(False))
+        out[c] = F.when(more, F.col(f"p_{c}")).otherwise(F.col(c))
+        notes.append(F.when(more, F.concat(F.lit(f"{c} "), F.col(f"__n_{c}").cast("string"), F.lit("->"), F.col(f"p___n_{c}").cast("string"))))
     for c in lists:
+        size = F.coalesce(F.size(c), F.lit(0))
         out[c] = united_lists(F.col(c), F.col(f"p_{c}"))
-        notes.append(note(F.size(out[c]) != F.size(c), F.concat(F.lit(f"{c} "), F.size(c).cast("string"), F.lit("->"), F.size(out[c]).cast("string"))))
-    missing = (F.coalesce("stand", F.lit("")) == "") & (F.coalesce("p_stand", F.lit("")) != "")
-    out["stand"] = F.when(missing, F.col("p_stand")).otherwise(F.col("stand"))
-    notes.append(note(missing, F.lit("stand<-prior")))
-    return j.select(by, *(v.alias(k) for k, v in out.items()), F.array_compact(F.array(*notes)).alias("changed"))
+        notes.append(F.when(F.size(out[c]) != size, F.concat(F.lit(f"{c} "), size.cast("string"), F.lit("->"), F.size(out[c]).cast("string"))))
+    for c in scalars:
+        missing = (F.coalesce(c, F.lit("")) == "") & (F.coalesce(f"p_{c}", F.lit("")) != "")
+        out[c] = F.when(missing, F.col(f"p_{c}")).otherwise(F.col(c))
+        notes.append(F.when(missing, F.lit(f"{c}<-prior")))
+    changed = F.array_compact(F.array(*notes))
+    if "beitrag" in fresh.columns:
+        out["beitrag"] = F.lit(None).cast(fresh.schema["beitrag"].dataType)
+    return j.select(*(out.get(c, F.col(c)).alias(c) for c in fresh.columns), changed.alias("changed"), (F.size(changed) > 0).alias("reconciled"))
 
 
 def upsert(prior: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

@@ -57,17 +57,20 @@ def prescore(market: DataFrame) -> DataFrame:
 def top_with_ties(scored: DataFrame, k: int, score: str = "pre_score", *order: str) -> DataFrame:
     """Rows with their place and a mark: selected (first k), tied (beyond, with the score at the cut) or dropped.
 
-    k <= 0 or beyond the number of rows selects all. Places are given to the first k only, which the cut bounds.
+    k <= 0 or beyond the number of rows selects all. The order should be total: rows that are equal in all of it stand or
+    fall together. Every row is held against the k-th one, and places are given to the selected ones only.
     """
-    by = [F.col(score).desc(), *(F.col(c).asc_nulls_last() for c in order)]
     if k <= 0:
         return scored.withColumns({"place": F.lit(None).cast("long"), "mark": F.lit("selected")})
-    first = scored.orderBy(*by).limit(k)
-    placed = first.withColumns({"place": F.row_number().over(Window.orderBy(*by)).cast("long"), "mark": F.lit("selected")})
-    cut = F.broadcast(first.agg(F.min(score).alias("__cut")))  # one row
-    rest = scored.exceptAll(first).join(cut, F.lit(True))
-    mark = F.when(F.abs(F.col(score) - F.col("__cut")) < scores.TIE, "tied").otherwise("dropped")
-    return placed.unionByName(rest.withColumns({"place": F.lit(None).cast("long"), "mark": mark}).drop("__cut"))
+    at = F.struct((-F.col(score)).alias("__s"), *(x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"__n{i}"), F.col(c).alias(f"__c{i}"))))
+    first = scored.select(at.alias("__at"), F.col(score).alias("__score")).orderBy("__at").limit(k)
+    cut = F.broadcast(first.agg(F.max("__at").alias("__last"), F.min("__score").alias("__cut")))  # one row
+    met = scored.withColumn("__at", at).join(cut, F.lit(True), "left")
+    mark = F.when(F.col("__at") <= F.col("__last"), "selected").when(F.abs(F.col(score) - F.col("__cut")) < scores.TIE, "tied").otherwise("dropped")
+    marked = met.withColumn("mark", mark)
+    selected = marked.filter("mark = 'selected'").withColumn("place", F.row_number().over(Window.orderBy("__at")).cast("long"))
+    rest = marked.filter("mark <> 'selected'").withColumn("place", F.lit(None).cast("long"))
+    return selected.unionByName(rest).select(*scored.columns, "place", "mark")
 
 
 def low_confidence(records: DataFrame, count: str = "n_categories") -> DataFrame:
@@ -78,6 +81,7 @@ def low_confidence(records: DataFrame, count: str = "n_categories") -> DataFrame
 
 
 def shared_documents(records: DataFrame, key: str = "stem", digest: str = "input_hash") -> DataFrame:
-    """key, others (sorted) of the records that rest on the same documents; a missing digest shares nothing."""
-    grouped = records.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.collect_set(key).alias("all")).filter(F.size("all") > 1)
-    return records.join(grouped, digest).select(key, F.sort_array(F.array_remove("all", F.col(key))).alias("others"))
+    """key, digest, n: the records that rest on the same documents as others, a row each; a missing digest shares nothing."""
+    each = records.filter(F.col(digest).isNotNull()).select(key, digest).distinct()
+    several = each.groupBy(digest).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return each.join(several, digest).select(key, digest, "n")

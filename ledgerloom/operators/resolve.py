@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from ..functions.text import casefolded, word_set
 from .dedup import keep
 
+#: Rows of typed names up to which they are broadcast.
+MAX_ASKED = 1000
+
 
 def resolve(rows: DataFrame, manifest: DataFrame, key: str = "row_id") -> DataFrame:
     """key, stem, tier of each row: exact on both names, else the only entry with the product and a name in the other.
@@ -22,9 +25,10 @@ def resolve(rows: DataFrame, manifest: DataFrame, key: str = "row_id") -> DataFr
     asked = named(rows, key).join(exact_keys, ["__i", "__p"], "left")
     loose = known.select(F.col("__p"), F.col("__i").alias("__other"), "stem").distinct()
     inside = F.contains("__i", F.col("__other")) | F.contains("__other", F.col("__i"))
-    met = asked.filter("__exact IS NULL").join(loose, "__p").filter(inside)
-    only = met.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("stem").alias("loose_stem")).filter("n = 1")
-    joined = asked.join(only.select(key, "loose_stem"), key, "left")
+    names = asked.filter("__exact IS NULL").select("__i", "__p").distinct()  # names meet names, however many rows have them
+    met = names.join(loose, "__p").filter(inside)
+    only = met.groupBy("__i", "__p").agg(F.count(F.lit(1)).alias("n"), F.min("stem").alias("loose_stem")).filter("n = 1")
+    joined = asked.join(only.select("__i", "__p", "loose_stem"), ["__i", "__p"], "left").withColumn("loose_stem", F.expr("CASE WHEN __exact IS NULL THEN loose_stem END"))
     tier = F.when(F.col("__exact"), "exact").when(F.col("loose_stem").isNotNull(), "loose").otherwise("none")
     return joined.select(key, F.coalesce("exact_stem", "loose_stem").alias("stem"), tier.alias("tier"))
 
@@ -40,10 +44,16 @@ def match_favourites(favourites: DataFrame, market: DataFrame) -> DataFrame:
 def only_equivalent(rows: DataFrame, key: str = "stem", analysed: DataFrame | None = None) -> DataFrame:
     """key, equivalent: the one other insurer's row of ``analysed`` (else of rows) with the same product; several or none give no row."""
     keyed = lambda d: d.select(F.col(key).alias("__a"), casefolded(F.col("product")).alias("__p"), casefolded(F.col("insurer")).alias("__i"))
-    a = keyed(rows)
-    b = keyed(rows if analysed is None else analysed).toDF("__b", "__p", "__j")
-    met = a.join(b, "__p").filter("__i <> __j").groupBy("__a").agg(F.count(F.lit(1)).alias("n"), F.min("__b").alias("equivalent"))
-    return met.filter("n = 1").select(F.col("__a").alias(key), "equivalent")
+    a, b = keyed(rows), keyed(rows if analysed is None else analysed)
+    # Rows of each insurer, then the insurers of each product: one other row means two insurers at most, so that a
+    # product's first and last say it all and no row meets another.
+    by_insurer = b.groupBy("__p", "__i").agg(F.count(F.lit(1)).alias("n"), F.min("__a").alias("k"))
+    one = F.struct("__i", "n", "k")
+    ends = by_insurer.groupBy("__p").agg(F.count(F.lit(1)).alias("insurers"), F.min(one).alias("lo"), F.max(one).alias("hi")).filter("insurers <= 2")
+    met = a.join(ends, "__p")
+    other = F.when(F.col("lo.__i") != F.col("__i"), F.col("lo")).when(F.col("hi.__i") != F.col("__i"), F.col("hi"))
+    alone = (F.col("insurers") == 1) | F.col("__i").isin(F.col("lo.__i"), F.col("hi.__i"))
+    return met.withColumn("o", F.when(alone, other)).filter("o.n = 1").select(F.col("__a").alias(key), F.col("o.k").alias("equivalent"))
 
 
 def ratings_for(records: DataFrame, ratings: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -56,7 +66,7 @@ def ratings_for(records: DataFrame, ratings: DataFrame, aliases: DataFrame) -> D
     through = records.join(own.select("stem").distinct(), "stem", "left_anti").join(aliases, "stem")
     aliased = through.join(ratings.filter("scope = 'tariff'"), F.col("alias_of") == F.col("subject")).select("stem", "source", "badge", "scope", F.col("alias_of").alias("via"))
     words = records.select("stem", F.explode(word_set(F.col("insurer"), F.col("stem"))).alias("word"))
-    by_name = words.join(ratings.filter("scope = 'insurer'"), F.col("word") == F.lower("subject")).select("stem", "source", "badge", "scope", F.lit(None).cast("string").alias("via"))
+    by_name = words.join(ratings.filter("scope = 'insurer'"), F.col("word") == casefolded(F.col("subject"))).select("stem", "source", "badge", "scope", F.lit(None).cast("string").alias("via"))
     return own.unionByName(aliased).unionByName(by_name)
 
 
@@ -112,15 +122,20 @@ def lookup(rows: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def suggestions(asked: DataFrame, known: DataFrame, limit: int = 5, loose: int = 3, least: float = 0.4) -> DataFrame:
-    """asked, stem, place: known stems of the same insurer, else the most similar ones by edit distance."""
+    """asked, stem, place: known stems of the same insurer, else the most similar ones by edit distance.
+
+    What is asked is what a user typed; while it is few rows the known stems are read once and not shuffled.
+    """
+    few = asked.limit(MAX_ASKED + 1).count() <= MAX_ASKED
     prefix = lambda c: F.element_at(F.split(c, "__"), 1)
     a = asked.select("asked", prefix(F.col("asked")).alias("__i"))
     k = known.select("stem", prefix(F.col("stem")).alias("__i"))
-    near = a.join(k, "__i").select("asked", "stem", F.row_number().over(Window.partitionBy("asked").orderBy("stem")).alias("place")).filter(F.col("place") <= limit)
+    near = k.join(F.broadcast(a) if few else a, "__i").select("asked", "stem", F.row_number().over(Window.partitionBy("asked").orderBy("stem")).alias("place")).filter(F.col("place") <= limit)
     rest = a.join(near.select("asked").distinct(), "asked", "left_anti")
     like = 1 - F.levenshtein("asked", "stem") / F.greatest(F.length("asked"), F.length("stem"))
     # Names whose lengths differ too much cannot be alike enough, which a range of lengths says without comparing.
     sized = rest.select("asked", F.explode(F.sequence(F.ceil(F.length("asked") * least).cast("int"), F.floor(F.length("asked") / least).cast("int"))).alias("n"))
-    met = sized.join(known.withColumn("n", F.length("stem")), "n").withColumn("like", like).filter(F.col("like") >= least)
+    sized = F.broadcast(sized) if few else sized
+    met = known.withColumn("n", F.length("stem")).join(sized, "n").withColumn("like", like).filter(F.col("like") >= least)
     far = met.select("asked", "stem", F.row_number().over(Window.partitionBy("asked").orderBy(F.col("like").desc(), "stem")).alias("place")).filter(F.col("place") <= loose)
     return near.unionByName(far).withColumn("place", F.col("place").cast("long"))

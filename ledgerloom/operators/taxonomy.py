@@ -39,7 +39,7 @@ def first_items(items: DataFrame, by: str = "stem", key: str = "category", item:
 
 
 #: Words that mark a benefit as partial.
-PARTIAL = ("teilweise", "begrenzt", "optional", "bis zu", "nur ", "eingeschränkt")
+PARTIAL = ("nur ", "eingeschr", "außer", "ausser", "begrenzt", "teilweise")
 
 
 def cell(item: Column, partial: tuple[str, ...] = PARTIAL) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history
 from ..streaming.append_on_change import OUT, write_versions
+from ..session import work_folder
 from .registry import query
 from .views import table
 
@@ -104,14 +105,9 @@ def recency(spark, sf):
 @query(f"WITH {_VERSIONS} SELECT * FROM versions")
 def append_on_change_stream(spark, sf):
     """The versions again, from a stream over the states: written, streamed until it is dry, and read back."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    at = f"{root.rstrip('/')}/states-{uuid.uuid4().hex}"
+    at = work_folder(spark)
     states = _states(spark, sf).select("stem", "day", "items")
     states.write.parquet(f"{at}/in")
-
-
     stream = spark.readStream.schema(states.schema).parquet(f"{at}/in")
     write_versions(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.schema(OUT).parquet(f"{at}/out")

@@ -54,8 +54,8 @@ def reference_delta(spark, sf):
     return resolve.against_reference(snapshot(spark, sf), F.lit(REFERENCE), F.lit(REFERENCE_BAND)).select("position", "key", "price", "delta", "approximate")
 
 
-@query("""WITH t AS (SELECT DISTINCT p_brand AS insurer, p_type AS product, lower(replace(p_brand, '#', '-')) || '__' || lower(p_type) AS stem FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') OR p_size = 50)
-SELECT a.stem, min(b.stem) AS equivalent FROM t a JOIN t b ON a.product = b.product AND a.insurer <> b.insurer GROUP BY a.stem HAVING count(*) = 1""")
+@query("""WITH t AS (SELECT p_brand AS insurer, p_type AS product, lower(replace(p_brand, '#', '-')) || '__' || lower(p_type) AS stem, bool_or(p_brand IN ('Brand#1', 'Brand#2') OR p_size = 50) AS analysed FROM part GROUP BY ALL)
+SELECT a.stem, min(b.stem) AS equivalent FROM t a JOIN t b ON b.analysed AND a.product = b.product AND a.insurer <> b.insurer GROUP BY a.stem HAVING count(*) = 1""")
 def equivalent_product(spark, sf):
     def tariffs_of(parts):
         rows = parts.select(F.col("p_brand").alias("insurer"), F.col("p_type").alias("product")).distinct()

@@ -74,9 +74,9 @@ def low_confidence(spark, sf):
     return ranking.low_confidence(tariffs(spark, sf).select("stem", "n_categories"))
 
 
-@query(f"""WITH {TARIFFS} SELECT a.stem, string_agg(b.stem, ',' ORDER BY b.stem) AS others FROM tariffs a JOIN tariffs b ON a.input_hash = b.input_hash AND a.stem <> b.stem GROUP BY a.stem""")
+@query(f"WITH {TARIFFS} SELECT stem, input_hash, n FROM (SELECT stem, input_hash, count(*) OVER (PARTITION BY input_hash) AS n FROM tariffs) WHERE n > 1")
 def shared_documents(spark, sf):
-    return ranking.shared_documents(tariffs(spark, sf)).select("stem", F.array_join("others", ",").alias("others"))
+    return ranking.shared_documents(tariffs(spark, sf))
 
 
 @query(f"""WITH {TARIFFS}, need AS (SELECT * FROM (VALUES ('m0', 3.0::DOUBLE), ('m1', 2.0), ('m2', 0.0), ('m3', 0.0), ('m4', 1.0), ('m5', 1.0), ('m6', 1.0), ('m7', 1.0)) AS n(module, w)),

@@ -82,17 +82,24 @@ def merge_runs_union(spark, sf):
 @query(f"""WITH {_RUNS}, {MODULE_ROWS}, a AS (SELECT stem, item, row_number() OVER (PARTITION BY stem ORDER BY ordinal) AS i FROM runs WHERE run = 1), b AS (SELECT stem, item, row_number() OVER (PARTITION BY stem ORDER BY ordinal) AS i FROM runs WHERE run = 0),
 u AS (SELECT stem, lower(item) AS k, min((s, i, item)) AS x FROM (SELECT 0 AS s, * FROM a UNION ALL SELECT 1, * FROM b WHERE stem IN (SELECT stem FROM a)) GROUP BY ALL),
 l AS (SELECT stem, string_agg(x[3], '; ' ORDER BY x[1], x[2]) AS items, count(*) AS n FROM u WHERE stem IN (SELECT stem FROM a) GROUP BY stem),
-m AS (SELECT stem, count(*) AS n FROM mods GROUP BY stem)
-SELECT l.stem, items, CASE WHEN coalesce(m.n, 0) > 4 THEN 'prior' ELSE 'fresh' END AS modules, concat_ws(', ', CASE WHEN coalesce(m.n, 0) > 4 THEN 'modules 4->' || m.n END, CASE WHEN l.n <> (SELECT count(*) FROM a WHERE a.stem = l.stem) THEN 'leistungen ' || (SELECT count(*) FROM a WHERE a.stem = l.stem) || '->' || l.n END) AS changed
-FROM l LEFT JOIN m USING (stem)""")
+m AS (SELECT stem, count(*) AS n FROM mods GROUP BY stem), p AS (SELECT DISTINCT stem FROM b),
+j AS (SELECT l.*, CASE WHEN p.stem IS NULL THEN 0 ELSE coalesce(m.n, 0) END AS mn, p.stem IS NOT NULL AND length(l.stem) % 2 = 0 AS cov, length(l.stem) % 3 = 0 AND p.stem IS NOT NULL AS named, length(l.stem) % 4 = 0 AND p.stem IS NOT NULL AS dated,
+  (SELECT count(*) FROM a WHERE a.stem = l.stem) AS own FROM l LEFT JOIN m USING (stem) LEFT JOIN p USING (stem))
+SELECT stem, items, greatest(mn, 4)::INT AS n_modules, CASE WHEN cov THEN 'weltweit' ELSE '' END AS scope, CASE WHEN named OR length(stem) % 3 <> 0 THEN 'I' END AS insurer, CASE WHEN dated THEN '2023' WHEN length(stem) % 4 <> 0 THEN '2024' ELSE '' END AS stand, 'kept' AS _model,
+  concat_ws(', ', CASE WHEN mn > 4 THEN 'modules 4->' || mn END, CASE WHEN cov THEN 'coverage 1->2' END, CASE WHEN n <> own THEN 'leistungen ' || own || '->' || n END, CASE WHEN named THEN 'insurer<-prior' END, CASE WHEN dated THEN 'stand<-prior' END) AS changed
+FROM j""")
 def reconcile_merge(spark, sf):
-    lists = _runs(spark, sf)
-    count = tariffs(spark, sf).select("stem", "n_modules")
-    fields = {"n_coverage": F.lit(1), "coverage": F.lit("c"), "stand": F.lit("2024-01-01")}
-    fresh = lists.filter("run = 1").select("stem", F.col("items").alias("leistungen")).withColumns({"n_modules": F.lit(4), "modules": F.lit("fresh"), **fields})
-    prior = lists.filter("run = 0").select("stem", F.col("items").alias("leistungen")).join(count, "stem", "right").withColumns({"modules": F.lit("prior"), **fields})
+    lists, size = _runs(spark, sf), F.length("stem")
+    four = F.map_from_entries(F.array(*(F.struct(F.lit(f"m{i}"), F.struct(F.lit(True).alias("included"), F.lit("x").alias("level"))) for i in range(4))))
+    cover = lambda scope: F.struct(F.lit("1").alias("sum"), F.lit(None).cast("int").alias("wait"), scope.alias("scope"))
+    fresh = lists.filter("run = 1").select(
+        "stem", F.col("items").alias("leistungen"), four.alias("modules"), cover(F.lit("")).alias("coverage"), F.when(size % 3 != 0, "I").alias("insurer"), F.lit("t").alias("tariff"),
+        F.when(size % 4 != 0, "2024").otherwise("").alias("stand"), F.lit("kept").alias("_model"),
+    )
+    prior = lists.filter("run = 0").select("stem", F.col("items").alias("leistungen")).join(tariffs(spark, sf).select("stem", "modules"), "stem")
+    prior = prior.withColumns({"coverage": cover(F.when(size % 2 == 0, "weltweit")), "insurer": F.lit("I"), "tariff": F.lit("t"), "stand": F.lit("2023"), "_model": F.lit("old")})
     out = merges.reconcile(prior, fresh, ["leistungen"])
-    return out.select("stem", F.array_join("leistungen", "; ").alias("items"), "modules", F.array_join("changed", ", ").alias("changed"))
+    return out.select("stem", F.array_join("leistungen", "; ").alias("items"), F.size("modules").alias("n_modules"), "coverage.scope", "insurer", "stand", "_model", F.array_join("changed", ", ").alias("changed"))
 
 
 @query("""WITH p AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderdate < DATE '1998-01-01' GROUP BY 1), f AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderdate >= DATE '2000-01-01' GROUP BY 1)

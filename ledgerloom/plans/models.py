@@ -39,7 +39,7 @@ def cross_model_disagreement(spark, sf):
     return benchmark.disagreement(found)
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN contains(regexp_replace(text, '[^0-9]', '', 'g'), n_chars::VARCHAR) ELSE contains(lower(text), lang) END AS grounded FROM documents WHERE n_chars >= 10""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN contains(regexp_replace(text, '[^0-9]', '', 'g'), n_chars::VARCHAR) ELSE contains(lower(text), lang) END AS grounded FROM documents""")
 def grounded_claims(spark, sf):
     claim = F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("n_chars").cast("string"), F.lit(" EUR"))).otherwise(F.col("lang"))
     return table(spark, sf, "documents").select("doc_id", benchmark.grounded(claim, F.col("text")).alias("grounded"))

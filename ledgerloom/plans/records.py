@@ -34,13 +34,17 @@ def mapping_ratio(spark, sf):
     return taxonomy.mapping_ratio(items(spark, sf))
 
 
-_CELL = "CASE WHEN contains(item, 'large') OR contains(item, 'old') THEN '~' ELSE '✓' END"
+#: A cue of partial cover behind some of the items, and words that are none behind others.
+_CUES = ["", " eingeschr. auf Europa", " bis zu 500 EUR", " außer Haus", " nur einmal", " optional", " ausser Haus", " teilweise", " begrenzt"]
+_CUED = "(SELECT stem, ordinal, item || [" + ", ".join(f"'{c}'" for c in _CUES) + "][ordinal % 9 + 1] AS item, category FROM items) items"
+_CELL = "CASE WHEN contains(item, 'nur ') OR contains(item, 'eingeschr') OR contains(item, 'außer') OR contains(item, 'ausser') OR contains(item, 'begrenzt') OR contains(item, 'teilweise') THEN '~' ELSE '✓' END"
 
 
-@query(f"WITH {ITEMS}, first AS (SELECT stem, category, min_by(item, ordinal) AS item FROM items WHERE category IS NOT NULL GROUP BY ALL) {_pivot('first', 'category', _CELL)}")
+@query(f"WITH {ITEMS}, first AS (SELECT stem, category, min_by(item, ordinal) AS item FROM {_CUED} WHERE category IS NOT NULL GROUP BY ALL) {_pivot('first', 'category', _CELL)}")
 def category_matrix(spark, sf):
-    first = taxonomy.first_items(items(spark, sf).filter(F.col("stem").isin(_COLUMNS)))
-    cells = first.withColumn("cell", taxonomy.cell(F.col("item"), ("large", "old")))
+    cue = F.element_at(F.array(*map(F.lit, _CUES)), (F.col("ordinal") % 9 + 1).cast("int"))
+    first = taxonomy.first_items(items(spark, sf).filter(F.col("stem").isin(_COLUMNS)).withColumn("item", F.concat("item", cue)))
+    cells = first.withColumn("cell", taxonomy.cell(F.col("item")))
     return taxonomy.matrix(cells, "category", "stem", "cell", _COLUMNS)
 
 

@@ -13,9 +13,7 @@ from .views import table
 
 #: Anchors that invented prose has here and there.
 ANCHORS = "pathetic|benefit|token|example|license"
-#: Of the SQL alone: the queries read every document, so they equal their SQL on these rows only.
-_SHORT = "n_chars < 3000"
-_DOCS = rf"""docs AS (SELECT doc_id, text AS whole, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM documents WHERE {_SHORT}),
+_DOCS = rf"""docs AS (SELECT doc_id, text AS whole, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM docs),
 hits AS (SELECT *, regexp_matches(lower(replace(line, 'ß', 'ss')), '{ANCHORS}') AS hit FROM lines)"""
 
@@ -64,16 +62,15 @@ def trim_stats(spark, sf):
     return table(spark, sf, "documents").select("doc_id", trimming.sizes(F.col("text"), cut).alias("s")).select("doc_id", "s.*")
 
 
-@query("SELECT doc_id, replace(text, 'xx-' || chr(10) || 'yy', 'xxyy') AS joined FROM (SELECT doc_id, left(text, 40) || ' xx-' || chr(10) || 'yy Zz-' || chr(10) || 'Aa' AS text FROM documents WHERE n_chars < 1000)")
+@query("SELECT doc_id, replace(text, 'xx-' || chr(10) || 'yy', 'xxyy') AS joined FROM (SELECT doc_id, text || ' xx-' || chr(10) || 'yy Zz-' || chr(10) || 'Aa' AS text FROM documents)")
 def dehyphenate(spark, sf):
     split = F.concat(F.col("text"), F.lit(" xx-\nyy Zz-\nAa"))
     return table(spark, sf, "documents").select("doc_id", text.dehyphenated(split).alias("joined"))
 
 
-@query("""SELECT sha256(t) AS content_sha256, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS places FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE t <> '' GROUP BY t HAVING count(*) > 1""")
+@query("""SELECT sha256(t) AS content_sha256, n, doc_id FROM (SELECT doc_id, t, count(*) OVER (PARTITION BY t) AS n FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)) WHERE t <> '' AND n > 1""")
 def dedup_content(spark, sf):
-    named = table(spark, sf, "documents").withColumn("place", F.col("doc_id").cast("string"))
-    return dedup.duplicate_contents(named, "text", "place").select("content_sha256", "n", F.array_join("places", ",").alias("places"))
+    return dedup.duplicate_contents(table(spark, sf, "documents"), "text", "doc_id").withColumnRenamed("place", "doc_id")
 
 
 @query("""WITH b AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS block FROM (SELECT page_id, string_split(html, '<li>') AS l FROM pages)),
@@ -102,7 +99,7 @@ def undercounts(spark, sf):
     return html.undercount(html.blocks(pages, "page_id", "html", "<li>"), pages, "page_id", "html", "<p>")
 
 
-@query("SELECT conv_id, '# reply' || string_agg(chr(10) || chr(10) || '=== ' || role || ' ===' || chr(10) || t, '' ORDER BY role, t) AS payload FROM (SELECT conv_id, role, left(text, 60) AS t FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, '# reply' || string_agg(chr(10) || chr(10) || '=== ' || role || ' ===' || chr(10) || t, '' ORDER BY role, t) AS payload FROM (SELECT conv_id, role, text AS t FROM conversations) GROUP BY conv_id")
 def payloads(spark, sf):
     turns = table(spark, sf, "conversations").select(F.col("conv_id"), F.col("role").alias("doctype"), "text")
     return built(turns, "# reply", "conv_id")

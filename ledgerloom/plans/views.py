@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,9 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Market rows by month: insurer, product, band, key, stem, cents, price, note, bewertung, position."""
+def market(spark: SparkSession, sf_dir: str, month: str | None = None) -> DataFrame:
+    """Market rows by month: insurer, product, band, key, stem, cents, price, note, bewertung, position.
+
+    One month's rows are asked for by its dates, which the scan can skip by.
+    """
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    if month:
+        lines = lines.filter(F.col("l_shipdate").between(F.to_timestamp_ntz(F.lit(f"{month} 00:00:00")), F.to_timestamp_ntz(F.lit(f"{_last_day(month)} 23:59:59.999999"))))
     joined = lines.join(parts.select("p_partkey", "p_brand", "p_type"), lines["l_partkey"] == parts["p_partkey"])
     rows = joined.select(
         F.trunc("l_shipdate", "month").alias("date"), F.col("p_brand").alias("insurer"), F.col("p_type").alias("product"),
@@ -37,8 +44,13 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("date", "position", "insurer", "product", "band", "key", "stem", "cents", "price", "note", "bewertung")
 
 
+def _last_day(month: str) -> str:
+    year, number, _ = map(int, month.split("-"))
+    return f"{month[:8]}{calendar.monthrange(year, number)[1]:02d}"
+
+
 def snapshot(spark: SparkSession, sf_dir: str, month: str = NEW) -> DataFrame:
-    return market(spark, sf_dir).filter(F.col("date") == F.to_date(F.lit(month)))
+    return market(spark, sf_dir, month)
 
 
 SNAP = """snap AS (

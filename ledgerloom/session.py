@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: ANSI arithmetic, UTC dates, adaptive plans, and the last value where a map key repeats.
@@ -17,3 +20,12 @@ SETTINGS = {
 def session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName("ledgerloom").config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder that all machines see: below ``spark.checkpoint.dir``, else (outside of a local session) the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch/{spark.sparkContext.applicationId}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -64,7 +64,7 @@ def test_scorecard(spark, row, want):
     ("f", "s", "want"),
     [
         (text.slug, "Ärger & Größe GmbH!", "aerger-groesse-gmbh"), (text.url_slug, "A%20B+c", "a-b-c"), (text.squeezed, " a  b\n c ", "a b c"), (text.squeezed, None, ""),
-        (text.item_key, "• Mediation®  AUCH", "mediation auch"), (text.vowel_folded, "Ölß", "olss"), (text.sharp_s_folded, "Ausschluß", "Ausschluss"),
+        (text.item_key, "• Mediation®  AUCH", "mediation auch"), (text.item_key, "★✗– Groß\u00a0 X", "gross x"), (text.item_key, "* A", "* a"), (text.vowel_folded, "Ölß", "olss"), (text.sharp_s_folded, "Ausschluß", "Ausschluss"),
         (text.file_of_url, "https://h/a/b%20c.pdf?x=1", "b c"), (text.file_token, "a b/c:d", "a_b_c_d"), (text.unfenced, "```json\n{}\n```", "{}"),
         (text.short_sum, "1 000 000,50", "1 Mio."), (text.short_sum, "unbegrenzt", "unbegrenzt"), (text.short_sum, None, "k.A."), (text.short_sum, "750", "750"),
         (text.short_deductible, "ohne", "ohne €"), (text.short_term, "1, 2, 3 oder 5 Jahre", "1/2/3/5 J."), (text.link, 'a"[b]', "a%22%5Bb%5D"), (text.link, None, ""),
@@ -80,6 +80,7 @@ def test_lists_of_tokens(value):
     assert value(lambda c: text.first_numbers(c, 2), "1, 1, 2, 3") == ["1", "2"]
     assert value(lambda c: text.identity_tokens(c, ("avb",)), "AVB Größe-XL 2") == ["groe", "xl"]
     assert sorted(value(lambda c: text.word_set(c), "ALFA alfa__x-1")) == ["1", "alfa", "x"]
+    assert value(lambda c: text.word_set(c, F.lit("s-direkt__Öl")), "ÖRAG Groß") == ["oerag", "gross", "s", "direkt", "l"]
     assert str(value(text.newest_date, "am 2024-01-05, 07.02.2024 und 3. März 2024")) == "2024-03-03"
     assert value(lambda c: text.query_string(text.with_param(text.query_pairs(c), "a", F.lit("9"))), "h?a=1&b=2&a=3") == "b=2&a=9"
 

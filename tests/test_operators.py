@@ -42,7 +42,7 @@ def test_low_confidence_and_shared(spark):
     df = spark.createDataFrame([("a", 10, "h"), ("b", 10, "h"), ("c", 3, "x"), ("d", 2, None), ("e", 2, None)], "stem string, n_categories int, input_hash string")
     assert {r.stem for r in ranking.low_confidence(df).filter("low_confidence").collect()} == {"d", "e"}
     assert ranking.low_confidence(df.filter("stem = 'd'")).filter("low_confidence").count() == 0
-    assert rows(ranking.shared_documents(df)) == [("a", ["b"]), ("b", ["a"])]
+    assert rows(ranking.shared_documents(df)) == [("a", "h", 2), ("b", "h", 2)]
 
 
 # snapshots
@@ -232,7 +232,7 @@ def test_rules(spark):
 
 def test_attribution_passes_without_words(spark):
     df = spark.createDataFrame([("a", "Premium Flex", ["premium_flex.pdf"]), ("b", "Komfort Plus Basis", ["other_thing.pdf"]), ("c", "AVB", ["x9.pdf"]), ("d", "Komfort", ["AVB.pdf"])], "stem string, tariff string, files array<string>")
-    assert {r.stem: r.ok for r in quality.attribution(df).collect()} == {"a": True, "b": False, "c": True, "d": True}
+    assert {r.stem: r.ok for r in quality.attribution(df, ("avb",)).collect()} == {"a": True, "b": False, "c": True, "d": True}
 
 
 def test_grounding(spark):
@@ -319,3 +319,92 @@ def test_fetch_tries_again(spark):
 def test_markdown(spark):
     df = spark.createDataFrame([("a|b", None)], "x string, y string")
     assert {r.value for r in sinks.markdown(df, "T").collect()} == {"# T", "| x | y |", "|---|---|", "| a\\|b | – |"}
+
+
+# what umlauts, cues and marks do
+
+
+def test_ratings_join_umlaut_insurers(spark):
+    records = spark.createDataFrame([("s-direkt__x", "ÖRAG"), ("arag__y", "ARAG"), ("gross__z", "Groß & Co")], "stem string, insurer string")
+    ratings = spark.createDataFrame([("insurer", "OERAG", "a", "top"), ("insurer", "arag", "b", "fair"), ("insurer", "gross", "c", "any")], "scope string, subject string, source string, badge string")
+    found = resolve.ratings_for(records, ratings, spark.createDataFrame([], "stem string, alias_of string"))
+    assert sorted((r.stem, r.source) for r in found.collect()) == [("arag__y", "b"), ("gross__z", "c"), ("s-direkt__x", "a")]
+
+
+def test_partial_cues(spark):
+    given = ["nur im Inland", "eingeschr. Schutz", "Außer Haus", "ausser Haus", "teilweise", "bis zu 500", "optional", "nurmehr", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, item string")
+    assert [r.c for r in df.orderBy("i").select(taxonomy.cell(F.col("item")).alias("c")).collect()] == ["~", "~", "~", "~", "~", "✓", "✓", "✓", "–"]
+
+
+def test_generic_words_carry_no_identity(spark):
+    rows = [("a", "Komfort AG", ["Allgemeine_Bedingungen_Basis.pdf"]), ("b", "Recht Komfort", ["Recht_und_mehr_Komfort.pdf"]), ("c", "Versicherung der AG", ["x.pdf"])]
+    df = spark.createDataFrame(rows, "stem string, tariff string, files array<string>")
+    assert {r.stem: (r.hits, r.wanted, r.ok) for r in quality.attribution(df).collect()} == {"a": (0, 1, False), "b": (2, 2, True), "c": (0, 0, True)}
+    assert quality.attribution(df, ("recht",)).filter("stem = 'b'").first().wanted == 1
+
+
+def test_reconcile_whole_records(spark):
+    schema = "stem string, modules map<string,struct<included:boolean,level:string>>, coverage struct<sum:string,wait:int,outs:array<string>>, leistungen array<string>, insurer string, tariff string, stand string, beitrag double, _model string"
+    on = lambda *keys: {k: (True, "x") for k in keys}
+    prior = spark.createDataFrame([("a", on("m", "n"), ("1", 3, ["x"]), ["B", "★ a"], "Old", "T", "2023", 9.0, "old")], schema)
+    fresh = spark.createDataFrame([("a", {"m": (True, "x"), "n": (False, None)}, ("", 3, []), ["A"], "", "New", None, 5.0, "new"), ("b", None, None, None, "I", "T", "2024", None, "new")], schema)
+    got = {r.stem: r for r in merges.reconcile(prior, fresh, ["leistungen"]).collect()}
+    a = got["a"]
+    assert (a.leistungen, a.insurer, a.tariff, a.stand, a.beitrag, a._model, a.reconciled) == (["A", "B"], "Old", "New", "2023", None, "new", True)
+    assert a.coverage.sum == "1" and a.modules["n"].included and a.changed == ["modules 1->2", "coverage 1->3", "leistungen 1->2", "insurer<-prior", "stand<-prior"]
+    assert (got["b"].changed, got["b"].reconciled, got["b"].insurer) == ([], False, "I")
+
+
+def test_structural_difference(spark):
+    state = "struct<content_sha256:string,modules:map<string,struct<included:boolean,level:string>>,coverage:struct<sum:string,wait:int>,leistungen:array<string>,ausschluesse:array<string>,besonderheiten:array<string>>"
+    old = ("h1", {"m": (True, "Basis"), "n": (True, None)}, ("1", 3), ["a", "b"], None, [])
+    new = ("h2", {"m": (True, "Komfort"), "o": (False, None)}, ("1", None), ["b", "c"], ["x"], [])
+    df = spark.createDataFrame([("s", old, new), ("t", old, ("h1", *new[1:]))], f"stem string, old {state}, new {state}")
+    got = [(r.stem, r.section, r.name, r.old, r.new) for r in history.structural_difference(df, ["sum", "wait"]).collect()]
+    assert sorted(got, key=str) == sorted([
+        ("s", "modules", "m", '{"included":true,"level":"Basis"}', '{"included":true,"level":"Komfort"}'), ("s", "modules", "n", '{"included":true}', "{}"), ("s", "modules", "o", "{}", '{"included":false}'),
+        ("s", "coverage", "wait", "3", None), ("s", "leistungen", "added", None, "c"), ("s", "leistungen", "removed", "a", None), ("s", "ausschluesse", "added", None, "x"),
+    ], key=str)
+
+
+def test_verdicts_against_pages(spark):
+    schema = "scope string, subject string, url string, stand string, evidence array<string>"
+    rows = [("tariff", "a-b__x", "u1", "2024-01-01", None), ("tariff", "a__x", "u1", "2024-02-01", ["Sehr gut"]), ("insurer", "c/d", "u1", "2024-03-01", ["A B"]), ("insurer", "gone", "u1", "2024-02-01", None), ("insurer", "e", "u2", "2024-02-01", []), ("insurer", "f", None, "2024-02-01", None)]
+    pages = spark.createDataFrame([("u1", "Test: A B ist SEHR GUT", "2024-02-01")], "url string, plain string, page_stand string")
+    got = {r.subject: (r.state, r.missing) for r in quality.verdict_states(spark.createDataFrame(rows, schema), pages).collect()}
+    assert got == {"a-b__x": ("pending", []), "a__x": ("ok", []), "c/d": ("review", []), "gone": ("review", ["gone"]), "e": ("failed", None)}
+    assert {r.url: r.stand for r in quality.newest_stands(spark.createDataFrame(rows, schema)).collect()} == {"u1": "2024-03-01", "u2": "2024-02-01"}
+
+
+def test_bundles_name_their_insurer(spark):
+    schema = "stem string, insurer string, docs array<struct<file:string,url:string>>"
+    rows = [("a", "ÖRAG", [("Bedingungen_Oerag", "u")]), ("b", "ARAG SE", [("Provinzial", "http://x/arag/1")]), ("c", "ARAG SE", [("Provinzial", None)]), ("d", "DMB", [("x", "y")]), ("e", None, None)]
+    assert {r.stem: r.fits for r in quality.bundle_fits(spark.createDataFrame(rows, schema)).collect()} == {"a": True, "b": True, "c": False, "d": True, "e": True}
+
+
+def test_shape_errors(spark):
+    values = spark.createDataFrame([("s", "a", "string", "x"), ("s", "b", "null", None), ("s", "c", "number", "1"), ("s", "z", "string", "y"), ("t", "a", "null", None)], "stem string, path string, kind string, value string")
+    declared = spark.createDataFrame([("a", "string", True), ("b", "string?", False), ("c", "string", False), ("d", "array", True)], "path string, kind string, required boolean")
+    got = sorted((r.stem, r.path, r.message) for r in quality.shape_errors(values, declared).collect())
+    assert got == [("s", "c", "number is not string"), ("s", "d", "is required"), ("s", "z", "is not declared"), ("t", "a", "null is not string"), ("t", "d", "is required")]
+    assert quality.shape_errors(values, declared, 1).count() == 2
+
+
+def test_only_equivalent_is_linear_and_the_same(spark):
+    import collections
+    import random
+
+    rng = random.Random(3)
+    names = [(f"s{i}", rng.choice("ABCD"), rng.choice("pqrstuvw")) for i in range(30)]
+    got = {r.stem: r.equivalent for r in resolve.only_equivalent(spark.createDataFrame(names, "stem string, insurer string, product string")).collect()}
+    others = collections.defaultdict(list)
+    for s, i, p in names:
+        others[s] = [t for t, j, q in names if q == p and j != i]
+    assert got == {s: o[0] for s, o in others.items() if len(o) == 1}
+
+
+def test_needs_are_neutral():
+    from ledgerloom.functions import scores
+
+    assert scores.needs_are_neutral({}, ["a", "b"]) and scores.needs_are_neutral({"a": -1, "b": 0}, ["a", "b"]) and not scores.needs_are_neutral({"a": 2}, ["a", "b"])

@@ -1,4 +1,4 @@
-"""Queries that read whole tables and whole texts, against brute force and against their SQL without its subset."""
+"""Queries that read whole tables and whole texts, against brute force."""
 
 import re
 
@@ -7,25 +7,6 @@ import pytest
 import __spark_entry__
 from ledgerloom.plans.texts import ANCHORS
 
-from .test_queries import ORACLE, SF, duck, rows  # noqa: F401
-
-#: The part of each query's SQL that leaves rows or text out, and what stands there for the whole.
-SUBSETS = {name: [(" WHERE n_chars < 3000", "")] for name in ("trim_window", "trim_sections", "trim_choice", "trim_budget", "trim_stats")} | {
-    "norm_key": [(" WHERE n_chars < 400", "")], "amounts_tokens": [(" WHERE n_chars < 2000", "")], "parse_note": [(" WHERE l_orderkey % 10 = 0", "")], "slug": [("left(text, 80)", "text")],
-    "dehyphenate": [(" WHERE n_chars < 1000", ""), ("left(text, 40)", "text")], "payloads": [("left(text, 60)", "text")],
-}
-
-
-@pytest.mark.parametrize("name", sorted(SUBSETS))
-def test_equals_sql_on_whole_table(spark, duck, name):  # noqa: F811
-    sql = ORACLE[name]
-    for part, whole in SUBSETS[name]:
-        assert part in sql
-        sql = sql.replace(part, whole)
-    got = __spark_entry__.queries()[name](spark, SF).toPandas()
-    assert rows(got) == rows(duck.execute(sql).fetchdf())
-
-
 def run(spark, tmp_path, name, table, frame):
     frame.write.parquet(f"{tmp_path}/{table}.parquet")
     return __spark_entry__.queries()[name](spark, str(tmp_path)).toPandas()
