@@ -1,3 +1,3 @@
 """Named queries over the test tables, each with its SQL twin where SQL can say the same."""
 
-from . import history, identity, market, merging, models, records, scalars, texts  # noqa: F401
+from . import history, identity, market, merging, models, records, scalars, stored, texts  # noqa: F401

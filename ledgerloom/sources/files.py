@@ -9,7 +9,9 @@ from ..functions.text import money, squeezed
 from ..operators.dedup import keep
 from ..schemas import BENCHMARK, DELIMITED, MANIFEST, RATINGS, RECORD, SNAPSHOT, TAXONOMY
 
-DATED = r"(?:^|/)(\d{4}-\d{2}-\d{2})\.json$"
+#: A date or a key in the name of a file, or of its folder as a writer partitions by it.
+DATED = r"(?:^|[/=])(\d{4}-\d{2}-\d{2})(?:\.json|/[^/]+)$"
+NAMED = r"(?:stem=([^/]+)/[^/]+|([^/]+)\.json)$"
 
 
 def json_documents(spark: SparkSession, path: str | list[str], schema: str, strict: bool = False) -> DataFrame:
@@ -21,12 +23,13 @@ def json_documents(spark: SparkSession, path: str | list[str], schema: str, stri
     return reader.json(path).withColumn("file", F.col("_metadata.file_path")).filter("_broken IS NULL").drop("_broken")
 
 
-def records(spark: SparkSession, pure: str, enriched: str | None = None) -> DataFrame:
-    """Tariff records with ``stem`` of the file name; an enriched one stands for its pure twin. Names with _ are skipped."""
+def records(spark: SparkSession, pure: str | list[str], enriched: str | list[str] | None = None) -> DataFrame:
+    """Tariff records with ``stem`` of the file name or folder; an enriched one stands for its pure twin. Names with _ are skipped."""
     found = json_documents(spark, pure, RECORD).withColumn("enriched", F.lit(False))
     if enriched:
         found = found.unionByName(json_documents(spark, enriched, RECORD).withColumn("enriched", F.lit(True)))
-    named = found.withColumn("stem", F.regexp_extract(F.try_url_decode("file"), r"([^/]+)\.json$", 1)).filter(~F.startswith("stem", F.lit("_")))
+    file = F.try_url_decode("file")
+    named = found.withColumn("stem", F.concat(F.regexp_extract(file, NAMED, 1), F.regexp_extract(file, NAMED, 2))).filter(~F.startswith("stem", F.lit("_")))
     return keep(named, ["stem"], F.col("enriched").desc()).drop("file")
 
 
@@ -90,14 +93,14 @@ def taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 def module_keys(spark: SparkSession, path: str) -> DataFrame:
     """ord, key of the modules that a JSON schema document declares, in its order."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     keys = F.json_object_keys(F.get_json_object("value", "$.properties.modules.properties"))
     return text.select(F.posexplode(keys).alias("ord", "key"))
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """file, text of whole text files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def payloads(docs: DataFrame, head: str, by: str = "stem") -> DataFrame:

@@ -12,7 +12,10 @@ SCHEMA = "url string, status int, body string, error string, attempts int"
 
 
 def fetch(url: str, attempts: int = 5, pause: float = 2.0, timeout: float = 30.0, opener=urllib.request.urlopen) -> tuple:
-    """One URL, tried again with a growing pause; a body shorter than it says counts as failed. Never raises."""
+    """One URL, tried again with a growing pause; a body shorter than it says counts as failed. Never raises.
+
+    What has no status, as data in the URL itself, counts as 200.
+    """
     error = ""
     for n in range(1, attempts + 1):
         try:
@@ -21,7 +24,7 @@ def fetch(url: str, attempts: int = 5, pause: float = 2.0, timeout: float = 30.0
                 said = reply.headers.get("Content-Length")
                 if said is not None and int(said) != len(body):
                     raise OSError(f"{len(body)} of {said} bytes")
-                return (url, int(reply.status), body.decode("utf-8", "ignore"), None, n)
+                return (url, int(reply.status or 200), body.decode("utf-8", "ignore"), None, n)
         except Exception as e:  # noqa: BLE001  what fails becomes a row
             error = f"{type(e).__name__}: {e}"
             if n < attempts:

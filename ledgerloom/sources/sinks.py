@@ -31,6 +31,12 @@ def snapshot_if_changed(new: DataFrame, stored: DataFrame, date: str, path: str,
     return True
 
 
+def json_by_key(df: DataFrame, key: str, path: str) -> None:
+    """A JSON document for each key, in a folder of its own (``key=value``), which the readers of documents take a key from."""
+    body = F.to_json(F.struct(*[c for c in df.columns if c != key]))
+    df.select(key, body.alias("value")).repartition(key).write.mode("append").partitionBy(key).text(path)
+
+
 def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode(mode).text(path)
 
