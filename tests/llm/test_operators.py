@@ -454,6 +454,62 @@ def test_components_odd(spark, odd, none):
     assert ngram_join.near_duplicates(spark, none, 4, 85).count() == 0
 
 
+def unlike_crowd(seed=4, copies=150):
+    """Copies of one text that differ from it by so much that most are no links among themselves, and none has the original."""
+    rng, base = random.Random(seed), ["b%d" % i for i in range(60)]
+    rows = []
+    for i in range(copies):
+        copy = list(base)
+        for k in rng.sample(range(60), rng.choice([1, 2, 3])):
+            copy[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("tile_rows", [4000, 20])
+def test_a_crowd_of_unlike_copies_offers_few_pairs(spark, monkeypatch, tile_rows):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", tile_rows)
+    rows, offered = unlike_crowd(), []
+    inner = ngram_join._offered
+
+    def counted(*args):
+        out = inner(*args)
+        offered.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_offered", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == components_by_hand(rows, 5, 80)
+    assert offered[0] < len(rows) * 4  # of 11,175 pairs that share most shingles
+
+
+def test_salts_follow_what_a_counter_has_beyond_the_usual():
+    counts = np.random.Generator(np.random.PCG64(1)).poisson(40_000_000, ngram_join.COUNTERS)
+    counts[7] = 76_000_000
+    salts = ngram_join._salts(counts)
+    assert salts[7] > 8000 and np.delete(salts, 7).max() <= 10
+    assert set(ngram_join._salts(np.zeros(8, np.int64))) == {1}
+
+
+def test_rows_of_one_tile_are_never_parted():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    key = sorted(rng.randint(0, 9) for _ in range(200))
+    cuts = sorted(rng.sample(range(201), 12))
+    batches = [pa.record_batch({"key": key[a:b], "x": list(range(a, b))}) for a, b in zip([0, *cuts], [*cuts, 200])]
+    parts = list(ngram_join._runs(iter(batches), ["key", "x"], 1))
+    assert [int(x) for p in parts for x in p[1]] == list(range(200))
+    assert all(a[0][-1] != b[0][0] for a, b in zip(parts, parts[1:]))
+
+
+def test_one_of_near_copies_stays_by_its_own_text(spark):
+    words = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("a")), (2, words("a") + " end"), (2, words("b")), (3, words("b")), (3, words("c")), (4, None), (4, "  "), (None, words("a")), (5, words("d")), (5, words("d").upper())]
+    kept = sorted(((r.doc_id or 0, (r.text or "")[:2]) for r in ngram_join.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert [(d, t.lower()) for d, t in kept] == [(0, "a0"), (1, "a0"), (2, "b0"), (3, "c0"), (4, ""), (4, "  "), (5, "d0")]
+
+
 # 8: toxicity
 
 
