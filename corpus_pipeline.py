@@ -3,6 +3,12 @@
 Each stage takes what its predecessor wrote and works on all of it: low quality goes, of equal texts one stays, of near
 copies (five-word shingles, similarity 0.8) one stays, personal data gives way to its kind in brackets, and what is
 left is packed into sequences of 4096 tokens.
+
+Defined cases: null texts count as empty; the classifier judges them by the score of a text without words, equal texts are
+one group, texts without words are no near copies, and a null text stays null where personal data is redacted. Whole rows
+stay or go: nulls in other columns, and columns besides, whatever their names, are carried along. A row without an id
+stays as long as its text is not an exact copy. Of repeated rows one stays, and an id on several rows is judged by each
+row's own text. Empty tables pass through every stage and give no pieces.
 """
 
 from __future__ import annotations
