@@ -37,7 +37,8 @@ MARK = "▁"
 CHUNK = 32_768
 #: Matrices combined in one step.
 TOGETHER = 32
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+#: Words of a generation, of which two are remembered, and the longest one that is. Bounds on memory, not on the result.
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Where no piece has a letter next to another sign, words end there too, which makes them fewer.
 _LETTER, _OTHER = r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]", rf"(?:[^\w{MARK}]|[\d_\xb2\xb3\xb9\xbc-\xbe])"
@@ -67,6 +68,7 @@ class Pieces:
         self.cut = (_RUNS if apart else _WORDS).findall
         self.written = [bytes((self.byte_of[i],)) if i in self.byte_of else self.texts[i].encode() for i in ids]
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         # A piece that its own text does not encode to is never in an encoding.
         self.standing = {p for p in self.ids if self.merged(p) == [p]}
@@ -79,17 +81,16 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Merging by score, leftmost first; for short texts."""
-        parts = list(text)
-        score = self.score
-        while len(parts) > 1:
-            at, best = -1, NO_PATH
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1], NO_PATH)
-                if s > best:
-                    at, best = i, s
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, score = list(text), self.score.get
+        gains = [score(a + b, NO_PATH) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) > NO_PATH:
+            i = gains.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i:
+                gains[i - 1] = score(parts[i - 1] + parts[i], NO_PATH)
+            if i < len(gains):
+                gains[i] = score(parts[i] + parts[i + 1], NO_PATH)
         return parts
 
     def side_by_side(self, left: str, right: str) -> bool:
@@ -133,18 +134,21 @@ class Pieces:
         return out.tobytes()
 
     def word(self, word: str) -> bytes:
-        return self.numbered(self.back(self.paths(word), 0, len(word)))
+        """A whole word: a short one by merging itself, a long one by its path, which takes time in proportion."""
+        return self.numbered(self.merged(word) if len(word) <= LONGEST_REMEMBERED else self.back(self.paths(word), 0, len(word)))
 
     def encode(self, marked: str) -> bytes:
         """Ids of a text whose spaces are marks, as little-endian 32-bit numbers."""
         words, known = self.cut(marked), self.words
         missing = list(set(words).difference(known))
         if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
+            if len(known) + len(missing) > REMEMBERED:  # the words of the last generation are taken over as they come up
+                self.before, self.words = known, {}
+                known = self.words
                 missing = list(set(words))
+            before = self.before.get
             for w in missing:
-                known[w] = self.word(w)
+                known[w] = before(w) or self.word(w)
         out = b"".join(map(known.__getitem__, words))
         for w in missing:
             if len(w) > LONGEST_REMEMBERED:
