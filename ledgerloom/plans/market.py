@@ -134,8 +134,7 @@ CASE WHEN a.p IS NULL THEN 'added' WHEN b.p IS NULL THEN 'removed' WHEN {moved}
 
 
 def _pair(spark, sf):
-    rows = market(spark, sf)
-    return rows.filter(F.col("date") == F.to_date(F.lit(OLD))), rows.filter(F.col("date") == F.to_date(F.lit(NEW)))
+    return snapshot(spark, sf, OLD), snapshot(spark, sf, NEW)
 
 
 @query(_diff_sql("cents, position", "cents / 100.0::DOUBLE", "abs(b.p - a.p) >= 0.01"))
@@ -206,7 +205,7 @@ _CHANGES = f"{_SERIES}, changes AS (SELECT stem, date, old_price, price AS new_p
 
 
 def _series(spark, sf):
-    return series.pinned_series(market(spark, sf))
+    return series.pinned_series(market(spark, sf, places=False))
 
 
 @query(f"WITH {SNAP}, {_SERIES} SELECT * FROM series")
@@ -229,7 +228,7 @@ _FIGURES = "figures AS (SELECT date, count(*) AS n, count(price) AS n_priced, mi
 
 @query(f"WITH {SNAP}, {_FIGURES} SELECT * FROM figures")
 def market_stats(spark, sf):
-    return series.market_figures(market(spark, sf))
+    return series.market_figures(market(spark, sf, places=False))
 
 
 _QUARTILES = "quartiles AS (SELECT date, l[len(l) // 4 + 1] AS q1, l[len(l) // 2 + 1] AS q2, l[3 * len(l) // 4 + 1] AS q3 FROM (SELECT date, list(price ORDER BY price) AS l FROM snap GROUP BY date))"
@@ -237,7 +236,7 @@ _QUARTILES = "quartiles AS (SELECT date, l[len(l) // 4 + 1] AS q1, l[len(l) // 2
 
 @query(f"WITH {SNAP}, {_QUARTILES} SELECT * FROM quartiles")
 def price_quartiles(spark, sf):
-    return series.quartiles(market(spark, sf), ["date"])
+    return series.quartiles(market(spark, sf, places=False), ["date"])
 
 
 @query(f"""WITH {SNAP}, {NOW}, {_QUARTILES} SELECT key, position, CASE WHEN price <= q1 THEN 'cheap' WHEN price >= q3 THEN 'expensive' ELSE 'middle' END AS band_of_price,
@@ -250,7 +249,7 @@ def price_bands(spark, sf):
 
 @query(f"WITH {SNAP}, {_FIGURES} SELECT date, n, median_price, median_price - lag(median_price) OVER w AS median_delta, n - lag(n) OVER w AS n_delta FROM figures WINDOW w AS (ORDER BY date)")
 def market_pulse(spark, sf):
-    return series.pulse(series.market_figures(market(spark, sf)))
+    return series.pulse(series.market_figures(market(spark, sf, places=False)))
 
 
 @query(f"""WITH {SNAP}, {_SERIES}, b AS (SELECT stem, min(price) AS lo, max(price) AS hi FROM series GROUP BY stem)

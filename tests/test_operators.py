@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import benchmark, dedup, history, merges, quality, ranking, resolve, series, snapshots, taxonomy, trimming
-from ledgerloom.plans.views import TAXONOMY
+from ledgerloom.plans.views import TAXONOMY, numbered
 from ledgerloom.sources import files, html, http, sinks
 from ledgerloom.streaming import append_on_change
 
@@ -430,3 +430,19 @@ def test_late_states_find_their_predecessor():
     priced = lambda *rows: [tuple(r) for out in append_on_change._price_events((7,), iter([pd.DataFrame(rows, columns=["day", "price"])]), prices) for r in out.itertuples(index=False)]
     assert priced((day(1), 5.0), (day(2), None), (day(3), 6.0)) == [(7, day(3), 5.0, 6.0, 1.0)]
     assert priced((day(4), 6.0)) == [] and priced((day(5), 5.5)) == [(7, day(5), 6.0, 5.5, -0.5)]
+
+
+# the market of the test tables
+
+
+def test_places_in_a_month_are_those_of_one_order_over_it(spark):
+    months = [DAY(2001, 9, 1), DAY(2001, 10, 1), None]
+    lines = [(months[i % 3], None if i % 11 == 0 else i * 7 % 40 - 5, i % 4, i, i % 5, 1.0, 2.0) for i in range(120)]
+    df = spark.createDataFrame(lines, "date date, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double")
+    got = {(r.date, r.position): r.l_partkey for r in numbered(df, 8).collect()}
+    want = {}
+    for month in months:
+        mine = sorted((x for x in lines if x[0] == month), key=lambda x: (x[1] is not None, x[1] or 0, x[2:]))
+        want |= {(month, i): x[3] for i, x in enumerate(mine, 1)}
+    assert got == want and {r.position for r in numbered(df).filter("date IS NULL").collect()} == set(range(1, 41))
+    assert numbered(df.limit(0)).count() == 0
