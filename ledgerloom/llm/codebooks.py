@@ -37,7 +37,7 @@ def _columns(x: np.ndarray, parts: int) -> np.ndarray:
     rows, width = x.shape
     full = np.zeros((rows, -(-width // parts) * parts), np.int64)
     full[:, :width] = x
-    return np.ascontiguousarray(full.T).reshape(parts, -1, rows)
+    return np.ascontiguousarray(full.T).reshape(parts, -(-width // parts), rows)
 
 
 def _blocks(width: int, parts: int):

@@ -22,10 +22,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash for each maximal run of bytes that are not ASCII white space, A-Z taken as a-z."""
+def word_hashes(data: bytes, fold: bool = True) -> np.ndarray:
+    """A hash for each maximal run of bytes that are not ASCII white space, A-Z taken as a-z unless ``fold`` is off."""
     global _POWERS
-    raw = _LOWER[np.frombuffer(data, np.uint8)]
+    raw = np.frombuffer(data, np.uint8)
+    raw = _LOWER[raw] if fold else raw
     solid = ~_WHITE[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
