@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions.scores import included_count
@@ -9,7 +11,7 @@ from ..functions.text import money
 from ..operators import merges, quality
 from ..session import work_folder
 from ..sources import files, html, http, sinks
-from ..streaming import append_on_change
+from ..streaming import append_on_change, keyed_state
 from .registry import query
 from .views import NEW, NOW, OLD, SNAP, TARIFFS, snapshot, table, tariffs
 
@@ -272,17 +274,24 @@ def shape_errors(spark, sf):
     return quality.shape_errors(values, declared)
 
 
-@query("""WITH d AS (SELECT o_custkey AS stem, CAST(o_orderdate AS DATE) AS day, max(o_orderkey % 3) AS price FROM orders GROUP BY ALL)
-SELECT stem, day, old_price, price AS new_price, price - old_price AS delta FROM (SELECT *, lag(price) OVER (PARTITION BY stem ORDER BY day) AS old_price FROM d) WHERE price <> old_price""")
+@query("""WITH d AS (SELECT o_custkey AS stem, CAST(o_orderdate AS DATE) AS day, max(o_orderkey % 5) * 0.004::DOUBLE AS price FROM orders GROUP BY ALL)
+SELECT stem, day, old_price, price AS new_price, price - old_price AS delta FROM (SELECT *, lag(price) OVER (PARTITION BY stem ORDER BY day) AS old_price FROM d) WHERE abs(price - old_price) > 0.005""")
 def price_events_stream(spark, sf):
-    """Price changes as events of a keyed stream."""
+    """Price changes as events of a keyed stream: prices in order, then late ones among newer ones, then some once more."""
     at = work_folder(spark)
-    prices = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("stem"), F.col("o_orderdate").cast("date").alias("day")).agg(F.max(F.col("o_orderkey") % 3).cast("double").alias("price"))
-    prices.write.parquet(f"{at}/in")
-    stream = append_on_change.price_events(spark.readStream.schema(prices.schema).parquet(f"{at}/in"))
-    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(append_on_change.EVENTS).parquet(f"{at}/out")
+    day = F.col("o_orderdate").cast("date")
+    prices = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("stem"), day.cast("timestamp").alias("at")).agg((F.max(F.col("o_orderkey") % 5) * F.lit(0.004)).alias("price"))
+    last = prices.agg(F.max("at")).first()[0]
+    cut = [last - datetime.timedelta(days=d) for d in (600, 300)]
+    held = (F.col("at") > F.lit(cut[0] - datetime.timedelta(days=50))) & (F.pmod(F.xxhash64("stem", "at"), F.lit(4)) == 0)
+    old, middle = F.col("at") <= F.lit(cut[0]), (F.col("at") > F.lit(cut[0])) & (F.col("at") <= F.lit(cut[1]))
+    repeated = (F.col("at") > F.lit(cut[1] - datetime.timedelta(days=50))) & (F.col("at") <= F.lit(cut[1]))
+    end = spark.createDataFrame([(None, last + datetime.timedelta(days=400), None)], prices.schema)
+    for batch in (prices.filter(old & ~held), prices.filter(middle | old & held), prices.filter(repeated | (F.col("at") > F.lit(cut[1]))), end):
+        batch.write.mode("append").parquet(f"{at}/in")
+        stream = keyed_state.price_events(spark.readStream.schema(prices.schema).parquet(f"{at}/in"))
+        keyed_state.drained(stream, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(keyed_state.EVENTS).parquet(f"{at}/out")
 
 
 @query("SELECT DISTINCT user_id FROM events")

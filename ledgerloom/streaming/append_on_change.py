@@ -1,67 +1,16 @@
-"""Versions appended as states arrive: only what differs from a key's last version is kept."""
+"""What a stream keeps of each key: its first row."""
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT = "stem long, day date, items string, supersedes date"
-EVENTS = "stem long, day date, old_price double, new_price double, delta double"
 
 
-def _versions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """States of one key in order of their day, each held against the version before its own day.
+def first_of_each(states: DataFrame, keys: list[str], at: str | None = None, within: str | None = None) -> DataFrame:
+    """The first row of each key that a stream brings.
 
-    What is remembered are the key's versions, days and items, so that a state that comes late finds its predecessor.
+    With ``at`` and ``within``, a time column and a span, a key is forgotten once the watermark has passed it by that span,
+    so that what is remembered does not grow without end; without them it is remembered for good.
     """
-    days, kept = (list(x) for x in state.get) if state.exists else ([], [])
-    out = []
-    for day, items in sorted((d, i) for rows in batches for d, i in zip(rows["day"], rows["items"])):
-        at = bisect.bisect_left(days, day)
-        if not at or kept[at - 1] != items:
-            out.append((key[0], day, items, days[at - 1] if at else None))
-            days.insert(at, day)
-            kept.insert(at, items)
-    if out:
-        state.update((days, kept))
-        yield pd.DataFrame(out, columns=["stem", "day", "items", "supersedes"])
-
-
-def append_changed(states: DataFrame) -> DataFrame:
-    """A stream of (stem, day, items), one state a stem and day, to the stream of its versions."""
-    return states.groupBy("stem").applyInPandasWithState(_versions, OUT, "days array<date>, items array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-def write_versions(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Versions appended to a Parquet folder for whatever has arrived."""
-    writer = append_changed(states).writeStream.outputMode("append").format("parquet")
-    return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _price_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of one key's price; days without a price say nothing, and the last price is what is remembered."""
-    last = state.get[0] if state.exists else None
-    out = []
-    for day, price in sorted((d, p) for rows in batches for d, p in zip(rows["day"], rows["price"]) if p == p and p is not None):
-        if last is not None and price != last:
-            out.append((key[0], day, last, price, price - last))
-        last = price
-    if last is not None:
-        state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=["stem", "day", "old_price", "new_price", "delta"])
-
-
-def price_events(prices: DataFrame) -> DataFrame:
-    """A stream of (stem, day, price), in order of days from batch to batch, to the stream of its price changes."""
-    return prices.groupBy("stem").applyInPandasWithState(_price_events, EVENTS, "price double", "append", GroupStateTimeout.NoTimeout)
-
-
-def first_of_each(states: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of each key that a stream brings."""
+    if at and within:
+        return states.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
     return states.dropDuplicates(keys)

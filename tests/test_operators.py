@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import benchmark, dedup, history, merges, quality, ranking, resolve, series, snapshots, taxonomy, trimming
 from ledgerloom.plans.views import TAXONOMY, numbered
 from ledgerloom.sources import files, html, http, sinks
-from ledgerloom.streaming import append_on_change
+from ledgerloom.streaming import keyed_state
 
 DAY = datetime.date
 
@@ -157,16 +157,52 @@ def test_hash_ignores_the_order_of_lists_and_keys(spark):
     assert r.a == r.b
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows_in = [(s, DAY(2024, 1, d), "ab"[(s * d) % 3 % 2]) for s in range(5) for d in range(1, 9)]
-    df = spark.createDataFrame(rows_in, "stem long, day date, items string")
-    for part, day in ((0, "day <= DATE '2024-01-04'"), (1, "day > DATE '2024-01-04'")):
-        df.filter(day).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-        append_on_change.write_versions(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-        assert part in (0, 1)
-    want = history.changed_versions(df, date="day", digest="items")
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "stem", "day", "items") == rows(want, "stem", "day", "items")
+def _streamed(spark, folder, batches, schema, of):
+    for batch in batches:
+        df = spark.createDataFrame(batch, schema)
+        df.write.mode("append").parquet(f"{folder}/in")
+        keyed_state.drained(of(spark.readStream.schema(df.schema).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/check")
+    return spark.read.parquet(f"{folder}/out")
+
+
+SEEN = lambda d: datetime.datetime(2024, 2, d)
+
+
+def test_stream_of_versions_equals_batch(spark, tmp_path):
+    """In order, late with corrections of the same day, and all of it again."""
+    first = [(s, DAY(2024, 1, d), "ab"[(s * d) % 3 % 2], SEEN(1)) for s in range(4) for d in range(1, 12, 2)]
+    late = [(s, DAY(2024, 1, d), "abc"[(s + d) % 3], SEEN(2)) for s in range(5) for d in (2, 3, 8, 11)]
+    log = _streamed(spark, tmp_path, [first, late, first + late], "stem long, day date, items string, seen timestamp", keyed_state.versions)
+    union = {(s, d): (s, d, i) for s, d, i, _ in first + late}
+    want = history.changed_versions(spark.createDataFrame(list(union.values()), "stem long, day date, items string"), date="day", digest="items")
+    assert rows(keyed_state.current_versions(log), "stem", "day", "items", "supersedes") == rows(want, "stem", "day", "items", "supersedes")
+    assert log.agg({"turn": "max"}).first()[0] == 2  # the third batch said nothing
+    assert {r.kind for r in log.collect()} == {"version", "correction", "withdrawn"}
+
+
+def test_stream_of_versions_forgets(spark, tmp_path):
+    day = lambda m, d: DAY(2024, m, d)
+    batches = [
+        [(1, day(1, 1), "a", SEEN(1)), (1, day(1, 5), "b", SEEN(1)), (1, day(1, 9), "b", SEEN(1)), (1, day(1, 20), "c", SEEN(1))],
+        [(2, day(1, 1), "x", datetime.datetime(2024, 4, 1))],  # the watermark passes
+        [(1, day(1, 2), "z", datetime.datetime(2024, 4, 2)), (1, day(3, 25), "b", datetime.datetime(2024, 4, 2))],
+    ]
+    log = _streamed(spark, tmp_path, batches, "stem long, day date, items string, seen timestamp", lambda s: keyed_state.versions(s, horizon=10, delay="1 day"))
+    assert [(r.day, r["items"]) for r in log.filter("kind = 'late'").collect()] == [(day(1, 2), "z")]
+    last = log.filter("stem = 1 AND kind <> 'late' AND turn = 2").collect()
+    assert [(r.day, r["items"], r.supersedes) for r in last] == [(day(3, 25), "b", day(1, 20))]
+
+
+def test_stream_of_prices_equals_batch(spark, tmp_path):
+    at = lambda d: datetime.datetime(2024, 1, d)
+    first = [(1, at(1), 2.0), (1, at(5), 1.5), (2, at(5), 3.0), (2, at(6), None), (2, at(9), 3.004)]
+    late = [(1, at(3), 1.5), (1, at(3), 1.7), (1, at(6), 1.501), (2, at(7), 3.5), (1, at(20), 9.0)]
+    end = [(None, datetime.datetime(2025, 1, 1), None)]
+    events = _streamed(spark, tmp_path, [first, late, late + first, end], "stem long, at timestamp, price double", lambda s: keyed_state.price_events(s, delay="60 days"))
+    lowest = {(s, t.date()): (s, t.date(), min(q for k, u, q in first + late if (k, u) == (s, t) and q)) for s, t, p in first + late if p}
+    want = series.price_changes(spark.createDataFrame(list(lowest.values()), "stem long, date date, price double")).withColumnRenamed("date", "day")
+    assert rows(events, "stem", "day", "old_price", "new_price") == rows(want, "stem", "day", "old_price", "new_price")
+    assert events.count() == 4
 
 
 # taxonomy, trimming
