@@ -8,9 +8,9 @@
    most of its tiles; verified, these links join most copies. Where many classes of a tile are still in several
    components, this goes on a few turns with other, more central classes. Then all pairs between components are
    offered whose sizes and places in the order allow the overlap.
-4. Inside its tile a pair is held against a bitmap of fixed width, and only what passes is offered. Offered pairs are
-   held against bitmaps as wide as their sets need; differing bits bound the overlap from above. What is left is decided
-   by the exact intersection of the sorted sets.
+4. Rows of a tile that sizes and places leave without any partner go. To those that stay come bitmaps as wide as their sets need,
+   and only pairs that these leave open are offered: differing bits bound the overlap from above, for large sets as
+   well as for small ones. What is left is decided by the exact intersection of the sorted sets.
 
 Shingles that very many documents have are dealt over several tiles, as many as the shingle's own open rows ask for, and
 these tiles are paired, so that no group of copies meets in one task. Links that step 3 leaves out are between members of
@@ -47,10 +47,10 @@ SALTED_FROM = 4000
 TILE_ROWS = 4000
 #: Classes from which a tile is a crowd, and partners of a class in each turn.
 CROWD, PLANS = 16, 8
-#: Bits of the bitmap that goes into the tiles; larger sets have a wider one besides.
-SKETCH = 1024
-#: Pairs of a tile that a task looks at together, by places and then by bitmaps.
-BLOCK, BITS_BLOCK = 1 << 19, 1 << 16
+#: Bits of the narrowest bitmap, bits for each value of a wider one, and bytes of bitmaps in a tile, about.
+SKETCH, BITS, TILE_BYTES = 1024, 8, 32 << 20
+#: Pairs of a tile that a task looks at together, by places, and 64-bit numbers of their bitmaps.
+BLOCK, BITS_BLOCK = 1 << 19, 1 << 20
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str], by: int) -> Iterator[list[np.ndarray]]:
@@ -76,12 +76,19 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str], by: int) -> Itera
 
 
 def _array(column: pa.Array) -> np.ndarray:
-    """Numbers as they are; bitmaps of SKETCH bits as rows of 64-bit numbers."""
+    """Numbers as they are; bitmaps, which differ in width, as arrays of bytes."""
     if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, SKETCH // 64)
+        out = np.empty(len(column), object)
+        out[:] = [np.frombuffer(b, np.uint8) for b in column.to_pylist()]
+        return out
     return column.to_numpy(zero_copy_only=False)
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Bitmaps of SKETCH bits as rows of 64-bit numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, SKETCH // 64)
+
+
 def _batches(columns: dict[str, np.ndarray], at_once: int = 100_000) -> Iterator[pa.RecordBatch]:
     whole = pa.table(columns)
     yield from whole.to_batches(max_chunksize=at_once)
@@ -117,8 +124,8 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _bitmap(values: np.ndarray) -> np.ndarray:
-    """One bit for each value's hash in four bits a value, a power of two and SKETCH at least."""
-    width = max(SKETCH, 1 << (4 * len(values) - 1).bit_length())
+    """One bit for each value's hash in BITS bits a value, a power of two and SKETCH at least."""
+    width = max(SKETCH, 1 << (BITS * len(values) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(mixed(values) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits)
@@ -235,41 +242,83 @@ def _bound(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.n
     return np.minimum(sx - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), sy - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
 
 
+def _placed(percent: int, key, tile, size, salt, pos, comp) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a tile's rows, sorted by size, between components whose sizes and places allow the overlap, and what they need."""
+    size, pos = size.astype(np.int64), pos.astype(np.int64)
+    run_of = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))) - 1
+    scale = int(size.max()) + 1
+    last = np.searchsorted(run_of * scale + size, run_of * scale + np.minimum(size * 100 // percent, scale - 1), side="right")
+    here = np.arange(len(key))
+    many = last - here - 1
+    ends = np.cumsum(many)
+    crossed = tile > 0
+    at = 0
+    while at < len(key):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + BLOCK, side="right")))
+        left = np.repeat(here[at:to], many[at:to])
+        right = left + 1 + np.arange(len(left)) - np.repeat(ends[at:to] - many[at:to] - done, many[at:to])
+        need = _needed(size[left], size[right], percent)
+        ok = (comp[left] != comp[right]) & (pos[left] <= size[left] - need) & (pos[right] <= size[right] - need)
+        ok &= ~(crossed[left] & (salt[left] == salt[right]))
+        if ok.any():
+            yield left[ok], right[ok], need[ok]
+        at = to
+
+
+OPEN = "key long, tile long, sa int, salt long, a long, pa int, comp long"
+
+
+def _open_rows(percent: int):
+    """The rows of tiles that have a partner by sizes and places."""
+    names = ["key", "tile", "sa", "salt", "a", "pa", "comp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, names, 2):
+            key, tile, size, salt, _, pos, comp = part
+            met = np.zeros(len(key), bool)
+            for left, right, _ in _placed(percent, key, tile, size, salt, pos, comp):
+                met[left] = met[right] = True
+            if met.any():
+                yield from _batches({n: c[met] for n, c in zip(names, part)})
+        release()
+
+    return run
+
+
+def _bounded(maps: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The overlap at most of each pair, by bitmaps as wide as the narrower of the two."""
+    width = np.array([len(m) for m in maps])
+    pair = np.minimum(width[left], width[right])
+    out = np.empty(len(left), np.int64)
+    for w in np.unique(pair):
+        own = np.flatnonzero(pair == w)
+        used, place = np.unique(np.concatenate([left[own], right[own]]), return_inverse=True)
+        table = np.stack([_halved(maps[i], 8 * int(w)) for i in used]).view(np.uint64)
+        step = max(1, BITS_BLOCK * 8 // int(w))
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            x, y = place[at : at + len(some)], place[len(own) + at : len(own) + at + len(some)]
+            out[some] = _bound(table[x], table[y], size[left[some]], size[right[some]])
+    return out
+
+
 def _tile_pairs(percent: int):
-    """Pairs of one tile, sorted by size, between different components whose sizes, places and bitmaps allow the overlap."""
-
-    def tiles(key, tile, size, salt, cls, pos, comp, sketch) -> Iterator[pa.RecordBatch]:
-        size, pos = size.astype(np.int64), pos.astype(np.int64)
-        run_of = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))) - 1
-        scale = int(size.max()) + 1
-        last = np.searchsorted(run_of * scale + size, run_of * scale + np.minimum(size * 100 // percent, scale - 1), side="right")
-        here = np.arange(len(key))
-        many = last - here - 1
-        ends = np.cumsum(many)
-        crossed = tile > 0
-        at = 0
-        while at < len(key):
-            done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + BLOCK, side="right")))
-            left = np.repeat(here[at:to], many[at:to])
-            right = left + 1 + np.arange(len(left)) - np.repeat(ends[at:to] - many[at:to] - done, many[at:to])
-            need = _needed(size[left], size[right], percent)
-            ok = (comp[left] != comp[right]) & (pos[left] <= size[left] - need) & (pos[right] <= size[right] - need)
-            ok &= ~(crossed[left] & (salt[left] == salt[right]))
-            left, right, need = left[ok], right[ok], need[ok]
-            for i in range(0, len(left), BITS_BLOCK):
-                x, y = left[i : i + BITS_BLOCK], right[i : i + BITS_BLOCK]
-                near = _bound(sketch[x], sketch[y], size[x], size[y]) >= need[i : i + BITS_BLOCK]
-                x, y = x[near], y[near]
-                if len(x):
-                    swap = cls[x] > cls[y]
-                    a, b = np.where(swap, y, x), np.where(swap, x, y)
-                    both = np.unique(np.stack([cls[a], cls[b], size[a], size[b]]), axis=1)
-                    yield from _batches({"a": both[0], "b": both[1], "sa": both[2].astype(np.int32), "sb": both[3].astype(np.int32)})
-            at = to
+    """Pairs of one tile, sorted by size, whose sizes, places and bitmaps allow the overlap."""
+
+    def tiles(key, tile, size, salt, cls, pos, comp, maps) -> Iterator[pa.RecordBatch]:
+        size = size.astype(np.int64)
+        for left, right, need in _placed(percent, key, tile, size, salt, pos, comp):
+            near = _bounded(maps, left, right, size) >= need
+            x, y = left[near], right[near]
+            if len(x):
+                swap = cls[x] > cls[y]
+                a, b = np.where(swap, y, x), np.where(swap, x, y)
+                both = np.unique(np.stack([cls[a], cls[b], size[a], size[b]]), axis=1)
+                yield from _batches({"a": both[0], "b": both[1], "sa": both[2].astype(np.int32), "sb": both[3].astype(np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, ["key", "tile", "sa", "salt", "a", "pa", "comp", "sketch"], 2):
+        for part in _runs(batches, ["key", "tile", "sa", "salt", "a", "pa", "comp", "bitmap"], 2):
             yield from tiles(*part)
         release()
 
@@ -282,7 +331,7 @@ def _may_overlap(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sa, sb = (batch.column(c).to_numpy().astype(np.int64) for c in ("sa", "sb"))
-            ok = _bound(_array(batch.column("ka")), _array(batch.column("kb")), sa, sb) >= _needed(sa, sb, percent)
+            ok = _bound(_sketches(batch.column("ka")), _sketches(batch.column("kb")), sa, sb) >= _needed(sa, sb, percent)
             for i in np.flatnonzero(ok):
                 x, y = (batch.column(c)[int(i)].as_py() for c in ("ma", "mb"))
                 if x is not None and y is not None:
@@ -336,18 +385,20 @@ def _verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, docs: Data
     return scratch.stage(both.mapInArrow(_linked(percent), "a long, b long"))
 
 
-def _offered(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, sa, sb) between components, out of tiles of TILE_ROWS rows of one shingle, or two such parts of it."""
-    keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    several = keys.filter("lo <> hi").select("key", F.expr(f"(n - 1) div {TILE_ROWS} + 1").alias("salts"))
+def _offered(scratch: Scratch, labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, sa, sb) between components, out of tiles of TILE_ROWS rows and TILE_BYTES of one shingle, or two such parts of it."""
+    keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("sa").alias("values"))
+    parts = F.greatest(F.expr(f"(n - 1) div {TILE_ROWS}"), F.expr(f"values * {BITS * 3 // 2} div {8 * TILE_BYTES}")) + 1
+    several = keys.filter("lo <> hi").select("key", parts.alias("salts"))
     rows = labelled.join(several, "key").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     # The tile of a salt with itself is below 0 and needs no other salt; s * salts + t > 0 names the pair s < t.
     pair = lambda t: F.least(t, "salt") * F.col("salts") + F.greatest(t, "salt")
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda t: F.when(t == F.col("salt"), -1 - t).otherwise(pair(t)))
-    dealt = rows.select("key", "salt", "a", "sa", "pa", "comp", F.explode(tiles).alias("tile"))
-    drawn = dealt.join(classes.select(F.col("cls").alias("a"), "sketch"), "a").select("key", "tile", "sa", "salt", "a", "pa", "comp", "sketch")
-    tiled = drawn.repartition("key", "tile").sortWithinPartitions("key", "tile", "sa", "a")
-    return tiled.mapInArrow(_tile_pairs(percent), "a long, b long, sa int, sb int").dropDuplicates(["a", "b"])
+    dealt = rows.select("key", F.explode(tiles).alias("tile"), "sa", "salt", "a", "pa", "comp")
+    tiled = lambda d: d.repartition("key", "tile").sortWithinPartitions("key", "tile", "sa", "a")
+    open_rows = scratch.stage(tiled(dealt).mapInArrow(_open_rows(percent), OPEN))
+    maps = classes.select(F.col("cls").alias("a"), F.coalesce("bitmap", "sketch").alias("bitmap"))
+    return tiled(open_rows.join(maps, "a")).mapInArrow(_tile_pairs(percent), "a long, b long, sa int, sb int").dropDuplicates(["a", "b"])
 
 
 def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -389,7 +440,7 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
         if turns:
             last = reduce(DataFrame.unionByName, turns).groupBy("a").agg(F.max("new").alias("new"))
             labelled = scratch.stage(labelled.join(last, "a", "left").withColumn("comp", F.coalesce("new.comp", "comp")).drop("new"))
-        rest = _verified(scratch, _offered(labelled, classes, percent), classes, docs, n, percent)
+        rest = _verified(scratch, _offered(scratch, labelled, classes, percent), classes, docs, n, percent)
         return members, connected_components(links.unionByName(rest))
 
 
