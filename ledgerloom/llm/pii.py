@@ -15,10 +15,13 @@ try inside it. Rows that repeat are searched each on its own. Extra columns are
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +84,7 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def labelled_table(rows: int = 560, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def labelled_table(rows: int = 1400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """A small labelled table made from templates: text and the spans in it."""
     random = np.random.Generator(np.random.PCG64(seed))
     pick = lambda options: options[int(random.integers(len(options)))]
@@ -95,7 +98,7 @@ def labelled_table(rows: int = 560, seed: int = 11) -> list[tuple[str, list[Span
 
     dotted = lambda n: ".".join(n[i : i + 4] for i in range(0, 16, 4))
     made = {
-        "email": [lambda: f"{word()} [at] {word()} [dot] {pick(('org', 'com', 'net'))}", lambda: f"{word()}{digits(2)}@{word()}.example.com", lambda: f"{word()}(at){word()}.org", lambda: f"{word()} (at) {word()}.com", lambda: f"{word()}[at]{word()}.net", lambda: f"{word()} (AT) {word()}.com", lambda: f"{word()} [AT] {word()} [DOT] {pick(('org', 'com', 'net'))}"],
+        "email": [lambda: f"{word()} [at] {word()} [dot] {pick(('org', 'com', 'net'))}", lambda: f"{word()}{digits(2)}@{word()}.example.com", lambda: f"{word()}(at){word()}.org", lambda: f"{word()} (at) {word()}.com", lambda: f"{word()}[at]{word()}.net", lambda: f"{word()} (AT) {word()}.com", lambda: f"{word()} [AT] {word()} [DOT] {pick(('org', 'com', 'net'))}", lambda: f"{word()}{digits(int(random.integers(1, 4)))} [at] {word()} [dot] {pick(('org', 'com', 'net'))}", lambda: f"{word()}.{word()} (at) {word()}.org", lambda: f"{word()}{digits(2)} (at) {word()} (dot) com"],
         "ip": [lambda: ".".join(str(int(i)) for i in random.integers(1, 255, size=4)), lambda: f"{digits(2)}.{digits(3)}.{digits(1)}.{digits(2)}"],
         "card": [lambda: dotted(number(True)), lambda: number(True)],
         "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"0{digits(2)} {digits(3)} {digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"],
@@ -103,12 +106,18 @@ def labelled_table(rows: int = 560, seed: int = 11) -> list[tuple[str, list[Span
     }
     cue = {"secret": ["password={}", "token = \"{}\"", "api_key={}", "key {}", "secret: {}", "{}"], "phone": ["call {}", "phone {}", "tel {}", "{}"], "email": ["{}", "mail {}"], "card": ["card {}", "{}"], "ip": ["host {}", "{}"]}
     plain = [lambda: digits(4), lambda: f"{digits(1)}.{digits(1)}", lambda: f"version {digits(1)}.", lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)},{digits(3)}", lambda: f"{digits(3)}", lambda: f"{digits(6)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"x = {digits(2)}", lambda: f"{word()}={word()}", lambda: f"{word()}{digits(1)}", lambda: f"@{word()}", lambda: f"{digits(2)}%", lambda: number(False), lambda: number(False), lambda: dotted(number(False))]
-    brackets = [lambda: f"({word()})", lambda: f"({word()} {word()})", lambda: f"({word()} {word()} {word()})", lambda: f"[{word()}]", lambda: f"[{word()} {word()}]", lambda: f"({digits(4)})", lambda: f"[{digits(1)}]", lambda: f"{word()} ({word()}, {digits(2)})", lambda: f"{word()}) {word()}", lambda: f"({word()}-{word()})", lambda: f"({word()}). {word()}", lambda: f"{word()} [...] {word()}", lambda: f"({word()} {word()}) {word()} [{word()}]"]
+    brackets = [lambda: f"({word()})", lambda: f"({word()} {word()})", lambda: f"({word()} {word()} {word()})", lambda: f"[{word()}]", lambda: f"[{word()} {word()}]", lambda: f"({digits(4)})", lambda: f"[{digits(1)}]", lambda: f"{word()} ({word()}, {digits(2)})", lambda: f"{word()}) {word()}", lambda: f"({word()}-{word()})", lambda: f"({word()}). {word()}", lambda: f"{word()} [...] {word()}", lambda: f"({word()} {word()}) {word()} [{word()}]", lambda: f"[{word()}] [{word()} {word()} {word()}]", lambda: f"[{word()} {word()}] [{word()}]"]
+    upper, name = lambda n: text("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n), lambda: word().capitalize()
+    month, year = lambda: pick(("January", "March", "June", "July", "October", "December", "Mai", "juin", "enero")), lambda: pick(("18", "19", "20")) + digits(2)
+    amounts = [lambda: f"{digits(2)}.{digits(2)} ({word()})", lambda: f"{year()} ({word()} {digits(2)})", lambda: f"{digits(2)}:{digits(2)} ({word()} {digits(1)})", lambda: f"{digits(1)}pm ({upper(3)}) on {name()}", lambda: f"{digits(3)},{digits(3)} ({word()} {word()}", lambda: f"{digits(1)} ({word()})", lambda: f"{digits(2)}% ({word()}, {word()})", lambda: f"{digits(1)}.{digits(1)} ({upper(2)})", lambda: f"({digits(1)}) {word()} ({digits(2)}) {word()}", lambda: f"({pick('abcdi')}) {word()}", lambda: f"{name()} (c) {year()}", lambda: f"Copyright (C) {year()} {name()}", lambda: f"({upper(3)})", lambda: f"{word()}(s) {word()}", lambda: f"({word()}); {word()}"]
+    lists = [lambda: f"{digits(1)}-{digits(1)} ({digits(1)}-{digits(1)})", lambda: f"{year()}, {year()}", lambda: f"{year()}, {year()}, {year()} {word()}", lambda: f"{year()}-{year()}", lambda: f"{year()}-{year()}, {year()}", lambda: f"{digits(1)}, {digits(2)} {month()} {year()}", lambda: f"{digits(2)} {month()} {year()}", lambda: f"{month()} {digits(2)}, {year()}", lambda: f"{digits(1)}.{digits(1)}, {digits(1)}.{digits(1)}, {digits(1)}.{digits(1)}", lambda: f"{digits(1)}.{digits(1)}.\n\n{digits(1)}", lambda: f"{digits(1)}.{digits(1)}. {name()}", lambda: f"{digits(2)}.{digits(2)}.{year()}", lambda: f"{digits(2)}/{digits(2)}/{year()}", lambda: f"{digits(1)} {digits(1)} {digits(1)}", lambda: f"{digits(2)}, {digits(3)}, {digits(2)}", lambda: f"{digits(3)} {digits(3)} {word()}", lambda: f"{digits(1)}-{digits(2)} {word()}", lambda: f"{digits(3)}-{digits(3)} {word()}", lambda: f"{digits(2)} x {digits(2)}", lambda: f"{digits(1)}/{digits(1)}, {digits(1)}/{digits(1)}", lambda: f"{digits(1)} + {digits(1)} = {digits(2)}", lambda: f"{digits(1)}:{digits(1)}, {digits(2)}:{digits(2)}", lambda: f"{digits(2)}:{digits(2)}, {digits(2)}:{digits(2)}, {digits(2)}:{digits(2)}", lambda: f"{year()}-{digits(2)}-{digits(2)} {digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(4)} {year()}-{digits(2)}-{digits(2)}", lambda: f"{digits(4)} {digits(4)}"]
+    signs = [lambda: f"{word()}({word()}) {word()} {word()}[{digits(1)}]", lambda: f"{word()}({word()})", lambda: f"{word()}[{digits(1)}]", lambda: f"{word()}({digits(1)}, {word()})", lambda: f"{word()}.{word()}({word()})", lambda: f"{word()}()", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{word()}-{digits(1)}.{digits(1)}", lambda: f"https://{word()}.{pick(('org', 'com', 'net'))}/{word()}", lambda: f"https://www.{word()}.org/{word()}/{word()}-{digits(1)}.{digits(1)}", lambda: f"<http://{word()}.com/>", lambda: f"http://www.{word()}.org/{word()}/", lambda: f"{upper(3)}-{digits(1)}.{digits(1)}", lambda: f"{upper(2)}{digits(2)}", lambda: f"[{digits(1)}] {name()}, [{digits(2)}]", lambda: f"({name()} {year()})", lambda: f"({name()} and {name()} {year()}, p. {digits(2)})", lambda: f"{word()}_{word()}", lambda: f"#{digits(3)}", lambda: f"{word()}@", lambda: f"@{word()}{digits(2)}", lambda: f"{word()}{digits(4)}", lambda: f"{text('abcdef', 6)}", lambda: f"{upper(6)}{digits(3)}", lambda: word() + word() + word() + word()]
     named = ["password", "token", "key", "secret", "call", "phone", "tel", "mail", "card", "host", "api_key"]
+    plain += [lambda: pick(amounts)()] * 14 + [lambda: pick(lists)()] * 20 + [lambda: pick(signs)()] * 20
     plain += [lambda: pick(brackets)()] * 12 + [lambda: f"{pick(named)} {word()}"] * 3 + [lambda: f"{pick(named)}: {word()}"] * 2
     table = []
     for i in range(rows):
-        kind, out = ("none", *made, "none")[i % (len(made) + 2)], [word() for _ in range(int(random.integers(3, 8)))]
+        kind, out = ("none", *made, "none", "none", "none", "none")[i % (len(made) + 5)], [word() for _ in range(int(random.integers(3, 8)))]
         line = " ".join(out).capitalize() + " "
         spans: list[Span] = []
         if kind == "none":
@@ -156,7 +165,21 @@ class Words(dict):
 class Field:
     """A linear-chain conditional random field, trained by gradient steps on forward-backward sums."""
 
-    def __init__(self, table: list[tuple[str, list[Span]]], steps: int = 220):
+    def __init__(self, table: list[tuple[str, list[Span]]] | None = None, steps: int = 220, stored: dict | None = None):
+        if stored is None:
+            self._train(table or [], steps)
+        else:
+            self.words, self.index = set(stored["words"]), {f: i for i, f in enumerate(stored["features"])}
+            self.emit, self.move = np.array(stored["emit"]), np.array(stored["move"])
+            self._plain = self._ids(["aa", "aa", "aa"], 1)
+        # What label "none" gains over another, whatever the labels on either side are, is at least its emission's and this.
+        self._least = (self.move[:, :1] - self.move).min(0) + (self.move[:1] - self.move).min(1)
+        self._types: dict[tuple, int] = {}
+        self._vectors: list[np.ndarray] = []
+        self._edge, self._none = self._type((), (), ()), self.type_of("aa")
+        self.known = Words(self)
+
+    def _train(self, table: list[tuple[str, list[Span]]], steps: int) -> None:
         sentences = []
         for text, spans in table:
             tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
@@ -171,14 +194,13 @@ class Field:
         self.index: dict[str, int] = {}
         seen = [[self._ids(words, i, grow=True) for i in range(len(words))] for words, _ in sentences]
         self._fit(seen, [y for _, y in sentences], steps)
+        self.emit, self.move = self.emit.round(4), self.move.round(4)
         while not self._parted():  # a stretch of plain words must lead through "none"
             self.emit[self._plain, 1:] -= 0.25
-        # What label "none" gains over another, whatever the labels on either side are, is at least its emission's and this.
-        self._least = (self.move[:, :1] - self.move).min(0) + (self.move[:1] - self.move).min(1)
-        self._types: dict[tuple, int] = {}
-        self._vectors: list[np.ndarray] = []
-        self._edge, self._none = self._type((), (), ()), self.type_of("aa")
-        self.known = Words(self)
+
+    def stored(self) -> dict:
+        """The parameters, as they are kept in a file."""
+        return {"words": sorted(self.words), "features": list(self.index), "emit": self.emit.round(4).tolist(), "move": self.move.round(4).tolist()}
 
     def _type(self, own: tuple, before: tuple, after: tuple) -> int:
         """The number of a set of features; its emissions at its own place, behind it and before it."""
@@ -219,13 +241,13 @@ class Field:
             gold[a, : len(y)] = y
             for b, f in enumerate(s):
                 has[a, b, f] = 1
-        flat = has.reshape(n * longest, -1)
+        flat, which = np.unique(has.reshape(n * longest, -1), axis=0, return_inverse=True)  # words with equal features
         mask = np.arange(longest) < length[:, None]
         w, t = np.zeros((len(self.index), k)), np.zeros((k, k))
         moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
         one = np.eye(k)
         for step in range(1, steps + 1):
-            e = (flat @ w).reshape(n, longest, k)
+            e = (flat @ w)[which].reshape(n, longest, k)
             # Before the first word and behind the last stands "none".
             f, b = np.zeros((n, longest, k)), np.zeros((n, longest, k))
             f[:, 0] = t[0] + e[:, 0]
@@ -238,7 +260,8 @@ class Field:
                 b[:, i] = np.where(mask[:, i + 1][:, None], new, t[:, 0])
             z = _logsum(f[:, -1] + t[:, 0], 1)
             p = np.exp(f + b - z[:, None, None]) * mask[:, :, None]
-            gw, gt = flat.T @ (one[gold] * mask[:, :, None] - p).reshape(-1, k), np.zeros_like(t)
+            missed = (one[gold] * mask[:, :, None] - p).reshape(-1, k)
+            gw, gt = flat.T @ np.stack([np.bincount(which, missed[:, c], len(flat)) for c in range(k)], 1), np.zeros_like(t)
             for i in range(1, longest):
                 inner = np.exp(f[:, i - 1][:, :, None] + t + (e[:, i] + b[:, i])[:, None, :] - z[:, None, None]) * mask[:, i][:, None, None]
                 gt += (one[gold[:, i - 1]][:, :, None] * one[gold[:, i]][:, None, :] * mask[:, i][:, None, None] - inner).sum(0)
@@ -313,10 +336,14 @@ class Field:
                 yield int(at[part[0]]), e[part]
 
 
+#: What ``python -m ledgerloom.llm.pii`` made of the labelled table.
+PARAMETERS = Path(__file__).with_name("pii_field.json")
+
+
 @lru_cache(1)
 def default_field() -> Field:
-    """The field of the labelled table, trained once in a driver."""
-    return Field(labelled_table())
+    """The field of the labelled table, with the parameters that its training left in PARAMETERS."""
+    return Field(stored=json.loads(PARAMETERS.read_text()))
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -353,7 +380,13 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Spa
     out = []
     for text, more in zip(texts, field_spans(texts, field)):
         base = sorted(base_spans(text), key=key)
-        added = [s for s in more if not any(s[1] < b[2] and s[2] > b[1] for b in base)]
+        starts, ends = [], []  # of the patterns' spans, joined where they overlap
+        for _, start, end in sorted(base, key=lambda s: s[1]):
+            if ends and start < ends[-1]:
+                ends[-1] = max(ends[-1], end)
+            else:
+                starts.append(start), ends.append(end)
+        added = [s for s in more if (i := bisect.bisect_right(ends, s[1])) == len(ends) or starts[i] >= s[2]]
         out.append((base, sorted(base + added, key=key)))
     return out
 
@@ -404,3 +437,7 @@ def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Data
 
 def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(documents(spark, sf_dir))
+
+
+if __name__ == "__main__":
+    PARAMETERS.write_text(json.dumps(Field(labelled_table()).stored(), indent=0))
