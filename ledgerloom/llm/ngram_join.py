@@ -8,9 +8,10 @@
    most of its tiles; verified, these links join most copies. Where many classes of a tile are still in several
    components, this goes on a few turns with other, more central classes. Then all pairs between components are
    offered whose sizes and places in the order allow the overlap.
-4. Rows of a tile that sizes and places leave without any partner go. To those that stay come bitmaps as wide as their sets need,
-   and only pairs that these leave open are offered: differing bits bound the overlap from above, for large sets as
-   well as for small ones. What is left is decided by the exact intersection of the sorted sets.
+4. Inside its tile a pair is held against narrow bitmaps: differing bits bound the overlap from above. A tile offers what
+   these leave open while that is PAIRS times its rows at most. Where it is more, as among large sets that fill narrow
+   bitmaps, the rows meet once more with bitmaps as wide as their sets need, and only what these leave open is offered. Offered
+   pairs are held against the wide bitmaps as well, and what is left is decided by the exact intersection of the sorted sets.
 
 Shingles that very many documents have are dealt over several tiles, as many as the shingle's own open rows ask for, and
 these tiles are paired, so that no group of copies meets in one task. Links that step 3 leaves out are between members of
@@ -47,6 +48,8 @@ SALTED_FROM = 4000
 TILE_ROWS = 4000
 #: Classes from which a tile is a crowd, and partners of a class in each turn.
 CROWD, PLANS = 16, 8
+#: Pairs for each row of a tile that narrow bitmaps may leave open before wide ones are asked.
+PAIRS = 2
 #: Bits of the narrowest bitmap, bits for each value of a wider one, and bytes of bitmaps in a tile, about.
 SKETCH, BITS, TILE_BYTES = 1024, 8, 32 << 20
 #: Pairs of a tile that a task looks at together, by places, and 64-bit numbers of their bitmaps.
@@ -89,7 +92,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, SKETCH // 64)
 
 
-def _batches(columns: dict[str, np.ndarray], at_once: int = 100_000) -> Iterator[pa.RecordBatch]:
+def _batches(columns: dict[str, np.ndarray | pa.Array], at_once: int = 100_000) -> Iterator[pa.RecordBatch]:
     whole = pa.table(columns)
     yield from whole.to_batches(max_chunksize=at_once)
 
@@ -266,21 +269,41 @@ def _placed(percent: int, key, tile, size, salt, pos, comp) -> Iterator[tuple[np
         at = to
 
 
-OPEN = "key long, tile long, sa int, salt long, a long, pa int, comp long"
+OPEN = "key long, tile long, sa int, salt long, a long, pa int, comp long, b long, sb int"
 
 
 def _open_rows(percent: int):
-    """The rows of tiles that have a partner by sizes and places."""
+    """Pairs (a, b) that sizes, places and narrow bitmaps leave open; of tiles that have too many, the rows without a b."""
     names = ["key", "tile", "sa", "salt", "a", "pa", "comp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, names, 2):
-            key, tile, size, salt, _, pos, comp = part
-            met = np.zeros(len(key), bool)
-            for left, right, _ in _placed(percent, key, tile, size, salt, pos, comp):
-                met[left] = met[right] = True
-            if met.any():
-                yield from _batches({n: c[met] for n, c in zip(names, part)})
+        for *part, sketch in _runs(batches, [*names, "sketch"], 2):
+            key, tile, size, salt, cls, pos, comp = part
+            size, maps, step = size.astype(np.int64), np.stack(sketch).view(np.uint64), BITS_BLOCK * 64 // SKETCH
+            run_of = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))) - 1
+            room = PAIRS * np.bincount(run_of)
+            found, met, pairs = np.zeros(len(room), np.int64), np.zeros(len(key), bool), [np.zeros((2, 0), np.int64)]
+            for left, right, need in _placed(percent, key, tile, size, salt, pos, comp):
+                for at in range(0, len(left), step):
+                    x, y = left[at : at + step], right[at : at + step]
+                    near = _bound(maps[x], maps[y], size[x], size[y]) >= need[at : at + step]
+                    x, y = x[near], y[near]
+                    met[x] = met[y] = True
+                    found += np.bincount(run_of[x], minlength=len(room))
+                    few = found[run_of[x]] <= room[run_of[x]]
+                    pairs.append(np.stack([x[few], y[few]]))
+            few = found <= room
+            x, y = np.concatenate(pairs, 1)
+            x, y = x[few[run_of[x]]], y[few[run_of[x]]]
+            if len(x):
+                swap = cls[x] > cls[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                none = {n: np.zeros(len(x), c.dtype) for n, c in zip(names, part)}
+                yield from _batches(none | {"sa": part[2][x], "a": cls[x], "b": cls[y], "sb": part[2][y]})
+            many = met & ~few[run_of]
+            if many.any():
+                none = pa.nulls(int(many.sum()), pa.int64()), pa.nulls(int(many.sum()), pa.int32())
+                yield from _batches({n: c[many] for n, c in zip(names, part)} | {"b": none[0], "sb": none[1]})
         release()
 
     return run
@@ -396,9 +419,12 @@ def _offered(scratch: Scratch, labelled: DataFrame, classes: DataFrame, percent:
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda t: F.when(t == F.col("salt"), -1 - t).otherwise(pair(t)))
     dealt = rows.select("key", F.explode(tiles).alias("tile"), "sa", "salt", "a", "pa", "comp")
     tiled = lambda d: d.repartition("key", "tile").sortWithinPartitions("key", "tile", "sa", "a")
-    open_rows = scratch.stage(tiled(dealt).mapInArrow(_open_rows(percent), OPEN))
+    drawn = dealt.join(classes.select(F.col("cls").alias("a"), "sketch"), "a")
+    near = scratch.stage(tiled(drawn).mapInArrow(_open_rows(percent), OPEN))
+    few, many = near.filter("b IS NOT NULL").select("a", "b", "sa", "sb"), near.filter("b IS NULL").drop("b", "sb")
     maps = classes.select(F.col("cls").alias("a"), F.coalesce("bitmap", "sketch").alias("bitmap"))
-    return tiled(open_rows.join(maps, "a")).mapInArrow(_tile_pairs(percent), "a long, b long, sa int, sb int").dropDuplicates(["a", "b"])
+    offered = tiled(many.join(maps, "a")).mapInArrow(_tile_pairs(percent), "a long, b long, sa int, sb int")
+    return few.unionByName(offered).dropDuplicates(["a", "b"])
 
 
 def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
