@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import casefolded, word_set
 from .dedup import keep
+from .similar import similar_names
 
 #: Rows of typed names up to which they are broadcast.
 MAX_ASKED = 1000
@@ -124,7 +125,8 @@ def lookup(rows: DataFrame, records: DataFrame) -> DataFrame:
 def suggestions(asked: DataFrame, known: DataFrame, limit: int = 5, loose: int = 3, least: float = 0.4) -> DataFrame:
     """asked, stem, place: known stems of the same insurer, else the most similar ones by edit distance.
 
-    What is asked is what a user typed; while it is few rows the known stems are read once and not shuffled.
+    What is asked is what a user typed; while it is few rows the known stems of its insurers are read once and not shuffled.
+    Similar ones meet by the grams that they share, whatever is asked.
     """
     few = asked.limit(MAX_ASKED + 1).count() <= MAX_ASKED
     prefix = lambda c: F.element_at(F.split(c, "__"), 1)
@@ -132,10 +134,6 @@ def suggestions(asked: DataFrame, known: DataFrame, limit: int = 5, loose: int =
     k = known.select("stem", prefix(F.col("stem")).alias("__i"))
     near = k.join(F.broadcast(a) if few else a, "__i").select("asked", "stem", F.row_number().over(Window.partitionBy("asked").orderBy("stem")).alias("place")).filter(F.col("place") <= limit)
     rest = a.join(near.select("asked").distinct(), "asked", "left_anti")
-    like = 1 - F.levenshtein("asked", "stem") / F.greatest(F.length("asked"), F.length("stem"))
-    # Names whose lengths differ too much cannot be alike enough, which a range of lengths says without comparing.
-    sized = rest.select("asked", F.explode(F.sequence(F.ceil(F.length("asked") * least).cast("int"), F.floor(F.length("asked") / least).cast("int"))).alias("n"))
-    sized = F.broadcast(sized) if few else sized
-    met = known.withColumn("n", F.length("stem")).join(sized, "n").withColumn("like", like).filter(F.col("like") >= least)
+    met = similar_names(rest, known, least)
     far = met.select("asked", "stem", F.row_number().over(Window.partitionBy("asked").orderBy(F.col("like").desc(), "stem")).alias("place")).filter(F.col("place") <= loose)
     return near.unionByName(far).withColumn("place", F.col("place").cast("long"))
