@@ -36,7 +36,7 @@ def representatives(df: DataFrame, key: str = "stem", price: str = "price", ordi
 
 def duplicate_contents(df: DataFrame, text: str, place: str) -> DataFrame:
     """content_sha256, n, place: a row for each place of the texts that stand in several; blank texts are left out."""
-    trimmed = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
+    trimmed = F.trim(F.col(text), F.lit(" \t\n\r\x0b\f"))
     hashed = df.filter(trimmed != "").select(F.sha2(trimmed, 256).alias("content_sha256"), F.col(place).alias("place"))
     several = hashed.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return hashed.join(several, "content_sha256").select("content_sha256", "n", "place")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.canonical import content_digest
-from ..operators import shapes, similar
+from ..operators import history, shapes, similar
+from ..operators.taxonomy import ordered_columns
 from ..operators.sweep import sweep
 from ..session import work_folder
+from ..sources import sinks
 from ..streaming import ingest
 from .registry import query
 from .views import table
@@ -112,3 +114,32 @@ def changed_sweep(spark, sf):
     new = parts.filter("stem % 7 <> 0").withColumn("size", F.col("size") + F.when(F.col("stem") % 3 == 0, 10).otherwise(0)).withColumn("digest", digest)
     out = sweep(new, old.select("stem", "digest"), _broken(old), _broken)
     return out.violations.withColumn("kind", F.lit("holds")).unionByName(out.events)
+
+
+@query("""WITH m AS (SELECT p_partkey AS stem, {'included': p_size > 10, 'level': 'low'} AS a, CASE WHEN p_size % 3 = 0 THEN NULL ELSE {'included': p_size > 20, 'level': CASE WHEN p_size % 2 = 0 THEN 'low' ELSE 'high' END} END AS b, p_size, p_type, p_brand FROM part WHERE p_partkey % 6 <> 0)
+SELECT stem, 'modules' AS section, 'main' AS name, '{"included":' || a.included || ',"level":"low"}' AS old, CASE WHEN b IS NULL THEN '{}' ELSE '{"included":' || b.included || ',"level":"' || b.level || '"}' END AS new FROM m WHERE b IS NULL OR a <> b
+UNION ALL SELECT stem, 'coverage', 'wait', CASE WHEN p_size > 30 THEN '3' END, (p_size % 4)::VARCHAR FROM m WHERE CASE WHEN p_size > 30 THEN 3 END IS DISTINCT FROM p_size % 4
+UNION ALL SELECT stem, 'leistungen', 'added', NULL, p_type FROM m WHERE p_type <> p_brand UNION ALL SELECT stem, 'leistungen', 'removed', 'x', NULL FROM m
+UNION ALL SELECT stem, 'ausschluesse', 'removed', p_brand, NULL FROM m WHERE p_size < 25""")
+def structural_diff(spark, sf):
+    """Everything in which two states of each record differ: modules, coverage and lists; records of equal digests are passed over."""
+    size = F.col("p_size")
+    module = lambda included, level: F.struct(included.alias("included"), level.alias("level"))
+    modules = lambda m: F.create_map(F.lit("main"), m)
+    state = lambda n, m, wait, benefits, without: F.struct(F.when(F.col("p_partkey") % 6 != 0, n).otherwise("same").alias("content_sha256"), m.alias("modules"), F.struct(F.lit("1").alias("sum"), wait.alias("wait")).alias("coverage"), benefits.alias("leistungen"), without.alias("ausschluesse"), F.array().cast("array<string>").alias("besonderheiten"))
+    old = state("a", modules(module(size > 10, F.lit("low"))), F.when(size > 30, 3), F.array("p_brand", F.lit("x")), F.when(size < 25, F.array("p_brand")))
+    new = state("b", F.when(size % 3 != 0, modules(module(size > 20, F.when(size % 2 == 0, "low").otherwise("high")))), size % 4, F.array("p_brand", "p_type"), F.array().cast("array<string>"))
+    return history.structural_difference(table(spark, sf, "part").select(F.col("p_partkey").alias("stem"), old.alias("old"), new.alias("new")), ["sum", "wait"])
+
+
+@query("SELECT s_suppkey AS stem, row_number() OVER (ORDER BY s_suppkey <> 7, s_suppkey) - 1 AS place, s_name || '!' AS name FROM supplier")
+def replaced_and_ordered(spark, sf):
+    """A relation written over and read back, in the order of a comparison: the reference first, each record with its place."""
+    at = work_folder(spark)
+    names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("stem"), F.col("s_name").alias("name"))
+    sinks.replace(names, at)
+    sinks.replace(names.withColumn("name", F.concat("name", F.lit("!"))), at)
+    rows = spark.read.schema("stem long, name string").parquet(at)
+    rows = ordered_columns(rows, 7)
+    held = rows.select("stem", "name").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1], r[0][1]))
+    return spark.createDataFrame(held, "stem long, place long, name string")
