@@ -446,26 +446,20 @@ def test_needs_are_neutral():
     assert scores.needs_are_neutral({}, ["a", "b"]) and scores.needs_are_neutral({"a": -1, "b": 0}, ["a", "b"]) and not scores.needs_are_neutral({"a": 2}, ["a", "b"])
 
 
-def test_late_states_find_their_predecessor():
-    import pandas as pd
-
-    class State:
-        exists, get = False, None
-
-        def update(self, value):
-            self.exists, self.get = True, value
-
-    state, day = State(), lambda n: DAY(2024, 1, n)
-    batch = lambda *rows: iter([pd.DataFrame(rows, columns=["day", "items"])])
-    run = lambda *rows: [tuple(r) for out in append_on_change._versions((7,), batch(*rows), state) for r in out.itertuples(index=False)]
-    assert run((day(3), "b"), (day(1), "a")) == [(7, day(1), "a", None), (7, day(3), "b", day(1))]
-    assert run((day(2), "a"), (day(4), "b")) == []  # the late one is the version before it again
-    assert run((day(2), "c")) == [(7, day(2), "c", day(1))]
-    assert run((day(5), "a")) == [(7, day(5), "a", day(3))]
-    prices = State()
-    priced = lambda *rows: [tuple(r) for out in append_on_change._price_events((7,), iter([pd.DataFrame(rows, columns=["day", "price"])]), prices) for r in out.itertuples(index=False)]
-    assert priced((day(1), 5.0), (day(2), None), (day(3), 6.0)) == [(7, day(3), 5.0, 6.0, 1.0)]
-    assert priced((day(4), 6.0)) == [] and priced((day(5), 5.5)) == [(7, day(5), 6.0, 5.5, -0.5)]
+def test_late_states_find_their_predecessor(spark, tmp_path):
+    """The same arrivals as before the streams gave corrections: each batch of states, and what holds after it."""
+    day = lambda n: DAY(2024, 1, n)
+    batches = [[(day(3), "b"), (day(1), "a")], [(day(2), "a"), (day(4), "b")], [(day(2), "c")], [(day(5), "a")]]
+    holds = [[(day(1), "a", None), (day(3), "b", day(1))]] * 2
+    holds += [[(day(1), "a", None), (day(2), "c", day(1)), (day(3), "b", day(2))], [(day(1), "a", None), (day(2), "c", day(1)), (day(3), "b", day(2)), (day(5), "a", day(3))]]
+    days = {}
+    for rows_in, want in zip(batches, holds):
+        days |= {keyed_state._number(d): i for d, i in rows_in}
+        assert [(keyed_state._date(d), i, keyed_state._date(s)) for d, (i, s) in keyed_state.versions_of(days).items()] == want
+    stamped = [[(7, d, i, SEEN(n)) for d, i in batch] for n, batch in enumerate(batches, 1)]
+    log = _streamed(spark, tmp_path, stamped, "stem long, day date, items string, seen timestamp", keyed_state.versions)
+    assert rows(keyed_state.current_versions(log), "day", "items", "supersedes") == holds[-1]
+    assert [r.kind for r in log.filter("turn = 2").orderBy("day").collect()] == ["version", "correction"]
 
 
 # the market of the test tables
