@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dedup, trimming
+from ..operators import dedup, long_texts, trimming
 from ..sources import html
 from ..sources.files import payloads as built
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .views import table
 
 #: Anchors that invented prose has here and there.
@@ -56,6 +56,23 @@ def trim_budget(spark, sf):
     return table(spark, sf, "documents").select("doc_id", trimming.trim_to_budget(F.col("text"), ANCHORS, _BUDGET).alias("trimmed"))
 
 
+#: Lines of a block where texts are trimmed in pieces: few, as most of these texts are short.
+_LINES = 8
+
+
+@query(ORACLE_SQL["trim_choice"])
+def trim_in_blocks(spark, sf):
+    """As ``trim_choice``, the lines of one text dealt to many tasks."""
+    pieces = long_texts.trim_pieces(table(spark, sf, "documents"), "doc_id", "text", ANCHORS, size=_LINES)
+    return long_texts.put_together(pieces, "doc_id").withColumnRenamed("text", "trimmed")
+
+
+@query(ORACLE_SQL["trim_budget"])
+def trim_budget_in_blocks(spark, sf):
+    pieces = long_texts.trim_pieces(table(spark, sf, "documents"), "doc_id", "text", ANCHORS, budget=_BUDGET, size=_LINES)
+    return long_texts.put_together(pieces, "doc_id").withColumnRenamed("text", "trimmed")
+
+
 @query(f"WITH {_DOCS}, {_trimmed(4, 'w4')} SELECT doc_id, length(whole) AS chars, length(w4) AS kept, length(w4) * 100.0::DOUBLE / greatest(length(whole), 1) AS kept_pct, length(w4) // 4 AS tokens FROM docs JOIN w4 USING (doc_id)")
 def trim_stats(spark, sf):
     cut = trimming.window_trim(trimming.lines(F.col("text")), ANCHORS)
