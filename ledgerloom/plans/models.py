@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import model_call, recover_json
 from ..operators import benchmark
+from ..session import work_folder
+from ..sources import jobs
 from .registry import query
 from .views import table
 
@@ -76,3 +78,29 @@ def _stub(instruction: str, payload: str) -> dict:
 def model_stub_call(spark, sf):
     reply = model_call(_stub, "say")(F.col("event_type"))
     return table(spark, sf, "events").select("event_id", reply.alias("r")).select("event_id", "r.text", "r.error", F.col("r.input_tokens").alias("tokens"))
+
+
+def _reader(down: str | None):
+    """Tells the words and digits of a payload as a model's reply would; the endpoint that is down refuses."""
+
+    def call(endpoint: str, payload: str | None) -> dict:
+        if endpoint == down:
+            raise ConnectionError("down")
+        said = payload or ""
+        reply = {"words": len([w for w in said.split(" ") if w]), "digits": sum(c in "0123456789" for c in said)}
+        return {"text": f"Here it is: {reply} ".replace("'", '"'), "input_tokens": len(said), "output_tokens": 2}
+
+    return call
+
+
+@query("""WITH j AS (SELECT conv_id || ':' || turn AS job, role, conv_id % 2 = 0 AND role <> 'user' AS early, coalesce(text, '') AS t FROM (SELECT conv_id, turn, role, min(text) AS text FROM conversations GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) = 1)
+SELECT job, role AS endpoint, CASE WHEN early THEN 0 ELSE 1 END AS run, len([x FOR x IN string_split(t, ' ') IF x <> '']) AS words, length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits, length(t) AS input_tokens FROM j""")
+def resumed_jobs(spark, sf):
+    """A job a turn, in two runs of one log: half of the conversations while one endpoint is down, then all, of which the open ones are called."""
+    at = work_folder(spark)
+    turns = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("job"), F.col("role").alias("endpoint"), F.col("text").alias("payload"), (F.col("conv_id") % 2 == 0).alias("early"))
+    limits = {e: jobs.Limit(1e6, 2) for e in ("system", "user", "assistant")}
+    jobs.run_jobs(turns.filter("early"), at, _reader("user"), limits)
+    done = jobs.run_jobs(turns, at, _reader(None), limits)
+    v = F.try_parse_json(recover_json(F.col("text")))
+    return done.select("job", "endpoint", "run", F.try_variant_get(v, "$.words", "bigint").alias("words"), F.try_variant_get(v, "$.digits", "bigint").alias("digits"), "input_tokens")
