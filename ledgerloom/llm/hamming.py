@@ -13,7 +13,11 @@ met before is compared again.
 Rows with one code are one entry of the index, which holds the k smallest ids that have it: no query can need more,
 and a code that a third of all rows share stays one row.
 
-Defined cases: the vectors' width is the largest in the table, 64 at most. A null vector, or one with a null or missing
+Codes of up to 64 bits are a long, wider ones a struct of longs; no segment reaches over two of them. As a segment has about
+log2(n) bits, all its values are about n, so that even where the k-th distance is large, as in wide codes of vectors
+without neighbours, a query probes no more than n values a segment.
+
+Defined cases: the vectors' width is the largest in the table. A null vector, or one with a null or missing
 component, has no code and is neither found nor asked for. Ties in distance go to the smaller id. A query finds its own row too, at distance 0. With fewer than k coded
 rows every query returns all of them. Rows that repeat a whole row (same id and code) count once.
 """
@@ -29,8 +33,8 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, stage
 
-#: Bits of a code at most, one for each component of a vector.
-BITS = 64
+#: Bits of a code where no width is given, one for each component of a vector; and bits of one of its words.
+BITS = WORD = 64
 #: Values probed in one step, over all queries, up to which a radius is not parted into its segments.
 PROBES = 2_000_000
 K = 10
@@ -39,23 +43,39 @@ SALTS = 64
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
-    """A long whose bit i is set where component i is above 0; null unless all components are there."""
-    weight = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(bits)))
+    """Bit i is set where component i is above 0: a long, beyond 64 bits a struct of them; null unless all components are there."""
+
+    def word(at: int) -> Column:
+        weight = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(min(WORD, bits - at))))
+        part = vector if bits <= WORD else F.slice(vector, at + 1, WORD)
+        return F.aggregate(F.zip_with(part, weight, lambda x, w: F.when(x > 0, w).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
     whole = (F.size(vector) == bits) & ~F.exists(vector, lambda x: x.isNull())
-    code = F.aggregate(F.zip_with(vector, weight, lambda x, w: F.when(x > 0, w).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    words = [word(at) for at in range(0, bits, WORD)]
+    code = words[0] if bits <= WORD else F.struct(*(w.alias(f"w{i}") for i, w in enumerate(words)))
     return F.when(F.coalesce(whole, F.lit(False)), code)
 
 
+def _words(code: Column, bits: int) -> list[Column]:
+    return [code] if bits <= WORD else [code[f"w{i}"] for i in range(-(-bits // WORD))]
+
+
+def _distance(a: Column, b: Column, bits: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(_words(a, bits), _words(b, bits))])
+
+
 def _widths(n: int, bits: int = BITS) -> list[int]:
-    """Bits of each segment: about log2(n), at which a bucket holds about one of n codes."""
+    """Bits of each segment: about log2(n), at which a bucket holds about one of n codes. Each word is parted by itself."""
+    if bits > WORD:
+        return [w for at in range(0, bits, WORD) for w in _widths(n, min(WORD, bits - at))]
     segments = min(bits, max(2, min(bits // 4, round(bits / math.log2(max(n, 16))))))
     return [bits // segments + (i < bits % segments) for i in range(segments)]
 
 
 def _segments(code: Column, widths: list[int]) -> list[Column]:
     """The segments of a code, lowest bits first."""
-    starts = [sum(widths[:i]) for i in range(len(widths))]
-    return [F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in zip(starts, widths)]
+    words, starts = _words(code, sum(widths)), [sum(widths[:i]) for i in range(len(widths))]
+    return [F.shiftrightunsigned(words[at // WORD], at % WORD).bitwiseAND(F.lit((1 << w) - 1)) for at, w in zip(starts, widths)]
 
 
 def _keys(code: Column, widths: list[int]) -> Column:
@@ -75,7 +95,7 @@ def _ring(asked: DataFrame, widths: list[int], radius: int, segments: list[int])
 
 def _first_met(widths: list[int], radius: int) -> Column:
     """Whether no smaller radius, and no segment before s at this one, leads from q to the code."""
-    bits = [F.bit_count(x) for x in _segments(F.col("q").bitwiseXOR(F.col("code")), widths)]
+    bits = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(_segments(F.col("q"), widths), _segments(F.col("code"), widths))]
     return reduce(lambda a, b: a & b, [(n > radius) | ((n == radius) & (F.col("s") <= t)) for t, n in enumerate(bits)])
 
 
@@ -102,7 +122,7 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = B
         widths = _widths(entries.count(), bits)
         index = scratch.stage(entries.select("code", F.size("ids").alias("n"), F.posexplode(_keys(F.col("code"), widths)).alias("s", "v")))
         # Each query has a row of its own, without a code, among what it has found.
-        found = scratch.stage(queries.select(F.col("code").alias("q"), F.lit(None).cast("long").alias("code"), F.lit(0).alias("n"), F.lit(0).alias("d"), F.lit(bits).alias("kth")).distinct())
+        found = scratch.stage(queries.select(F.col("code").alias("q"), F.lit(None).cast(rows.schema["code"].dataType).alias("code"), F.lit(0).alias("n"), F.lit(0).alias("d"), F.lit(bits).alias("kth")).distinct())
         asked, done = found.count(), []
         nearer, all_of = Window.partitionBy("q").orderBy("d").rangeBetween(Window.unboundedPreceding, -1), Window.partitionBy("q")
         for radius in range(max(widths) + 1):
@@ -111,7 +131,7 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = B
                     break
                 probes = _ring(found.filter("code IS NULL"), widths, radius, segments)
                 # Ring sizes are not in Spark's estimates, so that it must not choose to broadcast the probes.
-                met = probes.join(index.hint("merge"), ["s", "v"]).withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
+                met = probes.join(index.hint("merge"), ["s", "v"]).withColumn("d", _distance(F.col("q"), F.col("code"), bits))
                 new = met.filter((F.col("d") <= F.col("kth")) & _first_met(widths, radius)).select("q", "code", "n", "d", "kth")
                 # Codes whose nearer codes already hold k ids are beyond the answer; equal distances stay until ids decide.
                 kept = found.unionByName(new).withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).filter(F.col("before") < k).drop("before")
@@ -134,8 +154,6 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = B
 def coded(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
     """(id, code) of every row of a table of vectors, and the codes' bits."""
     bits = table.agg(F.max(F.size(vector_col))).first()[0] or 0
-    if bits > BITS:
-        raise ValueError(f"vectors of {bits} components: codes hold {BITS} bits")
     bits = bits if bits > 0 else BITS
     return stage(table.select(F.col(id_col).alias("id"), sign_code(F.col(vector_col), bits).alias("code"))), bits
 

@@ -590,8 +590,31 @@ def test_hamming_width_is_the_tables(spark):
     vectors = spark.createDataFrame([(0, [1.0, -1.0, 1.0]), (20, [1.0, 1.0, 1.0]), (3, [1.0]), (40, None)], "vec_id long, embedding array<float>")
     rows, bits = hamming.coded(vectors)
     assert bits == 3 and {tuple(r) for r in hamming.nearest_codes(rows, rows.filter("id % 20 = 0"), 2, bits).collect()} == {(0, 1, 0, 0), (0, 2, 20, 1), (20, 1, 20, 0), (20, 2, 0, 1)}
-    with pytest.raises(ValueError):
-        hamming.coded(spark.createDataFrame([(0, [1.0] * 65)], "vec_id long, embedding array<float>"))
+
+
+@pytest.mark.parametrize(("bits", "spread"), [(65, 65), (100, 9), (128, 128), (200, 40)])
+def test_hamming_wide(spark, bits, spread):
+    """Vectors wider than one long, near ones and unrelated ones, repeated and broken ones, against brute force; extra columns clash."""
+    rng = random.Random(bits)
+    base = [rng.choice((-1.0, 1.0)) for _ in range(bits)]
+    rows = []
+    for i in range(160):
+        v = list(base)
+        for _ in range(rng.randint(0, spread)):
+            v[rng.randrange(bits)] = rng.choice((-1.0, 1.0))
+        rows.append((i, v))
+    rows += [(1000 + i, rows[0][1]) for i in range(20)] + [(2000, None), (2020, [1.0] * (bits - 1)), (2040, [None] + [1.0] * (bits - 1))]
+    wide = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], "vec_id long, embedding array<float>, q int, code int, d int")
+    codes, n = hamming.coded(wide)
+    assert n == bits
+    got = {tuple(r) for r in hamming.nearest_codes(codes, codes.filter("id % 20 = 0"), 10, bits).collect()}
+    whole = [(i, v) for i, v in rows if v and len(v) == bits and None not in v]
+    want = set()
+    for q, v in whole:
+        if q % 20 == 0:
+            near = sorted((sum(a != b for a, b in zip(v, w)), i) for i, w in whole)[:10]
+            want |= {(q, r, i, d) for r, (d, i) in enumerate(near, 1)}
+    assert got == want
 
 
 def test_hamming_odd(spark):
