@@ -44,13 +44,13 @@ def all_paths(token, model):
     import itertools
 
     ways = []
-    for char, stretched in toxicity._units(token):
+    for char, stretched, left_out in toxicity._units(token):
         if stretched:
             ways.append([(char, toxicity.STRETCHED), (char * 2, toxicity.STRETCHED)])
         elif char.isalpha():
             ways.append([(char, 0.0)])
         elif char in toxicity.LOOKALIKES:
-            ways.append([*((x, toxicity.LOOKALIKE) for x in toxicity.LOOKALIKES[char]), ("", toxicity.IGNORED)])
+            ways.append([*((x, toxicity.LOOKALIKE) for x in toxicity.LOOKALIKES[char]), ("", left_out)])
         else:
             ways.append([("", 0.0), (" ", toxicity.WORD_GAP)])
     best = (-np.inf, "")
@@ -75,3 +75,20 @@ def test_restoring_is_the_best_of_all_paths(model, token):
 def test_a_lookalike_at_any_place(model, token, word):
     assert word in toxicity.Restorer(model)(token)
     assert toxicity.Restorer(model)("2024 17 plain") == {"plain"}
+
+
+@pytest.fixture(scope="module")
+def corpus_model(spark):
+    return toxicity.letter_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+@pytest.mark.parametrize(
+    "spelled", ["1d10t", "ID1OT!", "1diot", "id10t", "1d1ot", "i...d...i...o...t", "i.d.i.o.t", "what i d 1 o t then", "!d!ot"]
+)
+def test_spellings_under_the_letters_of_the_documents(corpus_model, spelled):
+    assert "idiot" in toxicity.Restorer(corpus_model)(spelled)
+
+
+@pytest.mark.parametrize("spelled, word", [("6ood", "good"), ("$tup1d", "stupid"), ("l053r", "loser"), ("w0r7hl3ss", "worthless"), ("tr@5h", "trash"), ("covid19", "covid"), ("m o r", "mor"), ("clown!!", "clown"), ("$cum", "scum")])
+def test_other_spellings(corpus_model, spelled, word):
+    assert word in toxicity.Restorer(corpus_model)(spelled)
