@@ -1,25 +1,32 @@
-"""License scans: whole texts are brought to a canonical form, and their digests joined with those of known texts.
+"""License scans: texts are brought to a canonical form, and their digests joined with those of known texts.
 
 Canonical: lower case, copyright lines gone, equivalent spellings folded, everything but letters and digits one
-space. A text matches if its canonical form equals a known one entirely. The units scanned are each document as a
-whole, each of its lines, as notices stand on lines of their own, and for the entire licences in ``licenses/`` every run
-of words, so that lines may be wrapped or marked as comments and other text may stand around. A line that begins with
-copyright, as one of another wrapping may by chance, is dropped on both sides as always.
-
-Defined cases: a null text counts as empty; a unit without letters or digits matches nothing. Lines that repeat in
+space. The units scanned are each document as a whole and runs of its words: where the first words of a known text
+stand, the digest of the run that is as long as that text is taken, and joined. A notice counts where its run begins a
+line and ends one, the same or a later one, as notices stand on lines of their own and may be wrapped or marked as
+comments. An entire licence of ``licenses/`` counts wherever its run stands. First words are met by one automaton over
+all of them, so that the work on a text does not grow with the list. A line that begins with copyright, as one of
+another wrapping may by chance, is dropped on both sides as always.
+
+Defined cases: a null text counts as empty; a unit without letters or digits matches nothing. Runs that repeat in
 a document count each time. Rows that repeat are scanned each on its own. The result has a row for every document.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import broadcast_if_small, documents, release, text_or_empty
 
+#: Words of a known text by which its runs are looked for.
+HEAD_WORDS = 8
 #: Known notices and short licence texts, by identifier.
 KNOWN = {
     "MIT": [
@@ -57,19 +64,17 @@ COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n
 NOT_WORD = r"[^a-z0-9]+"
 
 
-def canonical(text: Column) -> Column:
-    bare = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+def canonical_lines(text: Column) -> Column:
+    """Canonical text whose lines, those without a word left out, are still apart."""
+    bare = F.replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), F.lit("\n"), F.lit(" \n "))
     # Two spaces between words, so that each has its own on either side and neighbours are folded alike.
-    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, NOT_WORD, "  "), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, r"[^a-z0-9\n]+", "  "), F.lit(" "))
     folded = reduce(lambda c, ab: F.replace(c, F.lit(f" {ab[0]} "), F.lit(f" {ab[1]} ")), SPELLINGS, spaced)
-    return F.trim(F.replace(folded, F.lit("  "), F.lit(" ")))
+    return F.trim(F.regexp_replace(F.replace(folded, F.lit("  "), F.lit(" ")), " *\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def known_digests(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> DataFrame:
-    """(license, digest) of a fixed list, made with the same expression as the corpus side."""
-    texts = F.array(*(F.struct(F.lit(k).alias("license"), F.lit(t).alias("t")) for k, v in known.items() for t in v))
-    listed = spark.range(1).select(F.explode(texts).alias("x"))
-    return listed.select("x.license", F.sha2(canonical(F.col("x.t")), 256).alias("digest")).dropDuplicates(["digest"])
+def canonical(text: Column) -> Column:
+    return F.translate(canonical_lines(text), "\n", " ")
 
 
 #: What stands above an entire licence, apart from copyright lines.
@@ -88,47 +93,75 @@ def license_files() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     return terms, forms
 
 
-def entire_licenses(spark: SparkSession) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """The same in canonical form."""
-    clean = lambda rows: [tuple(r) for r in spark.createDataFrame(rows, "license string, t string").select("license", canonical(F.col("t"))).collect()]
+def known_texts(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> list[tuple[str, str, str]]:
+    """(kind, license, canonical text) of the whole list; kinds are notice, terms and form."""
     terms, forms = license_files()
-    return clean(terms), clean(forms)
-
-
-def _spaced(words: str) -> str:
-    return f" {words.replace(' ', '  ')} "
-
-
-def _occurrences(c: Column, words: str) -> Column:
-    """How often the words stand in canonical text; doubled spaces let neighbours touch."""
-    doubled = F.replace(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(" "), F.lit("  "))
-    cut = F.length(doubled) - F.length(F.replace(doubled, F.lit(_spaced(words)), F.lit("")))
-    return F.when(F.contains(c, F.lit(words)), (cut / len(_spaced(words))).cast("long")).otherwise(F.lit(0).cast("long"))
+    rows = [("notice", k, t) for k, v in known.items() for t in v] + [("terms", *x) for x in terms] + [("form", *x) for x in forms]
+    read = spark.createDataFrame(rows, "kind string, license string, t string").select("kind", "license", canonical(F.col("t")).alias("c"))
+    return [tuple(r) for r in read.filter("c <> ''").collect()]
+
+
+def _digest(words: str) -> str:
+    return hashlib.sha256(words.encode()).hexdigest()
+
+
+def _run_finder(texts: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of id, row and canonical lines to their digests: of the whole, and of runs that begin as one of the texts does."""
+    lengths: dict[str, set[int]] = {}
+    for t in texts:
+        lengths.setdefault(" ".join(t.split(" ")[:HEAD_WORDS]), set()).add(len(t))
+
+    def runs_of(lines: str, heads) -> list[dict]:  # noqa: ANN001
+        flat, found = f" {lines.translate({10: 32})} ", []
+        edges = f"\n{lines}\n"
+        for last, head in heads.iter(flat):
+            begin = last - len(head)
+            for n in lengths[head]:
+                end = begin + n
+                if flat[end : end + 1] == " ":
+                    found.append({"digest": _digest(flat[begin:end]), "lined": edges[begin - 1] == edges[end] == "\n"})
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        heads = ahocorasick.Automaton()
+        for head in lengths:
+            heads.add_word(f" {head} ", head)
+        heads.make_automaton()
+        kind = pa.list_(pa.struct([("digest", pa.string()), ("lined", pa.bool_())]))
+        for batch in batches:
+            wholes, runs = [], []
+            for value in batch.column("c"):  # one text at a time
+                lines = value.as_py()
+                wholes.append(_digest(lines.replace("\n", " ")))
+                runs.append(runs_of(lines, heads) if len(heads) else [])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(wholes, pa.string()), pa.array(runs, kind)], ["doc_id", "row", "text_sha256", "runs"])
+        release()
+
+    return run
+
+
+def _by_digest(spark: SparkSession, rows: list[tuple], name: str) -> DataFrame:
+    """digest, name, anywhere of a list of (kind, license, canonical text); the first name of equal texts."""
+    made = spark.createDataFrame([(_digest(c), k, kind == "terms") for kind, k, c in rows], f"digest string, {name} string, anywhere boolean")
+    return broadcast_if_small(made.groupBy("digest").agg(F.min(name).alias(name), F.max("anywhere").alias("anywhere")))
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, known: dict[str, list[str]] = KNOWN) -> DataFrame:
-    """doc_id, text_sha256 (canonical whole text), text_license (or null), n_notices, licenses (of lines, entire licences and the whole, sorted)."""
-    digests = F.broadcast(known_digests(spark, known))  # as many rows as the fixed list has at most
-    base = docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    terms, forms = entire_licenses(spark)
-    entire = spark.createDataFrame(forms, "license string, t string").select("license", F.sha2("t", 256).alias("digest"))
-    wholes = F.broadcast(known_digests(spark, known).unionByName(entire).dropDuplicates(["digest"]))
-    counts = F.array(*(F.struct(F.lit(k).alias("license"), _occurrences(F.col("c"), t).alias("n")) for k, t in terms))
-    whole = base.withColumn("c", canonical(F.col("text"))).select("doc_id", "row", "text", F.sha2("c", 256).alias("whole"), F.filter(counts, lambda x: x["n"] > 0).alias("entire"))
-    units = whole.select("doc_id", "row", "whole", "entire", F.explode(F.split("text", "\n")).alias("line"))
-    lines = units.withColumn("c", canonical(F.col("line"))).withColumn(
-        "digest", F.when(F.col("c") != "", F.sha2("c", 256))
-    )
-    hits = lines.join(digests.withColumnRenamed("license", "line_license"), "digest", "left")
-    per_doc = hits.groupBy("row", "doc_id", "whole", "entire").agg(
-        F.count("line_license").alias("n_lines"), F.collect_set("line_license").alias("found")
-    ).withColumns({
-        "n_notices": F.col("n_lines") + F.aggregate("entire", F.lit(0).cast("long"), lambda n, x: n + x["n"]),
-        "found": F.array_union("found", F.transform("entire", lambda x: x["license"])),
-    })
-    joined = per_doc.join(wholes.withColumnsRenamed({"digest": "whole", "license": "text_license"}), "whole", "left")
+    """doc_id, text_sha256 (canonical whole text), text_license (or null), n_notices, licenses (of runs and the whole, sorted)."""
+    listed = known_texts(spark, known)
+    parts = [x for x in listed if x[0] != "form"]
+    by_run, by_whole = _by_digest(spark, parts, "run_license"), _by_digest(spark, [x for x in listed if x[0] != "terms"], "text_license").drop("anywhere")
+    base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), canonical_lines(text_or_empty()).alias("c"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = base.mapInArrow(_run_finder([c for _, _, c in parts]), f"doc_id {kind}, row long, text_sha256 string, runs array<struct<digest:string,lined:boolean>>")
+    runs = found.select("doc_id", "row", "text_sha256", F.explode_outer("runs").alias("run")).select("doc_id", "row", "text_sha256", "run.*")
+    hits = runs.join(by_run, "digest", "left").withColumn("run_license", F.when(F.col("anywhere") | F.col("lined"), F.col("run_license")))
+    per_doc = hits.groupBy("row", "doc_id", "text_sha256").agg(F.count("run_license").alias("n_notices"), F.collect_set("run_license").alias("found"))
+    joined = per_doc.join(by_whole.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
     named = F.array_union("found", F.array_compact(F.array("text_license")))
-    return joined.select("doc_id", F.col("whole").alias("text_sha256"), "text_license", "n_notices", F.array_join(F.sort_array(named), ",").alias("licenses"))
+    return joined.select("doc_id", "text_sha256", "text_license", "n_notices", F.array_join(F.sort_array(named), ",").alias("licenses"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +169,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in SQL; spellings are folded word by word, and entire licences counted by cutting texts at them."""
+    """The same in SQL; spellings are folded word by word, notices are held against texts from the lines that they begin with, and entire licences counted by cutting texts at them."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     rows = lambda pairs: ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in pairs)
     spelling = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS) + " ELSE w END"
@@ -148,14 +181,16 @@ def _sql() -> str:
     terms, forms = license_files()
     double = lambda c: f"' ' || replace({c}, ' ', '  ') || ' '"
     return f"""
-WITH notices AS (SELECT min(license) AS license, sha256({canon("t")}) AS digest FROM (VALUES {rows((k, t) for k, v in KNOWN.items() for t in v)}) AS k(license, t) GROUP BY ALL),
+WITH notices AS (SELECT min(license) AS license, {canon("t")} AS t, sha256({canon("t")}) AS digest FROM (VALUES {rows((k, t) for k, v in KNOWN.items() for t in v)}) AS k(license, t) GROUP BY ALL),
 known AS (SELECT min(license) AS license, digest FROM
-          (SELECT * FROM notices UNION ALL SELECT license, sha256({canon("t")}) FROM (VALUES {rows(forms)}) AS k(license, t)) GROUP BY digest),
+          (SELECT license, digest FROM notices UNION ALL SELECT license, sha256({canon("t")}) FROM (VALUES {rows(forms)}) AS k(license, t)) GROUP BY digest),
 terms AS (SELECT license, {canon("t")} AS t FROM (VALUES {rows(terms)}) AS k(license, t)),
 base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 whole AS (SELECT *, sha256(c) AS text_sha256 FROM (SELECT base.*, {canon("text")} AS c FROM base)),
-units AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM base),
-hits AS (SELECT r, license FROM (SELECT r, {canon("line")} AS c FROM units) JOIN notices ON c <> '' AND sha256(c) = digest),
+split AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM base),
+units AS (SELECT r, c, sum(length(c) + 1) OVER (PARTITION BY r ORDER BY i) AS upto FROM (SELECT r, i, {canon("line")} AS c FROM split) WHERE c <> ''),
+begun AS (SELECT r, license, t, upto - length(units.c) AS "begin", whole.c FROM units JOIN notices ON starts_with(t, units.c) JOIN whole USING (r)),
+hits AS (SELECT begun.r, license FROM begun JOIN units ON units.r = begun.r AND upto = "begin" + length(t) WHERE substr(begun.c, "begin"::BIGINT, length(t)) = t),
 entire AS (SELECT r, license, len(string_split({double("c")}, {double("t")})) - 1 AS n FROM whole JOIN terms ON contains(c, t)),
 found AS (SELECT r, license, 1 AS n FROM hits UNION ALL SELECT * FROM entire WHERE n > 0 UNION ALL
          SELECT r, license, 0 FROM whole JOIN known ON text_sha256 = digest)
