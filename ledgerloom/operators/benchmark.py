@@ -48,8 +48,14 @@ def digits(s: Column) -> Column:
 
 def grounded(value: Column, source: Column) -> Column:
     """Whether every number of two digits or more is in the source's digits; without such, whether the text is."""
-    numbers = F.filter(F.transform(F.regexp_extract_all(value, F.lit(r"(\d[\d.,]*)"), F.lit(1)), digits), lambda n: F.length(n) >= 2)
-    return F.when(F.size(numbers) > 0, F.forall(numbers, lambda n: F.contains(digits(source), n))).otherwise(F.contains(F.lower(source), F.lower(value)))
+    return grounded_in(value, digits(source), F.lower(source))
+
+
+def grounded_in(value: Column, source_digits: Column, source_low: Column) -> Column:
+    """The same against a source whose digits and lower case are at hand. Spaces inside a number belong to it."""
+    numbers = F.filter(F.transform(F.regexp_extract_all(value, F.lit(r"(\d[\d.,\s]*\d|\d)"), F.lit(1)), digits), lambda n: F.length(n) >= 2)
+    bare = F.trim(F.lower(value), F.lit(" \t\n\r\x0b\f"))
+    return F.when(F.size(numbers) > 0, F.forall(numbers, lambda n: F.contains(source_digits, n))).otherwise(F.contains(source_low, bare))
 
 
 def cost_totals(calls: DataFrame, cost: str = "cost") -> DataFrame:

@@ -79,19 +79,24 @@ def compiled(schema: dict, value: Column, place: Column | None = None) -> Column
     return F.concat(*parts) if parts else nothing
 
 
-def schema_errors(records: DataFrame, schema: dict, key: str = "stem", value: str = "record", most: int = 5, passed_over: tuple[str, ...] = ()) -> DataFrame:
-    """key, path, message: the first ``most`` errors of each record, by path. ``value`` is a VARIANT.
+def first_errors(v: Column, schema: dict, most: int = 5, passed_over: tuple[str, ...] = ()) -> Column:
+    """array<struct<path, message>>: the first ``most`` errors of a VARIANT, by path.
 
-    Members named in ``passed_over`` need not be there. A record that is no object has one error, at ``<root>``; null is none.
+    Members named in ``passed_over`` need not be there. What is no object has one error, at ``<root>``; null is none.
     Paths join names and numbers of items by ``/``.
     """
     judged = {**schema, "required": [r for r in schema.get("required", []) if r not in passed_over]}
-    v = F.col(value)
     root = F.array(F.struct(F.array().cast("array<string>").alias("place"), F.concat(F.lit("record is not a JSON object but "), F.when(v.isNull(), "null").otherwise(json_type(v))).alias("message"))).cast(_ERROR)
     found = F.when(v.isNotNull() & (json_type(v) == "object"), compiled(judged, v)).otherwise(root)
-    first = records.select(key, F.explode(F.slice(F.array_sort(found), 1, most)).alias("e"))
-    shown = F.array_join(F.transform("e.place", lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")), "/")
-    return first.select(key, F.when(shown == "", "<root>").otherwise(shown).alias("path"), F.col("e.message").alias("message"))
+    shown = lambda place: F.array_join(F.transform(place, lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")), "/")
+    path = lambda place: F.when(F.size(place) == 0, "<root>").otherwise(shown(place))
+    return F.transform(F.slice(F.array_sort(found), 1, most), lambda e: F.struct(path(e["place"]).alias("path"), e["message"].alias("message")))
+
+
+def schema_errors(records: DataFrame, schema: dict, key: str = "stem", value: str = "record", most: int = 5, passed_over: tuple[str, ...] = ()) -> DataFrame:
+    """key, path, message: the first ``most`` errors of each record, as ``first_errors`` gives them. ``value`` is a VARIANT."""
+    found = records.select(key, F.explode(first_errors(F.col(value), schema, most, passed_over)).alias("e"))
+    return found.select(key, "e.path", "e.message")
 
 
 def well_typed(values: Column, kind: str = "object") -> Column:
