@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructField
 from ..functions.scores import included_count
 from ..functions.text import item_key
 from .dedup import keep
+from .trimming import _bound
 
 MISMATCH = 0.5
 
@@ -86,11 +87,12 @@ def united_items(items: DataFrame, by: str = "stem", item: str = "item", run: st
 
 
 def united_lists(first: Column, second: Column) -> Column:
-    """Two lists of one row united in order, the first spelling of each item."""
+    """Two lists of one row united in order, the first spelling of each item; keys are made once and sorted, so that long lists stay cheap."""
     both = F.filter(F.concat(F.coalesce(first, F.array()), F.coalesce(second, F.array())), lambda x: x.isNotNull())
-    keys = F.transform(both, item_key)
-    pairs = F.transform(both, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.element_at(keys, i + 1).alias("k")))
-    return F.transform(F.filter(pairs, lambda p: (p["k"] != "") & (F.array_position(keys, p["k"]) == p["i"] + 1)), lambda p: p["x"])
+    keyed = F.sort_array(F.transform(both, lambda x, i: F.struct(item_key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    new = lambda ps: lambda p, n: (p["k"] != "") & (p["k"] != F.coalesce(F.get(ps, n - 1)["k"], F.lit("")))
+    firsts = _bound(keyed, lambda ps: F.transform(F.filter(ps, new(ps)), lambda p: F.struct(p["i"], p["x"])))
+    return F.transform(F.sort_array(firsts), lambda p: p["x"])
 
 
 def merge_runs(runs: DataFrame, by: str = "stem", run: str = "run", size: str = "size", items: str = "items") -> DataFrame:
@@ -126,6 +128,7 @@ def reconcile(prior: DataFrame, fresh: DataFrame, lists: list[str], by: str = "s
     counted = lambda d: d.withColumns({"__n_modules": F.coalesce(included_count(F.col("modules")), F.lit(0)), "__n_coverage": filled_count(d, "coverage")})
     p = counted(prior).select(by, *(F.col(c).alias(f"p_{c}") for c in ("modules", "coverage", "__n_modules", "__n_coverage", *lists, *scalars)))
     j = counted(fresh).join(p, by, "left")
+    j = j.withColumns({f"__{c}": united_lists(F.col(c), F.col(f"p_{c}")) for c in lists})
     out, notes = {}, []
     for c in ("modules", "coverage"):
         more = F.coalesce(F.col(f"p___n_{c}") > F.col(f"__n_{c}"), F.lit(False))
@@ -133,7 +136,7 @@ def reconcile(prior: DataFrame, fresh: DataFrame, lists: list[str], by: str = "s
         notes.append(F.when(more, F.concat(F.lit(f"{c} "), F.col(f"__n_{c}").cast("string"), F.lit("->"), F.col(f"p___n_{c}").cast("string"))))
     for c in lists:
         size = F.coalesce(F.size(c), F.lit(0))
-        out[c] = united_lists(F.col(c), F.col(f"p_{c}"))
+        out[c] = F.col(f"__{c}")
         notes.append(F.when(F.size(out[c]) != size, F.concat(F.lit(f"{c} "), size.cast("string"), F.lit("->"), F.size(out[c]).cast("string"))))
     for c in scalars:
         missing = (F.coalesce(c, F.lit("")) == "") & (F.coalesce(f"p_{c}", F.lit("")) != "")
