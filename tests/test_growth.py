@@ -1,9 +1,12 @@
 """What larger tables have broken or made slow."""
 
+import datetime
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from ledgerloom.streaming import keyed_state
 
 
 def against_sql(spark, folder, name, **tables):
@@ -28,3 +31,18 @@ def parts(spark, n, stems=3):
 
 def test_lists_of_other_lengths_are_united_row_by_row(spark, tmp_path):
     assert against_sql(spark, tmp_path, "reconcile_merge", part=parts(spark, 3000)) == []
+
+
+def test_streams_do_not_depend_on_the_groups_of_keys(spark, tmp_path):
+    """Many keys share a group's state: late and waiting days of each are its own."""
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    batches = [[(k, at((7 * k + 11 * i + 40 * b) % 90 + 30 * b), float((k * i) % 4)) for k in range(20) for i in range(6)] for b in range(2)]
+    logs = []
+    for groups in (1, 50):
+        for batch in batches:
+            df = spark.createDataFrame(batch, "stem long, at timestamp, price double")
+            df.write.mode("append").parquet(f"{tmp_path}/in{groups}")
+            stream = keyed_state.price_events(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in{groups}"), "20 days", groups=groups)
+            keyed_state.drained(stream, f"{tmp_path}/out{groups}", f"{tmp_path}/check{groups}")
+        logs.append(sorted(map(str, spark.read.parquet(f"{tmp_path}/out{groups}").collect())))
+    assert logs[0] == logs[1] and len(logs[0]) > 20
