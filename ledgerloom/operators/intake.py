@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import slug, url_decoded, url_slug
+from .trimming import _bound
 
 #: Words of a link or its text that tell a kind of document, the first that is found; None is no document of a product.
 LINK_WORDS = (("erstinformation", None), ("versicherungsbedingungen", "avb"), ("avb", "avb"), ("informationsblatt", "produktinfoblatt"), ("ipid", "produktinfoblatt"))
@@ -20,25 +21,41 @@ def file_identity(file: Column, prefixes: list[tuple[str, str]], insurers: dict[
 
     Blanks and underscores part words. A prefix counts only as whole words, the first of the list wins; the insurer is the
     first known word, else the first that is no boilerplate, which a warning says; the tariff is what is left. Null is the
-    empty name: no doctype, both names unknown.
+    empty name: no doctype, both names unknown. Each step is computed once for a name.
     """
     name = F.regexp_replace(F.coalesce(url_decoded(file), file, F.lit("")), r"(?i)\.pdf$", "")
     name = F.trim(F.regexp_replace(name, "[ _]+", "_"), F.lit("_"))
-    begins = lambda p: F.startswith(F.concat(F.lower(name), F.lit("_")), F.lit(f"{p}_"))
-    told = F.coalesce(*(F.when(begins(p), F.struct(F.lit(d).alias("doctype"), F.lit(len(p)).alias("n"))) for p, d in prefixes))
-    rest = F.ltrim(F.substr(name, F.coalesce(told["n"], F.lit(0)) + 1), F.lit("_ -"))
-    words = F.filter(F.split(rest, "_"), lambda w: w != "")
     names = F.create_map(*(F.lit(x) for pair in insurers.items() for x in pair)) if insurers else F.create_map().cast("map<string,string>")
     plain = lambda w: ~F.lower(w).isin(boilerplate)
-    known = F.try_element_at(F.filter(words, lambda w: F.lower(w).isin(list(insurers))), F.lit(1))
-    guess = F.try_element_at(F.filter(words, plain), F.lit(1))
-    of = F.lower(F.coalesce(known, guess))
-    insurer = F.coalesce(F.try_element_at(names, F.lower(known)), F.nullif(url_slug(guess), F.lit("")))
-    left = F.filter(words, lambda w: plain(w) & ~F.lower(w).eqNullSafe(of))
-    tariff = F.coalesce(F.nullif(url_slug(F.array_join(left, "-")), F.lit("")), F.lit("unbenannt"))
-    warnings = F.array_compact(F.array(F.when(told.isNull(), "unknown document type"), F.when(known.isNull() & insurer.isNotNull(), "insurer guessed")))
-    stem = F.concat(F.coalesce(insurer, F.lit("unbekannt")), F.lit("__"), tariff)
-    return F.struct(told["doctype"].alias("doctype"), insurer.alias("insurer"), tariff.alias("tariff"), stem.alias("stem"), warnings.alias("warnings"))
+
+    def parted(name: Column) -> Column:
+        begins = lambda p: F.startswith(F.concat(F.lower(name), F.lit("_")), F.lit(f"{p}_"))
+        told = F.coalesce(*(F.when(begins(p), F.struct(F.lit(d).alias("doctype"), F.lit(len(p)).alias("n"))) for p, d in prefixes))
+        return _bound(told, lambda t: _bound(F.filter(F.split(_rest(name, t["n"]), "_"), lambda w: w != ""), lambda ws: guessed(t["doctype"], ws)))
+
+    def guessed(doctype: Column, words: Column) -> Column:
+        known = F.try_element_at(F.filter(words, lambda w: F.lower(w).isin(list(insurers))), F.lit(1))
+        guess = F.try_element_at(F.filter(words, plain), F.lit(1))
+        both = F.struct(known.alias("known"), guess.alias("guess"))
+        return _bound(both, lambda b: read(doctype, words, b["known"], b["guess"]))
+
+    def read(doctype: Column, words: Column, known: Column, guess: Column) -> Column:
+        of = F.lower(F.coalesce(known, guess))
+        insurer = F.coalesce(F.try_element_at(names, F.lower(known)), F.nullif(url_slug(guess), F.lit("")))
+        left = F.filter(words, lambda w: plain(w) & ~F.lower(w).eqNullSafe(of))
+        tariff = F.coalesce(F.nullif(url_slug(F.array_join(left, "-")), F.lit("")), F.lit("unbenannt"))
+        return _bound(F.struct(insurer.alias("insurer"), tariff.alias("tariff")), lambda r: told_of(doctype, known, r["insurer"], r["tariff"]))
+
+    def told_of(doctype: Column, known: Column, insurer: Column, tariff: Column) -> Column:
+        warnings = F.array_compact(F.array(F.when(doctype.isNull(), "unknown document type"), F.when(known.isNull() & insurer.isNotNull(), "insurer guessed")))
+        stem = F.concat(F.coalesce(insurer, F.lit("unbekannt")), F.lit("__"), tariff)
+        return F.struct(doctype.alias("doctype"), insurer.alias("insurer"), tariff.alias("tariff"), stem.alias("stem"), warnings.alias("warnings"))
+
+    return _bound(name, parted)
+
+
+def _rest(name: Column, n: Column) -> Column:
+    return F.ltrim(F.substr(name, F.coalesce(n, F.lit(0)) + 1), F.lit("_ -"))
 
 
 def orphans(found: DataFrame, known: DataFrame) -> DataFrame:

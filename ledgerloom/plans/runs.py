@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intake, reports
+from ..session import work_folder
 from .registry import query
 from .views import ITEMS, MODULE_ROWS, REFERENCE, TARIFFS, items, modules, table, tariffs
 
@@ -16,11 +17,18 @@ g AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'avb' WHEN 1 THEN 'produktin
   array_to_string(list_concat(CASE WHEN p_size % 3 = 2 THEN ['unknown document type'] ELSE [] END, CASE WHEN key IN ('brand#1', 'bolt') THEN [] ELSE ['insurer guessed'] END), '; ') AS warnings FROM f)"""
 
 
-def _files(spark, sf):
+def _names(spark, sf):
     """Names with prefixes in both cases, blanks and underscores, a legal form where no prefix stands."""
     begins = F.when(F.col("p_size") % 3 == 0, "AVB_").when(F.col("p_size") % 3 == 1, "pib ").otherwise("GmbH__")
-    file = F.concat(begins, "p_brand", F.lit(" "), "p_name", F.lit(".pdf"))
-    return table(spark, sf, "part").select("p_partkey", intake.file_identity(file, _PREFIXES, _KNOWN, ["gmbh", "ag"]).alias("f")).select("p_partkey", "f.*")
+    return table(spark, sf, "part").select("p_partkey", F.concat(begins, "p_brand", F.lit(" "), "p_name", F.lit(".pdf")).alias("file"))
+
+
+def _identity():
+    return intake.file_identity(F.col("file"), _PREFIXES, _KNOWN, ["gmbh", "ag"]).alias("f")
+
+
+def _files(spark, sf):
+    return _names(spark, sf).select("p_partkey", _identity()).select("p_partkey", "f.*")
 
 
 @query(f"WITH {_FILES} SELECT p_partkey, doctype, insurer, tariff, insurer || '__' || tariff AS stem, warnings FROM g")
@@ -30,7 +38,10 @@ def file_identities(spark, sf):
 
 @query(f"WITH {_FILES} SELECT DISTINCT insurer || '__' || tariff AS stem FROM g WHERE insurer <> 'bolts'")
 def orphan_stems(spark, sf):
-    found = _files(spark, sf)
+    """Each name is read once, however many files bear it; put down, as filters on what it says would read it again for every file."""
+    at = work_folder(spark)
+    _names(spark, sf).select("file").distinct().select(_identity()).select("f.insurer", "f.stem").write.parquet(at)
+    found = spark.read.parquet(at)
     return intake.orphans(found, found.filter("insurer = 'bolts'"))
 
 

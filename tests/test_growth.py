@@ -46,3 +46,9 @@ def test_streams_do_not_depend_on_the_groups_of_keys(spark, tmp_path):
             keyed_state.drained(stream, f"{tmp_path}/out{groups}", f"{tmp_path}/check{groups}")
         logs.append(sorted(map(str, spark.read.parquet(f"{tmp_path}/out{groups}").collect())))
     assert logs[0] == logs[1] and len(logs[0]) > 20
+
+
+def test_names_of_files_are_read_once(spark):
+    """Before, filters on what names say were pushed below their parsing, and read each name again for every file."""
+    found = __spark_entry__.queries()["orphan_stems"](spark, "/root/testdata/sf0.001")
+    assert "p_brand" not in found._jdf.queryExecution().optimizedPlan().toString()
