@@ -7,8 +7,8 @@ multiplicities; it is one plan over the whole corpus, not one for each task. Eve
 rank among the pieces of its length, which is the sum of two counts: within its task and over the tasks before it.
 
 Tokenising goes run by run behind a bounded memory of encoded runs: the tokenizer never joins what its pre-tokenisation
-parts, so the ids are those of the whole text. Special tokens that stand in a text have their own ids, as the tokenizer
-gives them.
+parts, so the ids are those of the whole text. Runs go to the tokenizer's model, past the steps before it, whose work is
+done here. Special tokens that stand in a text have their own ids, as the tokenizer gives them.
 
 Defined cases: a null text counts as empty and becomes the end id alone. Documents of any length are cut, none is
 dropped. Rows that repeat are packed each on its own. An empty table gives no sequences.
@@ -42,6 +42,11 @@ _RUNS = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^{_WHITE}{
 _FAR = re.compile("[\u0250-\U0010ffff]")
 _SPACE = re.compile("[" + _WHITE + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
 
+#: Characters that the byte-level alphabet writes otherwise: bytes that are no printable ASCII, in UTF-8, each as one letter.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTER = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)).difference(_PRINTED)))}
+_SPELT = {c: "".join(map(_LETTER.__getitem__, chr(c).encode())) for c in range(0x250)}
+
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 
 
@@ -54,24 +59,25 @@ def _latin(text: str) -> bool:
     return True
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """text -> little-endian 32-bit ids, exactly those of the tokenizer for the whole text.
 
-    The lower-cased runs that the tokenizer's pre-tokenisation cuts a text into repeat often, and only those that
-    are not remembered reach the tokenizer. Below U+0250 nothing composes, so that runs can be cut here; words with
-    other characters are encoded whole.
+    The lower-cased runs that the tokenizer's pre-tokenisation cuts a text into repeat often; the mapping holds the ids of
+    those that are remembered, and only the others are encoded. Below U+0250 nothing composes, so that runs can be cut here
+    and spelt for the tokenizer's model; words with other characters are encoded whole by the tokenizer.
     """
 
     _loaded: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; small batches cost more over threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokens = self.tokenizer.model.tokenize
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.at_special = re.compile(f"({'|'.join(map(re.escape, self.specials)) or '(?!)'})").split
-        self.runs: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -87,24 +93,28 @@ class WordEncoder:
         words = ((w, w.lower()) for w in _SPACE.split(text) if w)
         return [r for w, low in words for r in ([w] if _FAR.search(w) or _FAR.search(low) else _RUNS.findall(low))]
 
+    def encoded(self, run: str) -> bytes:
+        if run in self.specials or not run.isascii() and (_FAR.search(run) or _FAR.search(run.lower())):
+            ids = self.tokenizer.encode(run, add_special_tokens=False).ids
+        else:
+            spelt = run if run.isascii() and run.isprintable() else run.translate(_SPELT)
+            ids = [t.id for t in self.tokens(spelt)]
+        return array("I", ids).tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.encoded(run)
+        if len(run) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[run] = ids
+        return ids
+
     def __call__(self, text: str) -> bytes:
         if any(map(text.__contains__, self.specials)):  # they come at odd places
             runs = [r for i, p in enumerate(self.at_special(text)) for r in ([p] if i % 2 else self.cut(p))]
         else:
             runs = self.cut(text)
-        known = self.runs
-        missing = list(set(runs).difference(known))
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(runs))
-            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            known.update((r, array("I", e.ids).tobytes()) for r, e in zip(missing, encoded))
-        out = b"".join(map(known.__getitem__, runs))
-        for r in missing:
-            if len(r) > LONGEST_REMEMBERED:
-                del known[r]
-        return out
+        return b"".join(map(self.__getitem__, runs))
 
 
 def _tokenised(path: str, capacity: int, end_id: int, with_ids: bool):

@@ -384,6 +384,16 @@ def test_ids_are_the_tokenizers():
         assert same(text := "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))), text
 
 
+def test_runs_go_past_the_steps_before_the_model():
+    tokenizer, encode = Tokenizer.from_file(WORD_BPE), packing.WordEncoder(WORD_BPE)
+    text = "Ünder Straße, naïve — no: 12½ \x1f\x7f\xad Ɏ's " + "x" * 60 + "".join(c for c in map(chr, range(0x21, 0x250)) if max(c.lower()) < "\u0250")
+    near = text.replace("—", "-")
+    far, want = encode(text), [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, near)]
+    encode.clear()
+    encode.tokenizer = None  # for characters from U+0250 on and special tokens alone
+    assert [np.frombuffer(x, "<u4").tolist() for x in (far, encode(near))] == want
+
+
 def test_packing_odd(odd, none):
     rows = packing.pack(odd, WORD_BPE, 64).collect()
     check_places(rows, 64)
