@@ -163,7 +163,7 @@ def unfenced(s: Column) -> Column:
 
 def dehyphenated(s: Column) -> Column:
     """Words that a line break split at a hyphen, joined again where the rest begins in lower case."""
-    return F.regexp_replace(s, "([A-Za-zÀ-ÿ])-\n([a-zà-ÿ])", "$1$2")
+    return F.when(F.contains(s, F.lit("-\n")), F.regexp_replace(s, "([A-Za-zÀ-ÿ])-\n([a-zà-ÿ])", "$1$2")).otherwise(s)
 
 
 #: The entities that pages use.

@@ -43,7 +43,7 @@ def disagreement(found: DataFrame, subject: str = "tariff", model: str = "model"
 
 
 def digits(s: Column) -> Column:
-    return F.regexp_replace(s, r"\D", "")
+    return F.regexp_replace(s, r"\D+", "")
 
 
 def grounded(value: Column, source: Column) -> Column:

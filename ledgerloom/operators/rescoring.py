@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from .benchmark import digits, grounded_in
 from .reports import run_name
 from .shapes import first_errors, json_type
@@ -61,7 +62,7 @@ def fed_sources(runs: DataFrame, documents: DataFrame, anchors: str, trimmed: st
     kinds = asked.withColumn("doctype", F.explode(F.array_distinct(F.split("variant", r"\+"))))
     cut = (F.col("filter") != "none") & (F.col("doctype") == trimmed)
     text = F.coalesce(F.when(cut, trim(F.col("text"), anchors)).otherwise(F.col("text")), F.lit(""))
-    fed = kinds.join(documents, ["tariff", "doctype"]).select("tariff", "variant", "filter", F.struct("ordinal", "doctype", text.alias("text")).alias("d"))
+    fed = kinds.join(dealt(documents, "tariff", "doctype"), ["tariff", "doctype"]).select("tariff", "variant", "filter", F.struct("ordinal", "doctype", text.alias("text")).alias("d"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["text"]), "\n")  # the documents of one tariff
     joined = fed.groupBy("tariff", "variant", "filter").agg(whole.alias("source"))
     return joined.select("tariff", "variant", "filter", digits(F.col("source")).alias("source_digits"), F.lower("source").alias("source_low"))

@@ -25,8 +25,9 @@ def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines of a text; all of the line ends count and the last one leaves no empty line."""
-    ends = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
-    return F.split(F.regexp_replace(F.regexp_replace(text, ends, "\n"), r"\n\z", ""), "\n")
+    ends = "[\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029) + "](?:(?<=\r)\n)?"
+    cut = F.split(F.regexp_replace(text, ends, "\n"), "\n")
+    return _bound(cut, lambda ls: F.when((F.size(ls) > 1) & (F.element_at(ls, -1) == ""), F.slice(ls, 1, F.size(ls) - 1)).otherwise(ls))
 
 
 def _hit(line: Column, anchors: str) -> Column:
@@ -59,14 +60,18 @@ def window_trim(text_lines: Column, anchors: str, context: int = CONTEXT) -> Col
 
 def section_trim(text: Column, anchors: str) -> Column:
     """Sections from header to header that hold a hit; a run of dropped ones is one gap mark."""
-    blocks = F.split(F.array_join(lines(text), "\n"), r"\n(?=[^\S\n]*§[^\S\n]*\d)")
+    return _sections(lines(text), anchors)
+
+
+def _sections(text_lines: Column, anchors: str) -> Column:
+    blocks = F.split(F.array_join(text_lines, "\n"), r"\n(?=[^\S\n]*§[^\S\n]*\d)")
     return _bound(blocks, lambda bs: _kept(bs, _marks(bs, anchors)))
 
 
 def _prepared(text: Column, anchors: str, then: Callable[[Column], Column]) -> Column:
     """then() of the de-hyphenated text, its lines, their marks and its trimmed sections, each computed once."""
-    halfway = lambda w: F.struct(w.alias("whole"), lines(w).alias("ls"), section_trim(w, anchors).alias("sections"))
-    marked = lambda s: F.struct(s["whole"].alias("whole"), s["ls"].alias("ls"), s["sections"].alias("sections"), _marks(s["ls"], anchors).alias("marks"))
+    halfway = lambda w: F.struct(w.alias("whole"), lines(w).alias("ls"))
+    marked = lambda s: F.struct(s["whole"].alias("whole"), s["ls"].alias("ls"), _sections(s["ls"], anchors).alias("sections"), _marks(s["ls"], anchors).alias("marks"))
     return _bound(dehyphenated(text), lambda w: _bound(halfway(w), lambda s: _bound(marked(s), then)))
 
 

@@ -1,11 +1,14 @@
 """What larger tables have broken or made slow."""
 
 import datetime
+import random
+import re
 
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from ledgerloom.operators import trimming
 from ledgerloom.streaming import keyed_state
 
 
@@ -52,3 +55,18 @@ def test_names_of_files_are_read_once(spark):
     """Before, filters on what names say were pushed below their parsing, and read each name again for every file."""
     found = __spark_entry__.queries()["orphan_stems"](spark, "/root/testdata/sf0.001")
     assert "p_brand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trimming_is_dealt_to_a_number_of_partitions(spark):
+    """Before, adaptive plans merged the partitions in which texts are trimmed, few bytes that take long."""
+    for name in ("rescored_runs", "rescored_cells"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"RepartitionByExpression \[.*\], 4", plan), name
+
+
+def test_lines_end_where_they_did(spark):
+    rnd = random.Random(5)
+    ends = ["\n", "\r", "\r\n", "\n\r", "\x0b", "\x0b\n", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " ", " \n", "a", "b-\nc"]
+    texts = ["", "\n", "\n\n", "a\n", None, *("".join(rnd.choices(ends, k=rnd.randrange(12))) for _ in range(3000))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", trimming.lines(F.col("t")).alias("ls")).collect()
+    assert all((r.ls is None) if r.t is None else r.ls == (r.t.splitlines() or [""]) for r in got)
