@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dehyphenated
-from ..session import work_folder
+from ..session import dealt, work_folder
 from .trimming import BUDGET, CONTEXT, FLOOR, GAP, _bound, _marks, _wider, lines
 
 BLOCK_LINES = 4096
@@ -94,7 +94,7 @@ def trim_pieces(docs: DataFrame, key: str, text: str, anchors: str, context: int
     if size <= context:
         raise ValueError("blocks must hold more lines than the context")
     at = work_folder(docs.sparkSession)
-    cut = line_blocks(docs, key, text, size).repartition("key", "block").withColumn("ls", lines(F.col("raw")))
+    cut = dealt(line_blocks(docs, key, text, size), "key", "block").withColumn("ls", lines(F.col("raw")))
     cut = cut.withColumn("marks", _marks(F.col("ls"), anchors)).withColumn("parts", F.split(F.array_join("ls", "\n"), rf"\n(?={_HEADER})"))
     cut = cut.withColumn("opens", (F.col("block") > 0) & F.rlike(F.element_at("ls", 1), F.lit(f"^{_HEADER}")))
     cut = cut.withColumn("hits", F.split(_marks(F.col("parts"), anchors), "(?!^)(?=.)")).withColumn("heads", F.size("parts") - 1 + F.col("opens").cast("int"))
@@ -104,7 +104,7 @@ def trim_pieces(docs: DataFrame, key: str, text: str, anchors: str, context: int
     edges = _edges(blocks, context)
 
     def told(slim: DataFrame) -> DataFrame:
-        out = blocks.join(slim, ["key", "block"]).withColumn("ls", lines(F.col("raw")))
+        out = dealt(blocks, "key", "block").join(slim, ["key", "block"]).withColumn("ls", lines(F.col("raw")))
         return out.withColumn("parts", F.split(F.array_join("ls", "\n"), rf"\n(?={_HEADER})"))
 
     widths = list(range(context, 0, -1)) if budget is not None else [context]

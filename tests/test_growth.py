@@ -59,7 +59,7 @@ def test_names_of_files_are_read_once(spark):
 
 def test_trimming_is_dealt_to_a_number_of_partitions(spark):
     """Before, adaptive plans merged the partitions in which texts are trimmed, few bytes that take long."""
-    for name in ("rescored_runs", "rescored_cells"):
+    for name in ("rescored_runs", "rescored_cells", "trim_budget_in_blocks", "trim_in_blocks"):
         plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert re.search(r"RepartitionByExpression \[.*\], 4", plan), name
 
