@@ -16,7 +16,7 @@ table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
@@ -63,19 +63,19 @@ def _grams(rows: DataFrame) -> DataFrame:
 def _model(counts: DataFrame) -> DataFrame:
     """gram -> log ratio of the two smoothed models, for each n-gram that occurs in any page."""
     sides = ("allow", "block")
-    table = counts
+    # The last k characters of every n-gram, all orders in one table: each order is a step of the same plan, not a plan around the last.
+    tails = counts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(ORDER)))).withColumn("tail", F.substring("gram", F.lit(ORDER + 1) - F.col("k"), F.col("k")))
+    alike = Window.partitionBy("k", F.substring("tail", F.lit(1), F.col("k") - 1))
+    seen = (
+        tails.groupBy("k", "tail").agg(*(F.sum(s).alias(f"{s}_c") for s in sides))
+        .select("*", *(F.sum(f"{s}_c").over(alike).alias(f"{s}_n") for s in sides), *(F.count_if(F.col(f"{s}_c") > 0).over(alike).alias(f"{s}_t") for s in sides))
+    )
+    facts = [f"{s}_{x}" for s in sides for x in "cnt"]
+    table = tails.select("gram", "k", "tail").join(seen, ["k", "tail"]).groupBy("gram").agg(
+        *(F.max(F.when(F.col("k") == k, F.col(x))).alias(f"{x}{k}") for k in range(1, ORDER + 1) for x in facts)
+    )
     probability = {s: F.lit(1.0 / ALPHABET) for s in sides}
     for k in range(1, ORDER + 1):
-        tail = F.substring("gram", F.lit(ORDER - k + 1), F.lit(k))
-        table = table.withColumn(f"g{k}", tail).withColumn(f"h{k}", F.substring(f"g{k}", F.lit(1), F.lit(k - 1)))
-    for k in range(1, ORDER + 1):
-        own = table.groupBy(f"g{k}", f"h{k}").agg(*(F.sum(s).alias(s) for s in sides))
-        after = own.groupBy(F.col(f"h{k}").alias("h")).agg(
-            *(F.sum(s).alias(f"{s}_n{k}") for s in sides), *(F.count_if(F.col(s) > 0).alias(f"{s}_t{k}") for s in sides)
-        )
-        own = own.select(F.col(f"g{k}").alias("g"), F.col(f"h{k}").alias("h"), *(F.col(s).alias(f"{s}_c{k}") for s in sides))
-        both = own.join(after, "h").drop("h")
-        table = table.join(both, table[f"g{k}"] == both["g"]).drop("g")
         for s in sides:
             n, t = F.col(f"{s}_n{k}"), F.greatest(F.col(f"{s}_t{k}"), F.lit(1))
             probability[s] = (F.col(f"{s}_c{k}") + t * probability[s]) / (n + t)

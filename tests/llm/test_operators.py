@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -233,6 +234,29 @@ def test_url_models_tell_hosts_apart(spark):
     assert url_filter.judge_urls(spark, spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_model_takes_one_step_for_all_orders(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("ab^") for _ in range(url_filter.ORDER)), rng.randint(0, 3), rng.randint(0, 3)) for _ in range(60)]
+    rows = list({g: (g, a, b) for g, a, b in rows}.values())
+    model = url_filter._model(spark.createDataFrame(rows, "gram string, allow long, block long"))
+    plan = model._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 6 and plan.count("Join ") <= 1
+
+    def probability(gram, side):
+        p = 1 / url_filter.ALPHABET
+        for k in range(1, url_filter.ORDER + 1):
+            tails = {}
+            for r in rows:
+                if (tail := r[0][-k:])[:-1] == gram[-k:-1]:
+                    tails[tail] = tails.get(tail, 0) + r[side]
+            n, t = sum(tails.values()), max(1, sum(c > 0 for c in tails.values()))
+            p = (tails[gram[-k:]] + t * p) / (n + t)
+        return p
+
+    got = {r.gram: r.llr for r in model.collect()}
+    assert got == pytest.approx({g: math.log(probability(g, 1)) - math.log(probability(g, 2)) for g, _, _ in rows}, abs=1e-12)
+
+
 # 4: SentencePiece
 
 
