@@ -55,7 +55,8 @@ def _folded(url: Column) -> Column:
 
 def _grams(rows: DataFrame) -> DataFrame:
     """A row for each character of a URL with its history; ^ stands before the start. What is held out counts as not known."""
-    padded = rows.withColumn("p", F.concat(F.lit("^" * (ORDER - 1)), "folded"))
+    # An empty URL has none: a sequence from 1 to 0 would count down.
+    padded = rows.filter(F.length("folded") > 0).withColumn("p", F.concat(F.lit("^" * (ORDER - 1)), "folded"))
     at = padded.select("page_row", F.when(~F.col("held"), F.col("known")).alias("known"), "p", F.explode(F.sequence(F.lit(1), F.length("folded"))).alias("i"))
     return at.select("page_row", "known", F.substring("p", F.col("i"), F.lit(ORDER)).alias("gram"))
 
